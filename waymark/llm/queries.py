@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontam
+from waymark.llm import bpe, decontam, secret_scan, simhash
 from waymark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontam.find_hits(docs, read(spark, sf_dir, "benchmark"))
@@ -30,5 +35,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_byte_bpe)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count("base_spans", k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.digest("base_spans").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.digest("secret_spans").alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
