@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontam, quality, secret_scan, simhash
+from waymark.llm import bpe, decontam, langid, quality, secret_scan, simhash
 from waymark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -50,5 +56,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan)}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle()}
