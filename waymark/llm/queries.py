@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontam, langid, quality, secret_scan, simhash
+from waymark.llm import bpe, decontam, html_text, langid, quality, secret_scan, simhash
 from waymark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,5 +56,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle()}
