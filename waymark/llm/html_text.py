@@ -59,6 +59,11 @@ def never(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def signature(attributes: str) -> str:
+    """The class and id of an element without digits, which tells apart containers of one tag."""
+    return "".join(f".{re.sub('[0-9]+', '', (a or b or c).lower())}" for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")) if attributes else ""
+
+
 class Block:
     __slots__ = ("path", "parts", "linked", "inside")
 
@@ -142,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
                 continue
             if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
                 continue
-            stack.append((tag, out_of, inside or marks, path if tag in LEAVES else f"{path}/{tag}"))
+            stack.append((tag, out_of, inside or marks, path if tag in LEAVES else f"{path}/{tag}{signature(attributes)}"))
     flush()
     return out
 
