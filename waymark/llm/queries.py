@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,5 +61,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle()}
