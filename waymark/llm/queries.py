@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontam, html_text, langid, quality, secret_scan, simhash
+from waymark.llm import bpe, decontam, html_text, langid, quality, repeats, secret_scan, simhash
 from waymark.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -61,5 +72,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_repeated_passages, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle()}
