@@ -7,10 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontam, html_text, langid, quality, repeats, secret_scan, simhash
+from waymark.llm import bpe, chat, decontam, html_text, langid, quality, repeats, secret_scan, simhash, token_count
 from waymark.llm.common import read
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,6 +56,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_words", "n_tokens")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
@@ -72,5 +81,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_repeated_passages, op5_byte_bpe, op6_quality_rules, op8_language_id, op9_secret_scan, op10_html_text)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_repeated_passages, op4_chat_format, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_secret_scan, op10_html_text)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle()}
