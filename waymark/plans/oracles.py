@@ -7,7 +7,7 @@ from waymark.plans.views import BOX, LABEL, LAT, LON, STOP_NAME, TIME
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     h = f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"2 * 6371000.0 * asin(sqrt(least(1.0, {h})))"
+    return f"2 * 6371000.0 * asin(sqrt(case when {h} > 1 then 1.0 else {h} end))"
 
 
 def tidied(s: str) -> str:
@@ -165,7 +165,7 @@ ORACLE_SQL = {
     "place_members": sql("select canonical, count(*) as n, string_agg(name, '|' order by name) as members from dict where canonical is not null group by canonical having count(*) >= 2", "dict"),
     "summary_counts": sql("select count(*) as raw_names, count(distinct canonical) as canonical_places, cast(coalesce(sum(cnt) filter (via is not null), 0) as bigint) as via_endpoint_values from dict", "dict"),
     "merge_report": sql("select canonical, name, cnt, first_ord, round(dist_m, 3) as dist_m, round(spread_m, 3) as spread_m, spread_m > 1000.0 as review from report", "report"),
-    "merge_reviews": sql("select canonical, s as spread_m, row_number() over (order by s desc, canonical) as rank from (select distinct canonical, round(spread_m, 3) as s from report where spread_m > 1000.0)", "report"),
+    "merge_reviews": sql("select distinct canonical, round(spread_m, 3) as spread_m from report where spread_m > 1000.0", "report"),
     "normalise_places": sql("select * from named", "named"),
     "drop_blank_labels": sql("select feature_ord, orgn as \"ORGN\", dstn as \"DSTN\" from routes where trim(orgn) <> '' and trim(dstn) <> ''", "routes"),
     "loop_flag": sql("select feature_ord, orgn = dstn as is_loop from routes", "routes"),

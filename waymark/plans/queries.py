@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, labels
@@ -181,9 +181,7 @@ def merge_report(spark, d):
 
 @query
 def merge_reviews(spark, d):
-    """The flagged places with their rank in the report's order: they are few, so one task ranks them."""
-    found = places.merge_reviews(places.merge_report(*rules(spark, d))).withColumn("spread_m", F.round("spread_m", 3))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("spread_m").desc(), "canonical")).cast("long"))
+    return places.merge_reviews(places.merge_report(*rules(spark, d))).withColumn("spread_m", F.round("spread_m", 3))
 
 
 @query
