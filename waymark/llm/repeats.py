@@ -12,7 +12,7 @@ for the places beyond, the 200 bytes before it. Their hash is the key that equal
    pair of its suffix's block and its right side's rank. Neighbours of one block whose common prefix reaches 400 bytes are repeated.
 3. a key with too many contents for one task has its windows counted one by one, by a hash of each, all over the cluster.
 
-Windows without a trigger inside are parsed by a weaker one, and those without that one (periodic text, mostly) are keyed whole.
+A window without a trigger inside ends its first phrase where the hash is least, at the first place of equals.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from waymark.llm.common import runs, written
 
 LENGTH, GRAM = 400, 8
-#: Bytes for each end of a phrase, on average; the same for the weaker trigger.
-PHRASE, WEAK_PHRASE = 128, 64
+#: Bytes for each end of a phrase, on average.
+PHRASE = 128
 #: Contents of one key that a task orders; beyond, windows are counted one by one.
 LARGEST_GROUP = 8192
 
@@ -63,27 +63,15 @@ def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
         return (np.zeros(0, np.int64),) * 3
     h = hashes(data)
     e = ends(h, PHRASE)
-    e = e[e <= len(data)]
-    lo, hi = served(e, 0, last, length)
-    parts = [(e, lo, hi, 0)]
+    parts = [(e, *served(e, 0, last, length), 0)]
     # windows without an end: after the end before them, up to those that reach the next
-    left, right = np.concatenate([[-length], e]) - GRAM + 1, np.concatenate([e - length - 1, [last]])
-    weak = None
-    for i0, i1 in zip(np.maximum(left, 0).tolist(), np.minimum(right, last).tolist(), strict=True):
-        if i0 > i1:
-            continue
-        weak = ends(h, WEAK_PHRASE) if weak is None else weak
-        e2 = weak[np.searchsorted(weak, i0 + GRAM) : np.searchsorted(weak, i1 + length, "right")]
-        if len(e2):
-            lo2, hi2 = served(e2, i0, i1, length)
-            parts.append((e2, lo2, hi2, 2))
-        bare = np.ones(i1 - i0 + 1, bool)
-        for a, b, c in zip(e2.tolist(), *(x.tolist() for x in served(e2, i0, i1, length)), strict=True) if len(e2) else ():
-            if b <= c:
-                bare[a - c - i0 : a - b - i0 + 1] = False
-        if bare.any():
-            starts = np.flatnonzero(bare) + i0
-            parts.append((starts + length, np.full(len(starts), length), np.full(len(starts), length), 4))
+    left, right = np.concatenate([[0], e - GRAM + 1]), np.concatenate([e - length - 1, [last]])
+    for k in np.flatnonzero(left <= np.minimum(right, last)).tolist():
+        i0, i1 = int(left[k]), min(int(right[k]), last)
+        least = np.arange(i0, i1 + 1) + np.lib.stride_tricks.sliding_window_view(h[i0 : i1 + length - GRAM + 1], length - GRAM + 1).argmin(axis=1) + GRAM
+        edge = np.flatnonzero(np.diff(least)) + 1
+        begin, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(least)]]) - 1
+        parts.append((least[begin], least[begin] - i0 - stop, least[begin] - i0 - begin, 2))
     keys, contents, places = [], [], []
     half, digest = length // 2, xxhash.xxh64_intdigest
     for e, lo, hi, kind in parts:
@@ -91,7 +79,7 @@ def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
             a, b = (lo, np.minimum(hi, half)) if side == 0 else (np.maximum(lo, half + 1), hi)
             for end, x, y in zip(*(v[a <= b].tolist() for v in (e, a, b)), strict=True):
                 content = data[end - y : end - x + length]
-                keys.append(digest(content if kind == 4 else data[end : end + half] if side == 0 else data[end - half : end], kind + side))
+                keys.append(digest(data[end : end + half] if side == 0 else data[end - half : end], kind + side))
                 contents.append(digest(content))
                 places.append(end << 20 | x << 10 | y)
     return np.array(keys, "<u8").view("<i8"), np.array(contents, "<u8").view("<i8"), np.array(places, np.int64)
@@ -159,6 +147,7 @@ def repeated(group: list[tuple[bytes, int, int]], length: int = LENGTH) -> list[
 FRAGMENTS = "id long, th long, key long, content long, place long"
 FETCHED = "key long, content long, place long, bytes binary"
 RANGES = "key long, content long, ranges array<struct<least:int,most:int>>"
+WINDOWS = "key long, content long, at int, h1 long, h2 long"
 RANGE = pa.list_(pa.field("element", pa.struct([("least", pa.int32()), ("most", pa.int32())])))
 
 
@@ -172,11 +161,22 @@ def parse(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(ths, sizes)), *[pa.array(np.concatenate([m[k] for m in made])) for k in range(3)]], ["id", "th", "key", "content", "place"])
 
 
+def sliced(part: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(key, content's hash, place, content) of the fragments wanted of the texts of (row, data, wanted)."""
+    for data, wanted in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+        for w in wanted:
+            p = w["place"]
+            yield w["key"], w["content"], p, data[(p >> 20) - (p & 1023) : (p >> 20) - (p >> 10 & 1023) + length]
+
+
+def columns(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in runs(batch, None):
-            rows = [(w["key"], w["content"], p, data[(p >> 20) - (p & 1023) : (p >> 20) - (p >> 10 & 1023) + length]) for data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in wanted for p in (w["place"],)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "content", "place", "bytes"])
+            yield columns([*sliced(part, length)], (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["key", "content", "place", "bytes"])
 
 
 def order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -186,10 +186,10 @@ def order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     def settle():
         if len(group) > 1:
             found = repeated([(c, p >> 10 & 1023, p & 1023) for p, c in group.values()], length)
-            done.extend((key, content, r) for content, r in zip(group, found, strict=True) if r)
+            done.extend((key, content, [{"least": a, "most": b} for a, b in r]) for content, r in zip(group, found, strict=True) if r)
 
     def out():
-        made = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([[{"least": a, "most": b} for a, b in d[2]] for d in done], RANGE)], ["key", "content", "ranges"])
+        made = columns(done, (pa.int64(), pa.int64(), RANGE), ["key", "content", "ranges"])
         done.clear()
         return made
 
@@ -207,39 +207,45 @@ def order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def single(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Fragments to (key, content, at, window's hashes) of every window."""
+    """The fragments wanted to (key, content, at, two halves of a hash) of every window."""
     for batch in batches:
         for part in runs(batch, None, 1 << 20):
             rows = []
-            for k, content, place, data in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                lo, hi = place >> 10 & 1023, place & 1023
-                for at in range(lo, hi + 1):
+            for k, content, place, data in sliced(part, length):
+                hi = place & 1023
+                for at in range(place >> 10 & 1023, hi + 1):
                     d = xxhash.xxh3_128_digest(data[hi - at : hi - at + length])
                     rows.append((k, content, at, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["key", "content", "at", "h1", "h2"])
+            yield columns(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), ["key", "content", "at", "h1", "h2"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST_GROUP) -> DataFrame:
-    """(id, th, spans) of the texts that hold a repeated string; docs: (id, th, data). A span is [start, end) in bytes; they may overlap."""
-    found = written(docs.mapInArrow(lambda b: parse(b, length), FRAGMENTS))
+def repeated_spans(found: DataFrame, docs: DataFrame, length: int = LENGTH, largest: int = LARGEST_GROUP) -> DataFrame:
+    """(id, th, spans) of the texts that hold a repeated string, from their fragments and docs (id, th, row, data). A span is [start, end) in bytes; they may overlap."""
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("key", F.expr("a != b").alias("mixed"))
     met = written(found.join(keys, "key"))
     mixed = met.where("mixed").drop("mixed")
-    contents = mixed.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "place")).alias("first"))
-    sizes = contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("key", F.lit(True).alias("large"))
-    wanted = contents.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("key", "content", "first.place")).alias("wanted"))
-    fetched = written(docs.join(wanted, ["id", "th"]).select("data", "wanted").mapInArrow(lambda b: fetch(b, length), FETCHED).join(sizes, "key", "left"))
-    small, large = fetched.where("large is null").drop("large"), fetched.where("large").drop("large")
-    ordered = small.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: order(b, length), RANGES)
-    windows = large.mapInArrow(lambda b: single(b, length), "key long, content long, at long, h1 long, h2 long")
+    contents = written(mixed.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "place")).alias("first")))
+    sizes = contents.groupBy("key").agg((F.count("*") > largest).alias("large"))
+    sized = contents.join(sizes, "key").select("key", "content", "first", "large")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """(row, data, wanted): the shuffle of the texts is the one of the last join, and is made once for all."""
+        wanted = rows.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("key", "content", "first.place")).alias("wanted"))
+        return docs.join(wanted, ["id", "th"]).select("row", "data", "wanted")
+
+    fetched = texts_of(sized.where("not large")).mapInArrow(lambda b: fetch(b, length), FETCHED)
+    ordered = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: order(b, length), RANGES)
+    windows = texts_of(sized.where("large")).mapInArrow(lambda b: single(b, length), WINDOWS)
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"]).groupBy("key", "content").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("least"), F.col("at").cast("int").alias("most"))).alias("ranges"))
+    counted = windows.join(twice, ["h1", "h2"]).groupBy("key", "content").agg(F.collect_list(F.struct(F.col("at").alias("least"), F.col("at").alias("most"))).alias("ranges"))
     copied = contents.where("n > 1").select("key", "content", F.lit(None).cast("array<struct<least:int,most:int>>").alias("ranges"))
     end, least, most = (F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023)))
     whole = F.array(F.struct(least.cast("int").alias("least"), most.cast("int").alias("most")))
-    ranged = mixed.join(ordered.unionByName(counted).unionByName(copied), ["key", "content"]).select("id", "th", "place", F.coalesce("ranges", whole).alias("ranges"))
+    settled = ordered.unionByName(counted).unionByName(copied)
+    ranged = mixed.join(settled, ["key", "content"]).select("id", "th", "place", F.coalesce("ranges", whole).alias("ranges"))
     every = met.where("not mixed").select("id", "th", "place", whole.alias("ranges")).unionByName(ranged)
-    return every.select("id", "th", F.explode(F.transform("ranges", lambda r: F.struct((end - r["most"]).alias("start"), (end - r["least"] + length).alias("end")))).alias("span")).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
+    spans = every.select("id", "th", F.explode(F.transform("ranges", lambda r: F.struct((end - r["most"]).alias("start"), (end - r["least"] + length).alias("end")))).alias("span"))
+    return spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -255,7 +261,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, largest: int = LARGEST_GROUP) -> DataFrame:
     """docs with n_bytes of the text, `removed` (the maximal runs [start, end) of bytes inside strings of `length` bytes that start anywhere else too) and `kept`, the other bytes.
 
     Matches stay inside a document; overlapping ones count, and all are judged on the input. A null text is empty; a text of under `length` bytes keeps all. Repeated
@@ -264,7 +270,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     kept = [c for c in docs.columns if c not in KEPT.fieldNames()]
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     known = docs.select(F.coalesce(F.xxhash64(F.col(f"`{key}`")), F.lit(0)).alias("id") if dict(docs.dtypes)[key] not in ("bigint", "int") else F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text]).alias("row"))
-    spans = repeated_spans(known.select("id", "th", "data"), length)
+    found = written(known.select("id", "th", "data").mapInArrow(lambda b: parse(b, length), FRAGMENTS))
+    spans = repeated_spans(found, known, length, largest)
     joined = known.join(spans, ["id", "th"], "left").select("row", "data", "spans")
     out = T.StructType([joined.schema["row"], T.StructField("data", T.BinaryType()), *KEPT.fields])
     types = [pa.int64(), pa.list_(pa.field("element", pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.binary()]
