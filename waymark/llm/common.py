@@ -43,7 +43,7 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[st
     """df with the columns of `added`, which fn makes from the texts of a batch.
 
     Narrow: rows stay where they are. The columns of df travel inside one struct, so that none of their names can clash;
-    a column of df that is named as an added one is replaced. Batches are handed to fn in runs of at most about 16 MB of
+    a column of df that is named as an added one is replaced. Batches are handed to fn in runs of at most about 4 MB of
     text, so memory follows the longest text and not the batch.
     """
     kept = [c for c in df.columns if c not in added.fieldNames()]
@@ -63,7 +63,7 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[st
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], *added.fieldNames())
 
 
-def runs(batch: pa.RecordBatch, at: int | None, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def runs(batch: pa.RecordBatch, at: int | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes, of a row at least."""
     n = batch.num_rows
     if not n:

@@ -210,7 +210,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 #: The model at hand with the emissions of words, by the model's name, one for each Python worker.
 MODELS: dict[str, tuple[Model, dict[str, bytes]]] = {}
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_texts(docs, text, predicted, PREDICTED)
 
 
-def grouped(items: list[int], sizes: list[int], most: int = 200_000):
+def grouped(items: list[int], sizes: list[int], most: int = 100_000):
     """Runs of items of about `most` in size."""
     part, total = [], 0
     for i, n in zip(items, sizes, strict=True):
