@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waymark.llm.common import Memo, map_texts
+from waymark.llm.common import Memo, held, map_texts
 
 LEAF = 8
 NONE = 1 << 60
@@ -36,9 +36,9 @@ class Codec:
         self.tokens = {i: b for b, i in ranks.items()}
         self.packed = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
         self.merged = Memo(self._merge, 100_000)
-        self.bare = Memo(self._packed)
-        self.spaced = Memo(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() else self._packed(" " + chunk))
-        self.match = Memo(self._piece)
+        self.bare = Memo(self._packed, 60_000)
+        self.spaced = Memo(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() else self._packed(" " + chunk), 150_000)
+        self.match = Memo(self._piece, 100_000)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -140,14 +140,9 @@ class Codec:
 #: White space that is not one blank or line end between other characters.
 ODD_SPACE = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 
-CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, one for each Python worker."""
-    if (path, pattern) not in CODECS:
-        CODECS[path, pattern] = Codec.from_file(path, pattern)
-    return CODECS[path, pattern]
+    return held(("codec", path, pattern), lambda: Codec.from_file(path, pattern))
 
 
 ENCODED = T.StructType([T.StructField("token_ids", T.ArrayType(T.LongType(), False)), T.StructField("n_tokens", T.LongType())])

@@ -82,6 +82,17 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return simple[type(t)]
 
 
+HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps for the operator at work: a table, a model, memos. Another operator's is let go, as workers live on."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = make()
+    return HELD[key]
+
+
 class Memo(dict):
     """A function's results by key, at most 2 * size of them: what was not asked for again since the last half fill is forgotten."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import map_texts
+from waymark.llm.common import held, map_texts
 
 WINDOW = 13
 #: Words of benchmark items that one automaton may hold, and words of a piece of a very long item.
@@ -154,9 +154,6 @@ def pieces(benchmark: DataFrame, window: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-#: The automaton of the block at hand, by the block's name, one for each Python worker.
-AUTOMATA: dict[str, Automaton] = {}
-
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit_words (words of the text), hit_spans (runs of words [start, end) inside occurring windows) and hit_items.
@@ -173,21 +170,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     for k in range(max(1, n_blocks)):
         block = parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(max(1, n_blocks))) == k)
         rows = [(r.item, [bytes(w) for w in r.words], r.whole) for r in block.collect()] if total else []
-        held = spark.sparkContext.broadcast(rows)
+        sent = spark.sparkContext.broadcast(rows)
         if k:
             out = out.withColumnsRenamed({f: f"{f} before" for f in HITS.fieldNames()})
-        out = map_texts(out, text, matcher(held, uuid.uuid4().hex, window), HITS)
+        out = map_texts(out, text, matcher(sent, uuid.uuid4().hex, window), HITS)
         if k:
             out = merged(out)
     return out
 
 
-def matcher(held, name: str, window: int):
+def matcher(block, name: str, window: int):
     def match(texts: list[str | None]) -> dict[str, list]:
-        if name not in AUTOMATA:
-            AUTOMATA.clear()
-            AUTOMATA[name] = Automaton(held.value, window)
-        automaton, out = AUTOMATA[name], {f: [] for f in HITS.fieldNames()}
+        automaton, out = held(("automaton", name), lambda: Automaton(block.value, window)), {f: [] for f in HITS.fieldNames()}
         for t in texts:
             words = words_of(t)
             spans, found = automaton.match(words)

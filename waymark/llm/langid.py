@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import map_texts
+from waymark.llm.common import held, map_texts
 
 #: Labelled rows that the model is fitted on at most, characters of each, languages, and words of a training chain.
 SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES, CHAIN = 1200, 800, 64, 40
@@ -208,8 +208,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-#: The model at hand with the emissions of words, by the model's name, one for each Python worker.
-MODELS: dict[str, tuple[Model, dict[str, bytes]]] = {}
+#: Words whose emissions a worker remembers.
 KNOWN_WORDS = 150_000
 
 
@@ -219,13 +218,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A text that is null or has no letter, and any text under a model without languages, is `und` with score 0. Ties go to the first language by name.
     The model is broadcast; its size is fixed by BUCKETS and LEXICON and does not grow with the data. Narrow: no shuffle.
     """
-    held, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predicted(texts: list[str | None]) -> dict[str, list]:
-        if name not in MODELS:
-            MODELS.clear()
-            MODELS[name] = held.value, {}
-        (m, known), k = MODELS[name], len(held.value.labels)
+        m, known = held(("languages", name), lambda: (sent.value, {}))
+        k = len(m.labels)
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         lists = [words_of(t) for t in texts] if k else []
         here = set().union(*lists)

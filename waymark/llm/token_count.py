@@ -14,11 +14,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waymark.llm.common import map_texts
+from waymark.llm.common import held, map_texts
 
 #: Stands before every pre-token, as the vocabulary writes a blank.
 BLANK = "▁"
 SCALE = 1_000_000
+#: Counts of pre-tokens that a worker remembers.
 KNOWN = 400_000
 
 
@@ -72,8 +73,6 @@ class Unigram:
         return out
 
 
-#: By vocabulary file, the table and the counts of pre-tokens seen lately, one for each Python worker.
-TABLES: dict[str, tuple[Unigram, dict[bytes, int]]] = {}
 COUNTED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -81,9 +80,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_words (runs without ASCII white space) and n_tokens of every whole text. A null or blank text has none. Narrow, no shuffle."""
 
     def counted(texts: list[str | None]) -> dict[str, list]:
-        if path not in TABLES:
-            TABLES[path] = Unigram.from_vocabulary(path), {}
-        table, known = TABLES[path]
+        table, known = held(("unigram", path), lambda: (Unigram.from_vocabulary(path), {}))
         lists = [(t or "").encode().split() for t in texts]
         here = set(chain.from_iterable(lists))
         fresh = {BLANK + w.decode(): w for w in here if w not in known}
