@@ -35,10 +35,10 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {i: b for b, i in ranks.items()}
         self.packed = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
-        self.merged = Memo(self._merge, 100_000)
-        self.bare = Memo(self._packed, 60_000)
-        self.spaced = Memo(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() else self._packed(" " + chunk), 150_000)
-        self.match = Memo(self._piece, 100_000)
+        self.merged = Memo(self._merge, 60_000)
+        self.bare = Memo(self._packed, 30_000)
+        self.spaced = Memo(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() else self._packed(" " + chunk), 100_000)
+        self.match = Memo(self._piece, 60_000)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:

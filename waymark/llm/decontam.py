@@ -133,7 +133,7 @@ class Automaton:
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
-HITS = T.StructType([T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN, False)), T.StructField("hit_items", T.ArrayType(T.StringType(), False))])
+HITS = T.StructType([T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN, False)), T.StructField("hit_chars", T.ArrayType(SPAN, False)), T.StructField("hit_items", T.ArrayType(T.StringType(), False))])
 PIECES = "item string, part long, n long, whole boolean, words array<binary>"
 
 
@@ -156,7 +156,8 @@ def pieces(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with hit_words (words of the text), hit_spans (runs of words [start, end) inside occurring windows) and hit_items.
+    """docs with hit_words (words of the text), hit_spans (runs of words [start, end) inside occurring windows), hit_chars (the same runs in code points, each up to
+    the next word) and hit_items.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A null text has no words; an empty
     benchmark hits nothing; an item whose id is null hits but is not listed. Repeated items and repeated documents count as they are.
@@ -187,6 +188,7 @@ def matcher(block, name: str, window: int):
             spans, found = automaton.match(words)
             out["hit_words"].append(len(words))
             out["hit_spans"].append([{"start": a, "end": b} for a, b in spans])
+            out["hit_chars"].append(in_characters(t, spans) if spans else [])
             out["hit_items"].append(sorted(x for x in found if x is not None))
         return out
 
@@ -195,18 +197,21 @@ def matcher(block, name: str, window: int):
 
 def merged(made: DataFrame) -> DataFrame:
     """The hits of one more block joined with those of the blocks before."""
-    items = F.array_sort(F.array_union("hit_items", "`hit_items before`"))
-    spans = F.array_sort(F.concat("hit_spans", "`hit_spans before`"))
-    joined = F.aggregate(
-        spans,
-        F.array().cast(HITS["hit_spans"].dataType),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+
+    def joined(name: str) -> Column:
+        last = lambda acc: F.try_element_at(acc, F.lit(-1))
+        return F.aggregate(
+            F.array_sort(F.concat(name, f"`{name} before`")),
+            F.array().cast(HITS[name].dataType),
+            lambda acc, x: F.when(
+                (F.size(acc) > 0) & (last(acc)["end"] >= x["start"]),
+                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")))),
+            ).otherwise(F.concat(acc, F.array(x))),
+        )
+
     kept = [c for c in made.columns if c not in HITS.fieldNames() and not c.endswith(" before")]
-    return made.select(*[F.col(f"`{c}`") for c in kept], "hit_words", joined.alias("hit_spans"), items.alias("hit_items"))
+    items = F.array_sort(F.array_union("hit_items", "`hit_items before`"))
+    return made.select(*[F.col(f"`{c}`") for c in kept], "hit_words", joined("hit_spans").alias("hit_spans"), joined("hit_chars").alias("hit_chars"), items.alias("hit_items"))
 
 
 def hit_count() -> Column:
@@ -222,32 +227,19 @@ def contaminated(percent: int = 5) -> Column:
 PATTERN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def without(text: str | None, spans: list[dict]) -> str | None:
-    """The text without the words of the spans and what stands between them."""
-    if not spans or text is None:
-        return text
-    at = [m.span() for m in PATTERN_WORD.finditer(text)]
-    out, last = [], 0
-    for s in spans:
-        out.append(text[last : at[s["start"]][0]])
-        last = at[s["end"] - 1][1]
-    return "".join([*out, text[last:]])
+def in_characters(text: str, spans: list[tuple[int, int]]) -> list[dict]:
+    """Runs of words as code points of the text, each up to the next word."""
+    at = [*(m.start() for m in PATTERN_WORD.finditer(text)), len(text)]
+    return [{"start": at[a], "end": at[b]} for a, b in spans]
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 5, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones (coverage limit); of the others, the spans that windows cover are cut out (length limit). Columns stay."""
-    hits = find_hits(docs, benchmark, text, window).where(~contaminated(percent))
-    names = docs.columns
-    at = names.index(text)
-    packed = hits.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), "hit_spans")
-    new = T.StructType([packed.schema["row"], T.StructField("cleaned", T.StringType())])
-
-    def cut(batches):
-        for batch in batches:
-            row, spans = batch.column(0), batch.column(1)
-            texts = row.field(at).to_pylist()
-            cleaned = [without(t, s) for t, s in zip(texts, spans.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([row, pa.array(cleaned, pa.string())], ["row", "cleaned"])
-
-    done = packed.mapInArrow(cut, new)
-    return done.select(*[(F.col("cleaned") if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
+    named = docs.withColumnsRenamed({c: f"doc {c}" for c in docs.columns})
+    hits = find_hits(named, benchmark, f"doc {text}", window).where(~contaminated(percent))
+    whole = F.col(f"`doc {text}`")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_chars", lambda s: s["end"]))
+    ends = F.concat(F.transform("hit_chars", lambda s: s["start"]), F.array(F.char_length(whole).cast("long")))
+    left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substr(whole, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    cut = F.when(F.size("hit_chars") > 0, left).otherwise(whole)
+    return hits.select(*[(cut if c == text else F.col(f"`doc {c}`")).alias(c) for c in docs.columns])

@@ -135,10 +135,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each component: that of the smallest key, and one of the rows that repeat this key. Rows without a key stay. Columns stay."""
     found = near_duplicates(docs, text, key)
-    dropped = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("dropped id")).distinct()
-    kept = docs.join(dropped, docs[key] == dropped["dropped id"], "left_anti")
-    nth = F.when(F.col(f"`{key}`").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(f"`{key}`")))
-    return kept.withColumn("row of its id", nth).where("`row of its id` = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("k")).distinct()
+    packed = docs.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    nth = F.when(F.col("k").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("k").orderBy("k")))
+    kept = packed.join(dropped, "k", "left_anti").withColumn("nth", nth).where("nth = 1")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def hexadecimal(column: str):
