@@ -81,8 +81,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, each with its failing lines and its empty ones removed. Columns stay."""
-    kept = measured(docs, text).where("kept")
+    """The documents that are kept, each with its failing lines and its empty ones removed. Columns stay.
+
+    The row number keeps the filter above the counts: pushed below, it would copy their expressions into each other and count a text many times over.
+    """
+    kept = measured(docs, text).withColumn("nth", F.monotonically_increasing_id()).where("kept and nth >= 0")
     left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), passes), "\n")
     return kept.withColumn(text, left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
