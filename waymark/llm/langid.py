@@ -199,11 +199,13 @@ def held_out(key: str = "doc_id"):
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model fitted on at most `rows` of the labelled rows that aren't held out, `chars` characters of each: those of the smallest hashes of their keys.
 
-    This is the documented bound of the sample, the same at every size of the table; the top rows are taken by Spark, each task keeping no more.
-    Rows without a language, without a text or without a key are not learned from.
+    This is the documented bound of the sample, the same at every size of the table. A first count sets a bound on the hashes under which about twice as many rows
+    lie, so the tasks together send no more than these to be put in order. Rows without a language, a text or a key are not learned from.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    drawn = usable.select(F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.substring(text, 1, chars).alias("t"), F.col(lang).cast("string").alias("l")).orderBy("h", "t", "l").limit(rows)
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
+    share = min(1.0, 2 * rows / max(1, usable.count()))
+    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.substring(text, 1, chars).alias("t"), F.col(lang).cast("string").alias("l"))
+    drawn = hashed.where((F.col("h") <= F.lit(int(share * (1 << 64)) - (1 << 63) - 1)) & F.col("t").isNotNull()).orderBy("h", "t", "l").limit(rows)
     return fit([(r.t, r.l) for r in drawn.collect()])
 
 
