@@ -6,6 +6,8 @@ and a document is rejected if what is left holds too little of its words. A few
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,24 @@ def n_of(text: Column, characters: str) -> Column:
     return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
 
 
-def passes(line: Column) -> Column:
-    """True if none of the line rules fails."""
-    words = n_words(line)
-    prose = F.rlike(line, F.lit(ENDS)) | ((words >= SHORT_LINE) & F.rlike(line, F.lit(HOLDS)))
-    marked = 100 * n_of(line, SYMBOLS) > SYMBOL_SHARE * words
-    shouting = 100 * F.regexp_count(line, F.lit("!!")) > SHOUT_SHARE * words
-    bars = 100 * F.regexp_count(line, F.lit(BAR)) > BAR_SHARE * words
-    boiler = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
-    return prose & ~marked & ~shouting & ~bars & ~boiler
+def counted(text: Column) -> Column:
+    """The lines of a text that hold a word, each with its number of words, which every rule needs."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), n_words(x).alias("n"))), lambda s: s["n"] > 0)
+
+
+def passes(symbols: Column, shouts: Column, bars: Column) -> Callable[[Column], Column]:
+    """A rule for the counted lines of a text with these signs in it: true if none of the line rules fails. What the whole text has no sign of isn't looked for in its lines."""
+
+    def rule(s: Column) -> Column:
+        line, words = s["x"], s["n"]
+        prose = F.rlike(line, F.lit(ENDS)) | ((words >= SHORT_LINE) & F.rlike(line, F.lit(HOLDS)))
+        marked = symbols & (100 * n_of(line, SYMBOLS) > SYMBOL_SHARE * words)
+        shouting = shouts & (100 * F.regexp_count(line, F.lit("!!")) > SHOUT_SHARE * words)
+        barred = bars & (100 * F.regexp_count(line, F.lit(BAR)) > BAR_SHARE * words)
+        boiler = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
+        return prose & ~marked & ~shouting & ~barred & ~boiler
+
+    return rule
 
 
 def windows_of(words: Column) -> Column:
@@ -62,19 +73,19 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     base = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     row = docs.select(F.struct(*base).alias("row"), whole.alias("t"))
-    row = row.select("row", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(MARK))).alias("l"))
-    row = row.select("row", "t", "w", "l", windows_of(F.col("w")).alias("s"))
+    row = row.select("row", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"), counted(F.col("t")).alias("l"), F.rlike("t", F.lit("[#*$%&|<>]")).alias("symbols"), F.contains("t", F.lit("!!")).alias("shouts"), F.rlike("t", F.lit("[|>»·•/]")).alias("bars"))
+    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", windows_of(F.col("w")).alias("s"))
     twice = F.filter("s", lambda x, j: F.coalesce(F.get("s", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", j + 1)["h"] == x["h"], F.lit(False)))
-    row = row.select("row", "t", "w", "l", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
+    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     steps = F.transform("p", lambda p, j: F.least(F.coalesce(F.get("p", j + 1) - p, F.lit(3)), F.lit(3)))
     row = row.select(
         "row",
         F.size("w").cast("long").alias("n_words"),
         F.aggregate("w", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
         n_of(F.col("t"), SYMBOLS).alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        (F.size("l") - F.size(F.array_distinct("l.x"))).cast("long").alias("n_dup_lines"),
         F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x).alias("n_repeat_words"),
-        F.aggregate(F.filter("l", passes), F.lit(0).cast("long"), lambda n, x: n + n_words(x)).alias("kept_words"),
+        F.aggregate(F.filter("l", passes(F.col("symbols"), F.col("shouts"), F.col("bars"))), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("kept_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return row.select("row.*", *made[:5], failed.alias("base_failed"), "kept_words", (~failed & (100 * F.col("kept_words") >= KEPT_SHARE * F.col("n_words"))).alias("kept"))
@@ -86,7 +97,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     The row number keeps the filter above the counts: pushed below, it would copy their expressions into each other and count a text many times over.
     """
     kept = measured(docs, text).withColumn("nth", F.monotonically_increasing_id()).where("kept and nth >= 0")
-    left = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), passes), "\n")
+    left = F.array_join(F.transform(F.filter(counted(F.col(f"`{text}`")), passes(F.lit(True), F.lit(True), F.lit(True))), lambda s: s["x"]), "\n")
     return kept.withColumn(text, left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
