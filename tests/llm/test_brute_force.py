@@ -325,6 +325,40 @@ def test_layers_are_unwrapped(wrap):
     assert "correcthorse" not in secret_scan.masked(text, every, "[secret]") and inner not in secret_scan.masked(text, every, "[secret]")
 
 
+def raw_deflate(b):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(b) + c.flush()
+
+
+NOISE = " ".join(f"{x:x}" for x in random.Random(3).sample(range(1 << 30), 60)).encode()
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda b: base64.b64encode(gzip.compress(gzip.compress(b))).decode(),
+    lambda b: base64.b64encode(zlib.compress(zlib.compress(b))).decode(),
+    lambda b: base64.b64encode(raw_deflate(b)).decode(),
+    lambda b: base64.b64encode(gzip.compress(raw_deflate(b))).decode(),
+    lambda b: "".join(f"%{x:02x}" for x in gzip.compress(b)),
+    lambda b: "x=" + "".join(f"%{x:02x}" for x in raw_deflate(b)),
+    lambda b: "".join(f"\\x{x:02x}" for x in zlib.compress(b)),
+    lambda b: "".join(f"\\u{x:04x}" for x in gzip.compress(b)),
+    lambda b: repr(gzip.compress(NOISE + b" " + b)),
+    lambda b: base64.encodebytes(b"x" * 48 + b" " + b).decode(),
+    lambda b: base64.encodebytes(gzip.compress(NOISE + b" " + b)).decode().replace("\n", "\r\n  "),
+    lambda b: "some/path/" + base64.b64encode(b).decode(),
+    lambda b: "a_b-c/" + base64.b64encode(raw_deflate(b)).decode(),
+    lambda b: base64.b64encode(bytes(range(128, 160)) + b + b"\xff\x00\xfe").decode(),
+    lambda b: base64.b64encode(gzip.compress(b"\xff\xfe" + b + b"\x00")).decode(),
+])
+def test_layers_of_bytes_are_unwrapped(wrap):
+    inner = wrap(b"password=correcthorse7")
+    text = "Ünïcode before " + inner + " and after"
+    base, every = secret_scan.deep_scan(text)
+    new = [s for s in every if s not in base]
+    assert set(base) <= set(every) and any(s[1] == 0 and 15 <= s[0] < s[2] <= 15 + len(inner) for s in new)
+    assert secret_scan.deep_scan(secret_scan.masked(text, every, "[secret]"))[1] == []
+
+
 def test_cycles_end():
     secret_scan.deep_scan("%2525252525 " * 200 + "\\u005cu005c" * 50)
 

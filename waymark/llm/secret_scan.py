@@ -1,18 +1,19 @@
 """Secret scans by a worklist of decoded layers.
 
-A text is scanned as it is; then every run in it that looks encoded (URL escapes, Unicode escapes, base64, and inside base64 a
-deflate stream) is decoded into a layer of its own, which is scanned and searched for encoded runs in turn, until nothing new
-comes up. Every character of a layer knows which characters of the text it came from, so what is found in a layer is reported at
+A text is scanned as it is; then every run in it that looks encoded (URL escapes, Unicode escapes, base64, also wrapped over lines) is decoded
+into a layer of its own, which is scanned and searched for encoded runs in turn, until nothing new comes up. What decodes to bytes is
+searched for gzip, zlib and raw deflate streams, which are unpacked to layers of bytes that are searched so again, and for
+readable parts: a match has 12 ASCII characters at least and no decoding lengthens a run, so shorter parts hold none. Every character of a layer knows which characters of the text it came from, so what is found in a layer is reported at
 its place in the text. A layer whose content is that of one of its ancestors, or that was seen at the same place, is not entered again.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,18 @@ URL = re.compile(r"[^\s%<>]*%[0-9A-Fa-f]{2}[^\s<>]*")
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+|[^%+]+|%", re.DOTALL)
 ESCAPE = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})\S*")
 ESCAPE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|[^\\]+|\\", re.DOTALL)
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\xa0-\U0010ffff]*")
+#: Also over lines that follow each other.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]+(?=[\x20\t]*\r?\n))(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+#: Literal characters, one a byte, and escapes of bytes as programs print them.
+LINE = re.compile(r"[^\r\n]*\\[ux][^\r\n]*")
+BYTE_UNIT = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u\{?00([0-9A-Fa-f]{2})(?:(?<=\{00..)\})?|\\([abtnvfr0\\'\"])|[^\\]+|\\", re.DOTALL)
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[^%]+|%", re.DOTALL)
+SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "0": 0}
+DELIMITERS = set("=:'\"&?/,;(`|")
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: The headers of gzip and of zlib, of all window sizes.
+PACKED = re.compile(b"(?=\\x1f\\x8b\\x08|" + b"|".join(b"\\x%02x\\x%02x" % (c, f) for c in range(0x08, 0x80, 16) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32) + b")")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -107,41 +118,106 @@ def from_escapes(run: str) -> Piece:
     return "".join(text), starts, ends
 
 
-def from_base64(run: str) -> Piece | None:
-    """A base64 run, of either alphabet, with or without padding, as text; unwrapped too if it holds a deflate stream. None if it isn't text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+def inflated(data: bytes, at: int, window: int) -> tuple[bytes, int]:
+    """What a stream in bytes unpacks to, gzip members that follow included, and where it ends. A stream cut off gives what there is of it."""
+    view, out, unpacker = memoryview(data), [], zlib.decompressobj(window)
+    while at < len(data):
+        block = view[at : at + (1 << 16)]
         try:
-            unpacked = zlib.decompressobj(47).decompress(data)
+            out.append(unpacker.decompress(block))
         except zlib.error:
-            unpacked = b""
-        if unpacked:
-            return spelled(unpacked, [(0, len(run))] * len(unpacked))
-    if data[: min(24, len(data))].translate(None, TEXT_BYTES):
-        return None
-    piece = spelled(data, [(i // 3 * 4 + i % 3, min(len(run), i // 3 * 4 + i % 3 + 2)) for i in range(len(data))])
-    return piece if piece and PRINTABLE.fullmatch(piece[0]) else None
+            break
+        at += len(block) - len(unpacker.unused_data)
+        if unpacker.eof:
+            if window < 0 or data[at : at + 3] != b"\x1f\x8b\x08":
+                break
+            unpacker = zlib.decompressobj(window)
+    return b"".join(out), at
+
+
+def deflate_like(data: bytes, at: int) -> bool:
+    """False if no deflate block can begin here."""
+    kind = data[at] >> 1 & 3
+    return kind in (1, 2) or kind == 0 and len(data) > at + 4 and data[at + 1] ^ data[at + 3] == 255 and data[at + 2] ^ data[at + 4] == 255
+
+
+Layer = tuple[str | bytes, list[int], list[int]]
+
+
+def streams(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
+    """The unpacked streams of bytes: gzip and zlib anywhere, raw deflate at the places `raw`. place: a byte's start and end in the layer above; stop: the last end."""
+    for i, window in [*((m.start(), 47) for m in PACKED.finditer(data)), *((i, -15) for i in raw if i < len(data) and deflate_like(data, i))]:
+        out, n = inflated(data, i, window)
+        if len(out) >= 12:
+            yield out, [place(i)[0]] * len(out), [stop if n == len(data) else place(n - 1)[1]] * len(out)
 
 
-TEXT_BYTES = bytes([9, 10, 13, *range(32, 127), *range(128, 256)])
+def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
+    """The readable parts and the unpacked streams of bytes."""
+    for m in READABLE.finditer(data):
+        spans = [place(i) for i in range(m.start(), m.end())]
+        yield m[0].decode(), [a for a, _ in spans], [b for _, b in spans]
+    yield from streams(data, place, stop, raw)
+
+
+def from_base64(run: str) -> Iterator[Layer]:
+    """What a base64 run holds, of either alphabet, with or without padding, on one line or more.
+
+    Encoded text can begin anywhere in a run, as after a path or another line, so each of the four alignments is decoded; raw deflate streams, which have
+    no header, are tried where the run, a line or what follows a `/`, `_` or `-` begins.
+    """
+    places, begins, last = [], [], 0
+    for m in [*BREAK.finditer(run), None]:
+        begins.append(len(places))
+        places.extend(range(last, m.start() if m else len(run.rstrip("="))))
+        last = m.end() if m else 0
+    body = BREAK.sub("", run).rstrip("=")
+    if len(body) < 16:
+        return
+    begins = sorted({*begins, *(m.end() for m in re.finditer("[/_-]", body))})
+    body = body.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+        data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+        def place(i: int, shift: int = shift) -> tuple[int, int]:
+            at = shift + i // 3 * 4 + i % 3
+            return places[at], places[at + 1] + 1
+
+        yield from opened(data, place, len(run), [(p - shift) // 4 * 3 for p in begins if p >= shift and p % 4 == shift])
+
+
+def from_bytes(run: str, unit: re.Pattern, plus: bool = False) -> Iterator[Layer]:
+    """The streams in a run of escaped bytes."""
+    data, starts, ends, raw = bytearray(), [], [], [0]
+    for m in unit.finditer(run):
+        a, code = m.start(), next((g for g in m.groups() if g), None)
+        if code is None:
+            data += (m[0].replace("+", " ") if plus else m[0]).encode("latin-1", "replace")
+            starts.extend(range(a, m.end()))
+            ends.extend(range(a + 1, m.end() + 1))
+            raw += [len(data) - len(m[0]) + i + 1 for i, c in enumerate(m[0]) if c in DELIMITERS]
+            if m[0][-1].isspace():
+                raw.append(len(data))
+        else:
+            data.append(int(code, 16) if len(code) == 2 else SHORT.get(code, ord(code)))
+            starts.append(a)
+            ends.append(m.end())
+    return streams(bytes(data), lambda i: (starts[i], ends[i]), len(run), sorted(set(raw)))
 
 
-def unwrapped(text: str) -> list[tuple[int, Piece]]:
-    """(offset, piece) of every run of a layer that can be decoded."""
-    out: list[tuple[int, Piece]] = []
+def unwrapped(text: str) -> list[tuple[int, Layer]]:
+    """(offset, layer) of all that a layer's encoded runs hold."""
+    out: list[tuple[int, Layer]] = []
     if "%" in text:
         for m in URL.finditer(text):
-            out += [(m.start(), from_url(m[0], plus)) for plus in ((False, True) if "+" in m[0] else (False,))]
+            for plus in (False, True) if "+" in m[0] else (False,):
+                out.append((m.start(), from_url(m[0], plus)))
+                out += [(m.start(), inner) for inner in from_bytes(m[0], URL_BYTE, plus)]
     if "\\" in text:
         out += [(m.start(), from_escapes(m[0])) for m in ESCAPE.finditer(text)]
-    for m in BASE64.finditer(text):
-        if piece := from_base64(m[0]):
-            out.append((m.start(), piece))
+        out += [(m.start(), inner) for m in LINE.finditer(text) for inner in from_bytes(m[0], BYTE_UNIT)]
+    out += [(m.start(), inner) for m in BASE64.finditer(text) if len(m[0]) >= 16 for inner in from_base64(m[0])]
     return out
 
 
@@ -154,7 +230,8 @@ def deep_scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     while work:
         layer, starts, ends, above = work.pop()
         above |= {layer}
-        for offset, (inner, a, b) in unwrapped(layer):
+        inners = unwrapped(layer) if isinstance(layer, str) else [(0, x) for x in opened(layer, lambda i: (i, i + 1), len(layer))]
+        for offset, (inner, a, b) in inners:
             if inner in above or not inner:
                 continue
             a = [x + offset if starts is None else starts[x + offset] for x in a]
@@ -162,7 +239,8 @@ def deep_scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
             if (key := (a[0], b[-1], inner)) in seen:
                 continue
             seen.add(key)
-            found |= {(a[s], kind, max(b[s:e])) for s, kind, e in scan(inner)}
+            if isinstance(inner, str):
+                found |= {(a[s], kind, max(b[s:e])) for s, kind, e in scan(inner)}
             work.append((inner, a, b, above))
     return base, sorted(found)
 
@@ -179,7 +257,7 @@ CLEANED = T.StructType([T.StructField("text", T.StringType())])
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base_spans (matches in the text itself) and secret_spans (those, and matches in decoded layers): kind, start and end in code points.
 
-    A null or empty text holds none. Narrow: texts are not shuffled. A compressed layer is unpacked whole; deflate makes at most 1,032 bytes of one.
+    A null or empty text holds none. Narrow: texts are not shuffled. A compressed layer is unpacked whole, and so is each that it holds; deflate makes at most 1,032 bytes of one.
     """
 
     def found(texts: list[str | None]) -> dict[str, list]:
