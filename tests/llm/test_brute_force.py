@@ -390,3 +390,29 @@ def test_digests(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in entry.queries()["op5_byte_bpe"](spark, sf).collect()}
     assert all(got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+
+
+@pytest.mark.parametrize("element", [
+    '<p>See <a href="/blog/hidden-gems">WORDS</a> and more.</p>',
+    '<p title="the hidden valley">WORDS</p>',
+    '<div data-hidden="false" data-role="navigation" data-class="ad"><p>WORDS</p></div>',
+    '<section id="related-work"><p>WORDS</p></section>',
+    '<h2 id="social-history">WORDS</h2>',
+    '<p id="promotion">WORDS</p>',
+    '<p class="notice">WORDS</p>',
+    '<div class="share-price"><p>WORDS</p></div>',
+])
+@pytest.mark.parametrize("page", [
+    "<html><body><article><p>One, two.</p>{}<p>Three, four.</p></article></body></html>",
+    '<html><body class="single comments-open"><article class="has-comments" id="hidden-1"><p>One, two.</p>{}</article></body></html>',
+])
+def test_attributes_drop_nothing_of_an_article(page, element):
+    assert "WORDS" in html_text.main_text(page.format(element))
+
+
+def test_attributes_drop_the_rest():
+    page = "<article><p>One, two.</p>{}</article>"
+    for element in ('<div class="x ad">WORDS</div>', "<p hidden>WORDS</p>", "<p HIDDEN=''>WORDS</p>", '<span aria-hidden="true">WORDS</span>', '<p style="display: none">WORDS</p>', '<div role=navigation>WORDS</div>', '<div id="comments"><p>WORDS</p></div>', '<article class="comment"><p>WORDS</p></article>'):
+        assert html_text.main_text(page.format(element)) == "One, two.", element
+    for element in ('<p id="promotion">WORDS, and a few more.</p>', '<section id="related-work"><p>WORDS, and more.</p></section>'):
+        assert "WORDS" in html_text.main_text(f"<body><p>One, two.</p>{element}</body>"), element

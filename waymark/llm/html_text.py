@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from waymark.llm.common import map_texts
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: A name, whole, and its value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes"}
@@ -30,38 +31,60 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address details summary center hgroup picture".split())
 NEVER = set("nav footer aside script style noscript template button select option datalist textarea iframe object embed svg canvas video audio dialog menu head frameset noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Words in a class or id that mark what isn't the article.
+#: Outside an article, words in a container's class or id that mark what isn't the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar"
     " cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe signup login paywall disclaimer comment comments commentlist reply replies respond disqus discussion"
     " share sharing social related recommended pagination pager widget".split()
 )
+#: Containers that a class can mark inside an article, and the whole classes that mark them there; ids, which are often made from headings, only of a div and only these.
+CONTAINERS, IDS = {"div", "section", "ul", "ol"}, {"comments", "respond", "disqus_thread"}
+CLASSES = set(
+    "ad ads advert advertisement adsense adslot ad-slot adbox sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar toolbar cookie-notice cookie-banner cookies gdpr consent popup modal overlay"
+    " newsletter newsletter-signup subscribe signup paywall comments comment-list commentlist comments-area respond disqus disqus_thread share sharing share-buttons social social-share social-links social-media"
+    " related related-posts related-articles recommended pagination pager widget".split()
+)
+#: What a class can say before that the part belongs to the article.
+OWNER = re.compile(r"^(?:article|post|entry|page|site|user|reader)[-_]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SHARE, LINK_SHARE = 0.15, 0.66
 
 
+def named(attributes: str) -> dict[str, str]:
+    """The attributes of a tag by their whole names, in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name:
+            out.setdefault(name.lower(), html.unescape(a or b or c).lower())
+    return out
+
+
 def never(tag: str, attributes: str, inside: bool) -> bool:
     """True if an element is left out with all it holds; inside: it stands in an article or main part."""
     if tag in NEVER or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower() and "hidden" not in attributes.lower() or not attributes.strip():
+    if not attributes.strip():
         return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & MARKS or "header" in words and not inside and tag not in LEAVES:
-                return True
-    return False
+    has = named(attributes)
+    if "hidden" in has or has.get("aria-hidden", "").strip() == "true" or re.search(r"display\s*:\s*none", has.get("style", "")):
+        return True
+    if has.get("role", "").strip() in ROLES:
+        return True
+    classes, name = has.get("class", "").split(), has.get("id", "")
+    whole = {OWNER.sub("", c) for c in classes}
+    if tag in ("html", "body", "article", "main"):
+        return tag == "article" and inside and not {"comment", "comment-body"}.isdisjoint(classes)
+    if inside:
+        return tag in CONTAINERS and (not CLASSES.isdisjoint(whole) or tag == "div" and name in IDS)
+    if tag in INLINE or tag in LEAVES and tag not in CONTAINERS:
+        return not CLASSES.isdisjoint(whole)
+    words = set(re.split(r"[^a-z]+", " ".join([*classes, name if tag != "section" or name in CLASSES else ""])))
+    return not words.isdisjoint(MARKS) or "header" in words and tag not in LEAVES
 
 
 def signature(attributes: str) -> str:
     """The class and id of an element without digits, which tells apart containers of one tag."""
-    return "".join(f".{re.sub('[0-9]+', '', (a or b or c).lower())}" for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")) if attributes else ""
+    return "".join(f".{re.sub('[0-9]+', '', value)}" for name, value in named(attributes).items() if name in ("class", "id")) if attributes else ""
 
 
 class Block:
@@ -137,10 +160,10 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             if tag in VOID:
                 continue
             out_of, inside, path = stack[-1][1:]
-            marks = tag in ("article", "main") or 'role="main"' in attributes
+            marks = tag in ("article", "main") or "role" in attributes.lower() and named(attributes).get("role", "").strip() == "main"
             if marks and out_of and next(x[0] for x in stack if x[1]) == "form":
                 out_of = False  # a form around the whole page
-            out_of = out_of or tag == "form" or never(tag, attributes, inside or marks)
+            out_of = out_of or tag == "form" or never(tag, attributes, inside or marks and tag != "article")
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else n
