@@ -66,6 +66,15 @@ def test_fingerprints_and_components(spark):
     assert simhash.keep_one(docs(spark, texts)).count() == len({r.component_id for r in got.values()})
 
 
+def test_keep_one_by_row(spark):
+    one, two, three = prose(200), prose(200), prose(200)
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, three), (3, one), (4, two), (None, three)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).where("doc_id is not null").collect())) == sorted([(1, one), (2, two), (3, three)])
+    hot = [(7, prose(50)) for _ in range(40)]
+    assert sorted(map(tuple, simhash.keep_one(spark.createDataFrame(hot, "doc_id long, text string")).collect())) == sorted(hot)
+
+
 @pytest.mark.parametrize("most", [32, 2])
 def test_links_of_dense_balls(spark, most):
     values = set()

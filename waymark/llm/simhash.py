@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import checkpointed, map_texts
+from waymark.llm.common import checkpointed, map_texts, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 LONG_LIST = 32
@@ -133,12 +133,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document of each component: that of the smallest key, and one of the rows that repeat this key. Rows without a key stay. Columns stay."""
-    found = near_duplicates(docs, text, key)
-    dropped = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("k")).distinct()
-    packed = docs.select(F.col(f"`{key}`").alias("k"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
-    nth = F.when(F.col("k").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("k").orderBy("k")))
-    kept = packed.join(dropped, "k", "left_anti").withColumn("nth", nth).where("nth = 1")
+    """docs with one of the rows with a key of each component: that of the smallest key, and where it repeats that of the smallest hash of the text.
+
+    Rows are chosen by themselves: one whose key repeats in other components is kept or dropped by its own. Rows that agree in key and text are told apart
+    by a number that is written with them. Rows without a key link documents but stay. Columns stay.
+    """
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*fields).alias("row"))
+    numbered = with_fingerprint(rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()}), "text")
+    known = written(numbered.drop("text"))
+    best = known.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "h", "n")).alias("best"))
+    tied = components(links(known.select("fp").distinct()))
+    rooted = best.join(tied, best.fp == tied.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    chosen = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.n").alias("n"))
+    kept = known.where("id is not null").join(chosen, "n", "left_semi").select("row").unionAll(known.where("id is null").select("row"))
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
