@@ -17,7 +17,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected: texts without letters, and those of which no language has 0.3 of the words."""
+    """Rejected: texts without letters, and those of which no language has 0.3 of the words and under 0.3 of the words are told with a marginal of a half."""
     return langid.keep_known(docs, langid.learn(docs))
 
 

@@ -285,6 +285,42 @@ def test_held_out_accuracy(spark, sf):
     assert found.where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(70)]
+    own = {x: [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("ola", "ume", "ik", "orpa")] for i, x in enumerate(names)}
+    rows = [(k, " ".join(own[x] * 5), x) for k, x in enumerate(names * 3)] + [(k, f"the house {k}", "zz") for k in range(1000, 6000)] + [(k, None, "zz") for k in range(6000, 12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert set(names) & {x for k, _, x in rows[:210] if k in {r.doc_id for r in df.where("doc_id < 210").where(~langid.held_out()).collect()}} <= set(model.labels) and len(model.labels) > 64
+    got = langid.identify(df.where(f"lang = '{names[69]}'"), model).collect()
+    assert got and all(r.lang_pred == names[69] for r in got)
+
+
+def test_sample_counts_rows_with_a_text(spark, monkeypatch):
+    rows = [(k, f"the house {k}", "en") for k in range(3000)] + [(k, None, "en") for k in range(3000, 40000)] + [(k, f"das haus {k}", "de") for k in range(40000, 40010)]
+    monkeypatch.setattr(langid, "fit", lambda sample: sample)
+    got = collections.Counter(y for _, y in langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert 1180 <= got["en"] <= 1200 and 1 <= got["de"] <= 10
+
+
+def test_mixed_texts_are_kept(spark):
+    own = {f"l{i}": " ".join(f"{c}{w}" for w in ("ola", "ume", "ik", "orpa")) for i, c in enumerate("bdgkmt")}
+    model = langid.fit([(t + " " + t, x) for x, t in own.items()] * 10)
+    df = docs(spark, [" ".join((t + " ") * 3 for t in own.values()), "1 2 3"])
+    assert [r.doc_id for r in langid.keep_known(df, model).collect()] == [0]
+
+
+def test_forward_backward_word_by_word(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    e, moves, start, first = r.normal(size=(40, 5)), r.normal(size=(5, 5)), r.normal(size=5), r.random(40) < 0.2
+    first[0] = True
+    want = langid.forward_backward(e, first, moves, start, pairs=True)
+    monkeypatch.setattr(langid, "MATRIX_LANGUAGES", 4)
+    assert all(np.allclose(a, b) for a, b in zip(want, langid.forward_backward(e, first, moves, start, pairs=True), strict=True))
+
+
 def test_switches_within_a_text_are_followed(spark):
     texts = [("the house and the garden are here " * 4, "en"), ("das haus und der garten sind hier " * 4, "de")] * 5
     model = langid.fit(texts)

@@ -9,18 +9,21 @@ no more steps than a short one.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import held, map_texts
 
-#: Labelled rows that the model is fitted on at most, characters of each, languages, and words of a training chain.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES, CHAIN = 1200, 800, 64, 40
+#: Labelled rows that the model is fitted on, rows that a language has in any case if there are so many, characters of each, and words of a training chain.
+SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS, CHAIN = 1200, 50, 800, 40
+#: With more languages than this, chains are run through word by word, as matrices of all steps would not fit in memory.
+MATRIX_LANGUAGES = 16
 BUCKETS, LEXICON, EPOCHS, RATE, L2 = 1 << 15, 1500, 4, 0.3, 1e-6
 UNKNOWN = "und"
 
@@ -92,6 +95,8 @@ def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start:
     n, k = e.shape
     if not n:
         return np.zeros((0, k)), np.zeros((k, k)) if pairs else None
+    if k > MATRIX_LANGUAGES:
+        return summed(*in_order(e, first, moves, start), e, first, moves, pairs)
     size = max(1, int(n**0.5))
     blocks = -(-n // size)
     pad = blocks * size - n
@@ -124,20 +129,41 @@ def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start:
         v = step[t] @ v
         v /= v.max(axis=1, keepdims=True)
     flat = lambda x: x.transpose(1, 0, 2).reshape(blocks * size, k)[:n]
-    a, b = flat(alpha), flat(beta)
+    return summed(flat(alpha), flat(beta), e, first, moves, pairs)
+
+
+def in_order(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward and backward vectors, word by word."""
+    emit, move, begin = np.exp(e - e.max(axis=1, keepdims=True)), np.exp(moves), np.exp(start)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    v = np.ones(e.shape[1])
+    for i in range(len(e)):
+        v = (begin if first[i] else v @ move) * emit[i]
+        v /= v.max()
+        alpha[i] = v
+    v = np.ones(e.shape[1])
+    for i in range(len(e) - 1, -1, -1):
+        beta[i] = v
+        v = np.ones(e.shape[1]) if first[i] else move @ (emit[i] * v)
+        v /= v.max()
+    return alpha, beta
+
+
+def summed(a: np.ndarray, b: np.ndarray, e: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals, and summed marginals of neighbours if wanted, from forward and backward vectors."""
     m = a * b
     m /= m.sum(axis=1, keepdims=True)
     if not pairs:
         return m, None
     inner = np.flatnonzero(~first)
-    both = a[inner - 1][:, :, None] * (np.exp(moves)[None] * emit[inner][:, None, :]) * b[inner][:, None, :]
-    both /= both.sum(axis=(1, 2), keepdims=True)
-    return m, both.sum(axis=0)
+    before, after, move = a[inner - 1], np.exp(e[inner] - e[inner].max(axis=1, keepdims=True)) * b[inner], np.exp(moves)
+    total = ((before @ move) * after).sum(axis=1, keepdims=True)
+    return m, move * ((before / total).T @ after)
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 0) -> Model:
     """A model from (text, language) pairs. Some training chains change from one text to another half-way, which teaches the transitions."""
-    labels = sorted({lang for _, lang in rows})[:MOST_LANGUAGES]
+    labels = sorted({lang for _, lang in rows})
     of = {x: i for i, x in enumerate(labels)}
     texts = [(words_of(t), of[lang]) for t, lang in rows if lang in of]
     texts = [(w, y) for w, y in texts if w]
@@ -196,36 +222,58 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model fitted on at most `rows` of the labelled rows that aren't held out, `chars` characters of each: those of the smallest hashes of their keys.
+def quotas(counts: dict[str, int], rows: int, least: int) -> dict[str, int]:
+    """How many rows to draw of each language: `rows` in all, dealt evenly as far as a language has so many, and `least` of each in any case if it has them."""
+    out, left = {}, rows
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        even = min(n, max(0, left) // (len(counts) - i))
+        out[lang] = max(even, min(n, least))
+        left -= even
+    return out
 
-    This is the documented bound of the sample, the same at every size of the table. A first count sets a bound on the hashes under which about twice as many rows
-    lie, so the tasks together send no more than these to be put in order. Rows without a language, a text or a key are not learned from.
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, least: int = LANGUAGE_ROWS) -> Model:
+    """A model fitted on a sample of the labelled rows that aren't held out, `chars` characters of each: of each language those of the smallest hashes of key and text.
+
+    This is the documented bound of the sample, the same at every size of the table: `rows` in all, dealt evenly over the languages, or `least` of each
+    language if that is more. A first count by language sets a bound on the hashes under which about twice its share lies, so the tasks together send
+    no more than these to be put in order. Rows without a language, a text or a key are not learned from, nor counted; repeated ones count once.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    share = min(1.0, 2 * rows / max(1, usable.count()))
-    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.substring(text, 1, chars).alias("t"), F.col(lang).cast("string").alias("l"))
-    drawn = hashed.where((F.col("h") <= F.lit(int(share * (1 << 64)) - (1 << 63) - 1)) & F.col("t").isNotNull()).orderBy("h", "t", "l").limit(rows)
-    return fit([(r.t, r.l) for r in drawn.collect()])
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
+    begin = F.substring(F.col(text).cast("string"), 1, chars)
+    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample"), begin).alias("h"), begin.alias("t"), F.col(lang).cast("string").alias("l"))
+    counts = {r.l: max(1, r.n) for r in hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    wanted = quotas(counts, rows, least)
+    bounds = {x: (1 << 63) - 1 if counts[x] <= 3 * q + 100 else int((2 * q + 60) / counts[x] * (1 << 64)) - (1 << 63) for x, q in wanted.items()}
+    bound = F.try_element_at(F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>"), F.col("l"))
+    drawn = hashed.where(F.col("h") <= bound).distinct()
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    most = max(wanted.values(), default=0)
+    found = drawn.withColumn("nth", nth).where(F.col("nth") <= max(1, 2 * most)).orderBy("h", "t", "l").collect() if wanted else []
+    # counts of distinct rows are approximate, so a small language's quota is all that it has
+    sample = [r for r in found if r.nth <= (wanted[r.l] if counts[r.l] > 3 * wanted[r.l] + 100 or wanted[r.l] < counts[r.l] else most)]
+    return fit([(r.t, r.l) for r in sample])
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+SURE = T.StructType([*PREDICTED.fields, T.StructField("lang_sure", T.DoubleType())])
 #: Words whose emissions a worker remembers.
 KNOWN_WORDS = 150_000
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", added: T.StructType = PREDICTED) -> DataFrame:
     """docs with lang_pred and lang_score, from the text alone: the language with the largest sum of marginals over the words, and its share of the sum.
 
     A text that is null or has no letter, and any text under a model without languages, is `und` with score 0. Ties go to the first language by name.
-    The model is broadcast; its size is fixed by BUCKETS and LEXICON and does not grow with the data. Narrow: no shuffle.
+    With `added` SURE also lang_sure, the share of the words of which one language has half of the marginals.
+    The model is broadcast; its size is fixed by BUCKETS and LEXICON for each language and does not grow with the rows. Narrow: no shuffle.
     """
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predicted(texts: list[str | None]) -> dict[str, list]:
         m, known = held(("languages", name), lambda: (sent.value, {}))
         k = len(m.labels)
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         lists = [words_of(t) for t in texts] if k else []
         here = set().union(*lists)
         fresh = [w for w in here if w not in known]
@@ -242,13 +290,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             first = np.zeros(len(e), bool)
             first[starts] = True
-            sums = np.add.reduceat(m.marginals(e, first), starts, axis=0) / sizes[:, None]
-            for i, s in zip(group, sums, strict=True):
+            marginals = m.marginals(e, first)
+            sums = np.add.reduceat(marginals, starts, axis=0) / sizes[:, None]
+            confident = np.add.reduceat((marginals.max(axis=1) >= 0.5).astype(float), starts) / sizes
+            for i, s, c in zip(group, sums, confident, strict=True):
                 best = int(s.argmax())
-                langs[i], scores[i] = m.labels[best], float(min(1.0, s[best]))
-        return {"lang_pred": langs, "lang_score": scores}
+                langs[i], scores[i], sure[i] = m.labels[best], float(min(1.0, s[best])), float(c)
+        return {"lang_pred": langs, "lang_score": scores, "lang_sure": sure}
 
-    return map_texts(docs, text, predicted, PREDICTED)
+    return map_texts(docs, text, predicted, added)
 
 
 def grouped(items: list[int], sizes: list[int], most: int = 100_000):
@@ -265,6 +315,7 @@ def grouped(items: list[int], sizes: list[int], most: int = 100_000):
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """docs without those whose language can't be told: no letters, or under `least` of the words' marginals for any one language. Columns stay."""
-    named = identify(docs.withColumnsRenamed({c: f"doc {c}" for c in docs.columns}), model, f"doc {text}")
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*[F.col(f"`doc {c}`").alias(c) for c in docs.columns])
+    """docs without those whose language can't be told: no letters, or under `least` of the words sure (see identify), unless one language has `least` of the marginals. Columns stay."""
+    named = identify(docs.withColumnsRenamed({c: f"doc {c}" for c in docs.columns}), model, f"doc {text}", SURE)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.greatest("lang_sure", "lang_score") >= least)
+    return named.where(kept).select(*[F.col(f"`doc {c}`").alias(c) for c in docs.columns])
