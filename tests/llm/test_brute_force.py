@@ -310,6 +310,19 @@ def test_mixed_texts_are_kept(spark):
     assert [r.doc_id for r in langid.keep_known(df, model).collect()] == [0]
 
 
+def test_long_runs_are_read_whole(spark):
+    for n in (1, 23, 24, 25, 26, 27, 47, 48, 49, 50, 51, 200):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        cut = langid.words_of(run)
+        grams = {p.strip("\0")[i : i + 3] for p in cut for i in range(len(p.strip("\0")) - 2)}
+        assert grams == {run[i : i + 3] for i in range(n - 2)} and not cut[0].startswith("\0") and not cut[-1].endswith("\0")
+        assert langid.features(cut, {}, 2)[0].max() == len(cut) - 1
+    a, b = "木水火土金日月山川田", "あいうえおかきくけこ"
+    model = langid.fit([(a[i % 10 :] + a, "x") for i in range(20)] + [(b[i % 10 :] + b, "y") for i in range(20)])
+    got = langid.identify(docs(spark, [a * 2 + b * 40, b * 2 + a * 40]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["y", "x"]
+
+
 def test_forward_backward_word_by_word(monkeypatch):
     import numpy as np
 

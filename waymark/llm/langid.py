@@ -27,21 +27,31 @@ MATRIX_LANGUAGES = 16
 BUCKETS, LEXICON, EPOCHS, RATE, L2 = 1 << 15, 1500, 4, 0.3, 1e-6
 UNKNOWN = "und"
 
+#: Characters of a run of letters that are one word, and what stands at the edge of a piece of a longer run.
+PIECE, CUT = 24, "\0"
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, joined by inner apostrophes and hyphens, in lower case."""
-    return WORD.findall((text or "").lower())
+    """Runs of letters, joined by inner apostrophes and hyphens, in lower case; a run of over PIECE characters is cut into pieces."""
+    found = WORD.findall((text or "").lower())
+    return [p for w in found for p in pieces(w)] if max(map(len, found), default=0) > PIECE else found
+
+
+def pieces(word: str) -> list[str]:
+    """A long run in pieces of PIECE characters, each with the two that follow, so that no n-gram is lost; CUT marks where the run goes on."""
+    if len(word) <= PIECE:
+        return [word]
+    return [CUT * (i > 0) + word[i : i + PIECE + 2] + CUT * (i + PIECE + 2 < len(word)) for i in range(0, len(word) - 2, PIECE)]
 
 
 def features(words: list[str], lexicon: dict[str, int], languages: int) -> tuple[np.ndarray, np.ndarray]:
     """(word's number, bucket) of every feature of distinct words, repeated ones included.
 
     Bucket 0 is on for every word, then come the lexicons, then hashed parts: the character n-grams of one to three within the marked word, which hold
-    the short affixes, the affixes of four, and the word.
+    the short affixes, the affixes of four, and the word. A piece of a long run has the run's start or end only where these are its own.
     """
-    marked = [f"^{w[:24]}$" for w in words]
+    marked = [f"{'' if w[0] == CUT else '^'}{w}{'' if w[-1] == CUT else '$'}" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     start = np.cumsum(size) - size
     code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -56,7 +66,7 @@ def features(words: list[str], lexicon: dict[str, int], languages: int) -> tuple
             inside &= (left[: len(gram)] == 4) | (np.arange(len(gram)) == start[word[: len(gram)]])
         owners.append(word[: len(gram)][inside])
         hashes.append(gram[inside] + np.uint64(n << 60))
-    power = np.cumprod(np.full(27, 0x9E3779B97F4A7C15, np.uint64))
+    power = np.cumprod(np.full(PIECE + 4, 0x9E3779B97F4A7C15, np.uint64))
     owners.append(np.arange(len(words)))
     hashes.append(np.add.reduceat(code * power[np.arange(len(code)) - start[word]], start) ^ np.uint64(7 << 60))
     mixed = np.concatenate(hashes) * np.uint64(0xD6E8FEB86659FD93)
