@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, labels
 from waymark.operators import cleaning, integrity, matching, places, similarity
+from waymark.plans import queries
 
 ROUTES = "feature_ord long, ORGN string, DSTN string, pts array<array<double>>"
 
@@ -119,3 +120,17 @@ def test_match_route_takes_the_fewest_changes(spark):
 def test_consecutive_points(spark):
     df = spark.createDataFrame([([],), ([[1.0, 2.0]],), ([[1.0, 2.0], [1.0, 2.0]],), ([[1.0, 2.0], [1.0, 3.0], [1.0, 2.0]],)], "p array<array<double>>")
     assert [r[0] for r in df.select(geo.repeats_point(F.col("p"))).collect()] == [False, False, True, False]
+
+
+def test_flattened_lines_are_whole(spark, tmp_path):
+    n = 1500
+    spark.createDataFrame([(7,), (14,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, i, i % 5, 1) for i in range(n)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "a b", "t", "b") for i in range(5)], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.feature_ord: (r.n_points, r.last_lon) for r in queries.QUERIES["coords_flatten"](spark, str(tmp_path)).collect()}
+    assert got == {7: (n, 18 + (n - 1) % 5 / 1000), 14: (0, None)}
+
+
+def test_title_case_of_a_long_word(spark):
+    n = (1 << 20) + 50
+    assert spark.range(1).select(labels.title_case(F.repeat(F.lit("aB"), n // 2)).alias("w")).select(F.length("w")).first()[0] == n

@@ -78,7 +78,7 @@ def title_case(name: Column) -> Column:
     """Words with a capital, but for acronyms: all-capital words of up to three letters and words with a digit stay. A leading `N_` stays."""
     prefix, rest = F.regexp_extract(name, r"^(\d+_)?", 0), F.regexp_replace(name, r"^\d+_", "")
     kept = lambda w: (F.rlike(w, F.lit(r"^[A-Z]{1,3}$"))) | F.rlike(w, F.lit(r"\d"))
-    word = lambda w: F.when(kept(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20))))
+    word = lambda w: F.when(kept(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.greatest(F.length(w), F.lit(0))))))
     return F.concat(prefix, F.array_join(F.transform(F.split(rest, " "), word), " "))
 
 

@@ -52,7 +52,7 @@ def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feature_ord, geom_type, coordinates) as raw GeoJSON: lines, multi-lines, points and none."""
     path = F.col("pts")
     kind = F.when(F.col("feature_ord") % 7 == 0, "MultiLineString").when(F.col("feature_ord") % 11 == 0, "Point").when(F.col("feature_ord") % 13 != 0, "LineString")
-    text = F.when(F.col("feature_ord") % 7 == 0, F.to_json(F.array(F.slice(path, 1, 1), F.slice(path, 2, 1000)))).when(F.col("feature_ord") % 11 == 0, F.to_json(F.try_element_at(path, F.lit(1)))).otherwise(F.to_json(path))
+    text = F.when(F.col("feature_ord") % 7 == 0, F.to_json(F.array(F.slice(path, 1, 1), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))))).when(F.col("feature_ord") % 11 == 0, F.to_json(F.try_element_at(path, F.lit(1)))).otherwise(F.to_json(path))
     return routes(spark, sf_dir).select("feature_ord", kind.alias("geom_type"), text.alias("coordinates"))
 
 
