@@ -37,8 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with token_ids and n_tokens."""
-    return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
+    """The documents with token_ids, n_tokens and decoded_sha256, the digest of the text decoded from the ids, which is checked against the text."""
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]

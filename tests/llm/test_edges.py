@@ -103,3 +103,12 @@ def test_pipeline_stages(spark, sf):
 def test_registered():
     names = entry.queries()
     assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_pipeline_decodes(spark, sf):
+    import hashlib
+
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    got = corpus_pipeline.encoding(spark, df, sf).collect()
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ROWS)
+    assert all(len(r.token_ids) == r.n_tokens for r in got)

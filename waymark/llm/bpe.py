@@ -147,7 +147,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 ENCODED = T.StructType([T.StructField("token_ids", T.ArrayType(T.LongType(), False)), T.StructField("n_tokens", T.LongType())])
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-ROUND_TRIP = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("text", T.StringType())])
+ROUND_TRIP = T.StructType([*ENCODED.fields, T.StructField("decoded_sha256", T.StringType())])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -161,6 +161,24 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     return map_texts(docs, text, ids, ENCODED)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with token_ids, n_tokens and decoded_sha256: encodes every whole text, decodes the ids and fails if that isn't the text. A null text counts as empty."""
+
+    def made(texts: list[str | None]) -> dict[str, list]:
+        c, out = codec(path, pattern), {f: [] for f in ROUND_TRIP.fieldNames()}
+        for t in texts:
+            ids = c.encode(t or "")
+            decoded = c.decode(ids)
+            if decoded != (t or "").encode():
+                raise ValueError("the ids of a text decode to another text")
+            out["token_ids"].append(np.frombuffer(ids, "<u4").astype("i8"))
+            out["n_tokens"].append(len(ids) // 4)
+            out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+        return out
+
+    return map_texts(docs, text, made, ROUND_TRIP)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256: encodes every whole text and decodes the ids. A null text counts as empty."""
 
