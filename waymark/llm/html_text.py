@@ -3,23 +3,27 @@
 A page is read once into blocks of text. Blocks are grouped by the path of containers from the root to them (a paragraph, a heading or a list
 item counts with the container that it stands in). For every path the length of its text outside links and its punctuation are set
 against its number of blocks; both ratios are smoothed along the page, so that a short paragraph among long ones doesn't fall out, and fused by
-their product; paths that reach a share of the best one are content. Elements that are never the article (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out before. Where the page marks its article or main part, only
-paths inside are weighed, and there only those that are mostly links fall under the threshold.
+their product. A path inside a container of text has the container's value at least, as nothing of an article may be dropped for being short. All is
+weighed by the share of the path's text outside links, so a list of links falls wherever it stands; paths that reach a share of the best one are content.
+Elements that are never the article (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
+out before, and where the page marks its article or main part, only paths inside are weighed. Time is linear in the page, whatever it holds.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waymark.llm.common import map_texts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+#: The same where quotes aren't closed.
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 #: A name, whole, and its value.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -29,6 +33,8 @@ VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "p
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Blocks that count with the container they stand in.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address details summary center hgroup picture".split())
+#: Those among them that have a path of their own, as links come in lists.
+LISTS = {"ul", "ol", "dl", "table"}
 NEVER = set("nav footer aside script style noscript template button select option datalist textarea iframe object embed svg canvas video audio dialog menu head frameset noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Outside an article, words in a container's class or id that mark what isn't the article.
@@ -47,7 +53,7 @@ CLASSES = set(
 #: What a class can say before that the part belongs to the article.
 OWNER = re.compile(r"^(?:article|post|entry|page|site|user|reader)[-_]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SHARE, LINK_SHARE = 0.15, 0.66
+SHARE = 0.15
 
 
 def named(attributes: str) -> dict[str, str]:
@@ -87,19 +93,64 @@ def signature(attributes: str) -> str:
     return "".join(f".{re.sub('[0-9]+', '', value)}" for name, value in named(attributes).items() if name in ("class", "id")) if attributes else ""
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, opening or closing tag or "", tag's name, attributes) of a page in order: text up to a tag, then the tag.
+
+    Each tag is looked for once. Past the last `>` all is text; once a tag's quotes turned out not to be closed to the end, tags end at the next `>`.
+    """
+    at, n, last, cdata, pattern = 0, len(page), page.rfind(">"), page.rfind("]]>"), TAG
+    while at < n:
+        begin = page.find("<", at)
+        if begin >= 0 and page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            yield page[at:begin], "", "", ""
+            at = end + 3 if end >= 0 else n
+            continue
+        if begin < 0 or begin > last:
+            break
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            text = page[at:begin]
+            if page.startswith("<![CDATA[", begin) and begin < cdata:
+                at = page.find("]]>", begin)
+                yield text, "", "", ""
+                text = html.escape(page[begin + 9 : at], quote=False)
+                at += 3
+            else:
+                at = page.find(">", begin) + 1
+            yield text, "", "", ""
+            continue
+        m = pattern.match(page, begin)
+        if m is None and pattern is TAG and (m := LOOSE_TAG.match(page, begin)):
+            pattern = LOOSE_TAG
+        if m is None:
+            yield page[at : begin + 1], "", "", ""
+            at = begin + 1
+            continue
+        tag = m[2].lower()
+        yield page[at:begin], m[1] or "<", tag, m[3]
+        at = m.end()
+        if tag in RAW and not m[1]:
+            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else n
+    yield page[at:], "", "", ""
+
+
 class Block:
     __slots__ = ("path", "parts", "linked", "inside")
 
-    def __init__(self, path: str, inside: bool):
+    def __init__(self, path: int, inside: bool):
         self.path, self.parts, self.linked, self.inside = path, [], 0, inside
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, characters in links, in an article) of every block of a page that isn't left out, in order."""
-    out: list[tuple[str, str, int, bool]] = []
-    # of every open element: tag, left out, inside an article, path of containers
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
-    block, links, at, n = None, 0, 0, len(page)
+def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[int]]:
+    """(number of the path, text, characters in links, in an article) of every block of a page that isn't left out, in order; by number, the path's parent."""
+    out: list[tuple[int, str, int, bool]] = []
+    numbers: dict[tuple[int, str], int] = {(-1, ""): 0}
+    parents = [-1]
+    # of every open element: tag, left out, inside an article, number of the path of containers
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    open_: Counter[str] = Counter()
+    block, links = None, 0
 
     def flush():
         nonlocal block, links
@@ -123,80 +174,98 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         if links:
             block.linked += len(s.strip())
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            text(html.escape(m[1], quote=False))
-        tag = m[3] or m[6]
-        if tag is None:
+    def pop():
+        open_[stack.pop()[0]] -= 1
+
+    for before, kind, tag, attributes in tokens(page):
+        text(before)
+        if not kind:
             continue
-        tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
             text(" ")
-        elif closing:
+        elif kind == "/":
             if tag == "a":
                 links = max(0, links - 1)
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag not in INLINE:
                 flush()
-            if depth and (tag not in INLINE or all(x[0] in INLINE for x in stack[depth:])):
-                del stack[depth:]
+            if open_[tag] and tag in INLINE:
+                k = len(stack) - 1
+                while stack[k][0] in INLINE and stack[k][0] != tag:
+                    k -= 1
+                while stack[k][0] == tag and len(stack) > k + 1:
+                    pop()
+                if stack[k][0] == tag:
+                    pop()
+            elif open_[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         else:
             out_of, inside = stack[-1][1], stack[-1][2]
             if tag in INLINE:
                 if not out_of and attributes and tag not in VOID and never(tag, attributes, inside):
                     stack.append((tag, True, inside, stack[-1][3]))
+                    open_[tag] += 1
                 elif tag == "a" and not attributes.rstrip().endswith("/"):
                     links += 1
                 continue
             flush()
-            while stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ()) or stack[-1][0] in INLINE and any(x[0] == "p" for x in stack):
-                stack.pop()
-            if tag in VOID:
+            while stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ()) or stack[-1][0] in INLINE and open_["p"]:
+                pop()
+            if tag in VOID or tag in RAW:
                 continue
             out_of, inside, path = stack[-1][1:]
             marks = tag in ("article", "main") or "role" in attributes.lower() and named(attributes).get("role", "").strip() == "main"
             if marks and out_of and next(x[0] for x in stack if x[1]) == "form":
                 out_of = False  # a form around the whole page
             out_of = out_of or tag == "form" or never(tag, attributes, inside or marks and tag != "article")
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-                continue
             if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
                 continue
-            stack.append((tag, out_of, inside or marks, path if tag in LEAVES else f"{path}/{tag}{signature(attributes)}"))
+            if tag not in LEAVES or tag in LISTS:
+                key = path, tag + signature(attributes)
+                if key not in numbers:
+                    numbers[key] = len(parents)
+                    parents.append(path)
+                path = numbers[key]
+            stack.append((tag, out_of, inside or marks, path))
+            open_[tag] += 1
     flush()
-    return out
+    return out, parents
 
 
 def smoothed(values: list[float]) -> list[float]:
     last = len(values) - 1
-    return [(values[max(0, i - 1)] + 2 * v + values[min(last, i + 1)]) / 4 for i, v in enumerate(values)]
+    return [(values[max(0, i - 1)] + 6 * v + values[min(last, i + 1)]) / 8 for i, v in enumerate(values)]
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the content paths, each with its white space folded, one a line; empty if there are none."""
-    found = blocks(page or "")
-    if any(inside for *_, inside in found):
-        found = [b for b in found if b[3]]
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+def content(found: list[tuple[int, str, int, bool]], parents: list[int]) -> set[int]:
+    """The numbers of the paths that are content."""
+    sums: dict[int, list[float]] = {}
     for path, text, linked, _ in found:
-        s = sums[path]
+        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         for i, x in enumerate((len(text), linked, len(PUNCTUATION.findall(text)), 1)):
             s[i] += x
-    paths = list(sums)
     lengths = smoothed([(s[0] - s[1]) / s[3] for s in sums.values()])
     marks = smoothed([s[2] / s[3] for s in sums.values()])
-    fused = {p: a * (1 + b) for p, a, b in zip(paths, lengths, marks, strict=True)}
-    best = max(fused.values(), default=0.0)
-    content = {p for p in paths if (fused[p] >= SHARE * best or found[0][3]) and sums[p][1] <= LINK_SHARE * sums[p][0]}
-    return "\n".join(text for path, text, _, _ in found if path in content)
+    fused = {p: a * (1 + b) for p, a, b in zip(sums, lengths, marks, strict=True)}
+    # a parent's number is under its children's; what stands in the body itself isn't a container of text
+    reached = [0.0] * len(parents)
+    inside = {path for path, *_, i in found if i}
+    for p in range(1, len(parents)):
+        up = parents[p]
+        reached[p] = max(fused.get(p, 0.0), reached[up] if up in inside or parents[parents[up]] > 0 else 0.0)
+    weighed = {p: max(reached[p], fused[p]) * ((s[0] - s[1]) / s[0]) ** 2 for p, s in sums.items()}
+    best = max(weighed.values(), default=0.0)
+    return {p for p, w in weighed.items() if w >= SHARE * best}
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the content paths, each with its white space folded, one a line; empty if there are none."""
+    found, parents = blocks(page or "")
+    if any(inside for *_, inside in found):
+        found = [b for b in found if b[3]]
+    paths = content(found, parents)
+    return "\n".join(text for path, text, _, _ in found if path in paths)
 
 
 ADDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
