@@ -1,16 +1,15 @@
 """Secret scans by a worklist of decoded layers.
 
-A text is scanned as it is; then every run in it that looks encoded (URL escapes, Unicode escapes, base64, also wrapped over lines) is decoded
+A text is scanned as it is; then every run in it that looks encoded (URL escapes, Unicode escapes and character references, base64, also wrapped over lines) is decoded
 into a layer of its own, which is scanned and searched for encoded runs in turn, until nothing new comes up. What decodes to bytes is
 searched for gzip, zlib and raw deflate streams, which are unpacked to layers of bytes that are searched so again, and for
-readable parts: a match has 12 ASCII characters at least and no decoding lengthens a run, so shorter parts hold none. Every character of a layer knows which characters of the text it came from, so what is found in a layer is reported at
+readable parts, in one byte or two a character: a match has 12 ASCII characters at least and no decoding lengthens a run, so shorter parts hold none. Every character of a layer knows which characters of the text it came from, so what is found in a layer is reported at
 its place in the text. A layer whose content is that of one of its ancestors, or that was seen at the same place, is not entered again.
 """
 
 from __future__ import annotations
 
 import binascii
-import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -27,20 +26,24 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL = re.compile(r"[^\s%<>]*%[0-9A-Fa-f]{2}[^\s<>]*")
-URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+|[^%+]+|%", re.DOTALL)
-ESCAPE = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})\S*")
-ESCAPE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|[^\\]+|\\", re.DOTALL)
+#: Runs are found first and then looked into, so that each character is looked at a few times however long the run.
+URL, URL_ESCAPE = re.compile(r"[^\s<>]+"), re.compile(r"%[0-9A-Fa-f]{2}")
+#: `deep` is an escape of an escape's own sign, however often: unwrapped at once, as a layer each would take quadratic time.
+URL_UNIT = re.compile(r"(?P<deep>%(?:25)+(?=[0-9A-Fa-f]{2}))|(?:%[0-9A-Fa-f]{2})+|\+|[^%+]+|%", re.DOTALL)
+SOLID = re.compile(r"\S+")
+ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?")
+ESCAPE_UNIT = re.compile(r"(?P<deep>\\(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC])+(?=x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)+(?=#))|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?|[^\\&]+|\\|&", re.DOTALL)
 #: Also over lines that follow each other.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]+(?=[\x20\t]*\r?\n))(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 #: Literal characters, one a byte, and escapes of bytes as programs print them.
-LINE = re.compile(r"[^\r\n]*\\[ux][^\r\n]*")
+LINE = re.compile(r"[^\r\n]+")
 BYTE_UNIT = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u\{?00([0-9A-Fa-f]{2})(?:(?<=\{00..)\})?|\\([abtnvfr0\\'\"])|[^\\]+|\\", re.DOTALL)
 URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|[^%]+|%", re.DOTALL)
 SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "0": 0}
 DELIMITERS = set("=:'\"&?/,;(`|")
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12,}"))
 #: The headers of gzip and of zlib, of all window sizes.
 PACKED = re.compile(b"(?=\\x1f\\x8b\\x08|" + b"|".join(b"\\x%02x\\x%02x" % (c, f) for c in range(0x08, 0x80, 16) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32) + b")")
 
@@ -81,7 +84,9 @@ def from_url(run: str, plus: bool) -> Piece:
     text, starts, ends = [], [], []
     for m in URL_UNIT.finditer(run):
         unit, a = m[0], m.start()
-        if unit[0] == "%" and len(unit) > 1:
+        if m["deep"]:
+            piece = "%", [a], [m.end()]
+        elif unit[0] == "%" and len(unit) > 1:
             data = bytes.fromhex(unit.replace("%", ""))
             piece = spelled(data, [(a + 3 * i, a + 3 * i + 3) for i in range(len(data))])
             piece = piece or (data.decode("latin-1"), [a + 3 * i for i in range(len(data))], [a + 3 * i + 3 for i in range(len(data))])
@@ -97,7 +102,11 @@ def from_escapes(run: str) -> Piece:
     text, starts, ends = [], [], []
     for m in ESCAPE_UNIT.finditer(run):
         unit, a = m[0], m.start()
-        if unit.startswith("\\u") and len(unit) >= 6 and unit[2] != "{":
+        if m["deep"]:
+            text.append(unit[0])
+            starts.append(a)
+            ends.append(m.end())
+        elif unit.startswith("\\u") and len(unit) >= 6 and unit[2] != "{":
             codes = [int(unit[i + 2 : i + 6], 16) for i in range(0, len(unit), 6)]
             i = 0
             while i < len(codes):
@@ -106,8 +115,8 @@ def from_escapes(run: str) -> Piece:
                 starts.append(a + 6 * i)
                 i += 1 + pair
                 ends.append(a + 6 * i)
-        elif len(unit) > 1 and unit[0] == "\\":
-            code = int(unit.strip("\\uUx{}"), 16) if unit[1] != "U" else int(unit[2:], 16)
+        elif len(unit) > 2 and unit[0] in "\\&":
+            code = int(unit.strip("\\uUx{}"), 16) if unit[0] == "\\" else int(unit[3:].rstrip(";"), 16) if unit[2] in "xX" else int(unit[2:].rstrip(";"))
             text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
             starts.append(a)
             ends.append(m.end())
@@ -157,6 +166,10 @@ def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw:
     for m in READABLE.finditer(data):
         spans = [place(i) for i in range(m.start(), m.end())]
         yield m[0].decode(), [a for a, _ in spans], [b for _, b in spans]
+    for first, wide in enumerate(WIDE):
+        for m in wide.finditer(data) if b"\0" in data else ():
+            spans = [place(i) for i in range(m.start() + first, m.end(), 2)]
+            yield m[0][first::2].decode(), [a for a, _ in spans], [b for _, b in spans]
     yield from streams(data, place, stop, raw)
 
 
@@ -209,14 +222,16 @@ def from_bytes(run: str, unit: re.Pattern, plus: bool = False) -> Iterator[Layer
 def unwrapped(text: str) -> list[tuple[int, Layer]]:
     """(offset, layer) of all that a layer's encoded runs hold."""
     out: list[tuple[int, Layer]] = []
-    if "%" in text:
+    if URL_ESCAPE.search(text):
         for m in URL.finditer(text):
+            if not URL_ESCAPE.search(m[0]):
+                continue
             for plus in (False, True) if "+" in m[0] else (False,):
                 out.append((m.start(), from_url(m[0], plus)))
                 out += [(m.start(), inner) for inner in from_bytes(m[0], URL_BYTE, plus)]
-    if "\\" in text:
-        out += [(m.start(), from_escapes(m[0])) for m in ESCAPE.finditer(text)]
-        out += [(m.start(), inner) for m in LINE.finditer(text) for inner in from_bytes(m[0], BYTE_UNIT)]
+    if ESCAPE.search(text):
+        out += [(m.start(), from_escapes(m[0])) for m in SOLID.finditer(text) if ESCAPE.search(m[0])]
+        out += [(m.start(), inner) for m in LINE.finditer(text) if "\\u" in m[0] or "\\x" in m[0] for inner in from_bytes(m[0], BYTE_UNIT)]
     out += [(m.start(), inner) for m in BASE64.finditer(text) if len(m[0]) >= 16 for inner in from_base64(m[0])]
     return out
 
@@ -295,7 +310,3 @@ def digest(column: str):
 
 def count(column: str, kind: str):
     return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long")
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
