@@ -135,12 +135,12 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("largest", [repeats.LARGEST_GROUP, 9])
-def test_repeats(spark, largest):
+@pytest.mark.parametrize("parts", [None, 1, 23])
+def test_repeats(spark, parts):
     passages = [prose(n) for n in (75, 90, 110, 250)]
     texts = [prose(R.randint(1, 150)) + "".join(R.choice(passages)[R.randint(0, 40) :] + prose(R.randint(0, 30)) for _ in range(R.randint(0, 3))) for _ in range(60)]
     texts += [texts[0], texts[0], "a" * 900, "a" * 450, "b" * 399, "c" * 400, "c" * 401, "ab" * 600, None, "", "xyzw " * 300, "é" * 700, prose(80) + "q" * 1500, "q" * 800 + texts[7]]
-    got = {r.doc_id: (r.n_bytes, len(r.removed), bytes(r.kept)) for r in repeats.remove_repeats(docs(spark, texts), largest=largest).collect()}
+    got = {r.doc_id: (r.n_bytes, len(r.removed), bytes(r.kept)) for r in repeats.remove_repeats(docs(spark, texts), parts=parts).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, 400)
 
 
@@ -168,7 +168,7 @@ def test_cheapest_repairs():
 
 def test_rendering_is_legal(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 3)
-    monkeypatch.setattr(chat, "BUCKET", 5)
+    monkeypatch.setattr(chat, "FAN", 2)
     rows = [(c, t, R.choice(["user", "assistant", "system", "human", None, "tool"]), f"t{c}.{t}") for c in range(12) for t in range(c * 2)]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "part", "place").collect()
     assert len(got) == len(rows)
@@ -179,6 +179,57 @@ def test_rendering_is_legal(spark, monkeypatch):
         assert re.findall(r"t\d+\.\d+", text) == [f"t{c}.{t}" for t in range(c * 2)]
 
 
+def repaired(turns):
+    """The rendering and the cost of a conversation [(given, text)], by a plain pass over the states."""
+    best = {0: (0, [])}
+    for given, _ in turns:
+        new = {}
+        for r in (1, 2, 3):
+            new[r] = min(((c + chat.step(given, p, r)[0], p, way) for p, (c, way) in best.items()), key=lambda x: x[:2])
+        best = {r: (c, [*way, r]) for r, (c, _, way) in new.items()}
+    cost, _, way = min(((c + chat.INSERT * len(chat.closing(r)), r, w) for r, (c, w) in best.items()), key=lambda x: x[:2])
+    out, state = "", 0
+    for (given, text), role in zip(turns, way, strict=True):
+        _, merged, empty = chat.step(given, state, role)
+        if not merged:
+            out += "<|im_end|>\n" if state else ""
+            out += "".join(f"<|im_start|>{chat.ROLES[r]}\n<|im_end|>\n" for r in empty) + f"<|im_start|>{chat.ROLES[role]}\n"
+        out += ("\n" if merged else "") + (text or "").replace("<|im_", "<| im_")
+        state = role
+    return out + "<|im_end|>\n" + "".join(f"<|im_start|>{chat.ROLES[r]}\n<|im_end|>\n" for r in chat.closing(state)), cost
+
+
+def conversations(rows):
+    known = {"system": 1, "user": 2, "assistant": 3, **{k: chat.ROLES.index(v) for k, v in chat.ALIASES.items()}}
+    turns = sorted((r["conv_id"] if r["conv_id"] is not None else -1, r["turn"] is not None, r["turn"] or 0, known.get((r["role"] or "").strip(" ").lower(), 0), r["text"] is not None, r["text"] or "") for r in rows)
+    return {c: [(t[3], t[5]) for t in ts] for c, ts in itertools.groupby(turns, key=lambda t: t[0])}
+
+
+def test_renderings_of_the_table(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {r.conv_id: r for r in entry.queries()["op4_chat_format"](spark, sf).collect()}
+    want = conversations([r.asDict() for r in table.collect()])
+    assert {c: r.text for c, r in got.items()} == {c: repaired(ts)[0] for c, ts in want.items()} and all(r.part == 0 for r in got.values())
+    assert all(got[c].n_turns == len(ts) for c, ts in want.items())
+
+
+def test_long_and_sparse_conversations(spark, monkeypatch):
+    """A conversation over many partitions and levels, with equal, null and sparse turn numbers: whole, in order and at the least cost."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    monkeypatch.setattr(chat, "FAN", 3)
+    rows = [{"conv_id": c, "turn": t, "role": R.choice(["user", "assistant", "system", "human", None]), "text": f"t{i}"} for c, n in ((1, 700), (2, 1), (None, 90), (3, 9)) for i, t in enumerate(R.choice([None, 5, R.randrange(1 << 40)]) for _ in range(n))]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "conv_id long, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.format_chats(df).collect():
+        got[-1 if r.conv_id is None else r.conv_id].append(r)
+    for c, ts in conversations(rows).items():
+        turns = sorted(got[c], key=lambda r: r.place)
+        assert [r.place for r in turns] == list(range(len(ts)))
+        written = [chat.ROLES.index(r.role) for r in turns]
+        assert total([g for g, _ in ts], written) == repaired(ts)[1]
+        assert [x for x in re.findall(r"t\d+", "".join(r.piece for r in turns))] == [t for _, t in ts]
+
+
 def test_legal_conversations_stay(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
@@ -407,6 +458,14 @@ NOISE = " ".join(f"{x:x}" for x in random.Random(3).sample(range(1 << 30), 60)).
     lambda b: "a_b-c/" + base64.b64encode(raw_deflate(b)).decode(),
     lambda b: base64.b64encode(bytes(range(128, 160)) + b + b"\xff\x00\xfe").decode(),
     lambda b: base64.b64encode(gzip.compress(b"\xff\xfe" + b + b"\x00")).decode(),
+    lambda b: base64.b64encode(b.decode().encode("utf-16")).decode(),
+    lambda b: base64.b64encode(b.decode().encode("utf-16-be")).decode(),
+    lambda b: "".join(f"&#{x};" for x in b),
+    lambda b: "".join(f"&#x{x:X};" for x in b),
+    lambda b: "xx" + base64.b64encode(b).decode(),
+    lambda b: "".join(f"%{'25' * 9}{x:02x}" for x in b),
+    lambda b: "".join(f"\\{'u005c' * 9}u{x:04x}" for x in b),
+    lambda b: "".join(f"&{'#38;' * 9}#{x};" for x in b),
 ])
 def test_layers_of_bytes_are_unwrapped(wrap):
     inner = wrap(b"password=correcthorse7")
@@ -417,6 +476,48 @@ def test_layers_of_bytes_are_unwrapped(wrap):
     assert secret_scan.deep_scan(secret_scan.masked(text, every, "[secret]"))[1] == []
 
 
+@pytest.mark.parametrize("text", [
+    "x" * 1_000_000 + "%", "x" * 1_000_000 + "%41", "x" * 1_000_000 + "\\", "x" * 500_000 + "\\u0041" + "y" * 500_000, "%41" * 300_000, "\\u0041" * 150_000, "abc\n" * 250_000, "word" + " " * 1_000_000,
+    "&#65;" * 200_000, "%" + "25" * 400_000 + "41", "\\" + "u005c" * 200_000 + "u0041", "&" + "#38;" * 200_000 + "#65;", "token=" * 160_000, "AKIA" * 250_000,
+])
+def test_long_texts_without_blanks_take_linear_time(text):
+    import time
+
+    begin = time.process_time()
+    secret_scan.deep_scan(text)
+    assert time.process_time() - begin < 10
+
+
+def test_spans_of_a_table(spark):
+    """Secrets planted under chains of wrappings in prose: every span lies where it was planted, nothing is found elsewhere, and base spans stay."""
+    one = [
+        lambda b: base64.b64encode(b),
+        lambda b: base64.urlsafe_b64encode(b).rstrip(b"="),
+        lambda b: "".join(f"%{x:02X}" for x in b).encode(),
+        lambda b: "".join(f"\\u{x:04x}" for x in b).encode(),
+        lambda b: base64.b64encode(gzip.compress(b, mtime=0)),
+        lambda b: base64.b64encode(zlib.compress(b)),
+        lambda b: base64.b64encode(raw_deflate(b)),
+    ]
+    secrets = [b"password=correcthorse7", b"AKIA" + b"QWERTYUIOPASDFGH", b"0123456789abcdef" * 2]
+    texts, want = [], []
+    for i in range(90):
+        kind = i % 3
+        inner = secrets[kind]
+        for _ in range(R.randint(1, 4)):
+            inner = R.choice(one)(inner)
+        before = "é" * R.randint(0, 3) + " " + prose(R.randint(1, 40)) + " "
+        texts.append(before + inner.decode() + " " + prose(20) + " token: abc-def-1")
+        want.append((kind, len(before), len(before) + len(inner)))
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs(spark, texts)).collect()}
+    for i, (kind, a, b) in enumerate(want):
+        base = [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in got[i].base_spans]
+        every = [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in got[i].secret_spans]
+        assert base == secret_scan.scan(texts[i]) and set(base) <= set(every)
+        new = [s for s in every if s not in base]
+        assert any(s[1] == kind for s in new) and all(a <= s[0] < s[2] <= b for s in new), (texts[i][a:b], every)
+
+
 def test_cycles_end():
     secret_scan.deep_scan("%2525252525 " * 200 + "\\u005cu005c" * 50)
 
@@ -474,3 +575,26 @@ def test_attributes_drop_the_rest():
         assert html_text.main_text(page.format(element)) == "One, two.", element
     for element in ('<p id="promotion">WORDS, and a few more.</p>', '<section id="related-work"><p>WORDS, and more.</p></section>'):
         assert "WORDS" in html_text.main_text(f"<body><p>One, two.</p>{element}</body>"), element
+
+
+def test_ratios_decide_in_articles_and_out(monkeypatch):
+    prose_ = "One long sentence, with commas, of an article. And one more, to be sure."
+    links = "".join(f"<li><a href=/{i}>more {i}</a></li>" for i in range(8))
+    page = f"<body><article><p>{prose_}</p><div><ul>{links}</ul></div><div><p>12 m</p></div><div><p>Short.</p></div></article></body>"
+    assert html_text.main_text(page) == f"{prose_}\n12 m\nShort."
+    bare = f"<body><div><ul>{links}</ul></div><div><p>{prose_}</p><p>Short.</p><p>{prose_}</p></div><section><span>site name</span></section></body>"
+    assert html_text.main_text(bare) == f"{prose_}\nShort.\n{prose_}"
+    monkeypatch.setattr(html_text, "SHARE", 1e9)
+    assert html_text.main_text(page) == html_text.main_text(bare) == ""
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, '<a ">" ' * 120_000, "<![CDATA[>" * 100_000, "<div>" * 100_000 + "x" + "</p>" * 100_000, "<span hidden>" + "<div>" * 50_000 + "</span>" * 50_000, "<!--" * 200_000, "<p " + "a " * 300_000 + ">x",
+    "".join(f"<div class=c{chr(97 + i % 26)}{i}>" for i in range(40_000)), "<li>x" * 100_000,
+])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 8

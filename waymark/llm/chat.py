@@ -5,18 +5,21 @@ state is the role of the turn last written. Dynamic programming over it finds fo
 into the one before of the same role, relabelled, or have empty turns put in before it. Then the repaired turns are rendered.
 
 A turn's step is a matrix of costs from state to state, and steps compose by the (min, +) product. So a conversation of any length is cut into blocks of
-bounded size: each block's matrix, then the best states at the block's borders, then each block on its own. No task holds a whole conversation's texts.
+bounded size, by places that a sort over the cluster gives: each block's matrix, products of matrices level by level up to one, then down again the best states
+at the borders, then each block on its own. No task holds a whole conversation, and texts are only looked at turn by turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import checkpointed, runs
+
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -24,7 +27,8 @@ ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assi
 #: Costs: of a merge, of another role than the turn's, of a role for a turn without a known one, of an empty turn.
 MERGE, RELABEL, NAME, INSERT = 1, 2, 1, 3
 FAR = 1 << 40
-BLOCK, BUCKET = 512, 1024
+#: Turns of a block, and matrices that one product takes.
+BLOCK, FAN = 512, 512
 
 
 @cache
@@ -69,17 +73,28 @@ def product(roles: list[int]) -> list[int]:
     return rows
 
 
-def borders(matrices: list[list[int]]) -> tuple[list[int], int]:
-    """The state before each block and after the last on the cheapest way, and its cost; of equals the one of lower states, from the end."""
-    costs, back = [0, FAR, FAR, FAR], []
+def times(a: list[int], b: list[int]) -> list[int]:
+    """The product of two matrices."""
+    return [min(FAR, *(a[4 * s + p] + b[4 * p + r] for p in range(4))) for s in range(4) for r in range(4)]
+
+
+def ending(costs: list[int]) -> int:
+    """The cheapest state to end in, the lowest of equals."""
+    return min(range(4), key=lambda r: (costs[r] + INSERT * len(closing(r)), r))
+
+
+def borders(matrices: list[list[int]], enter: int = START, leave: int | None = None) -> tuple[list[int], int]:
+    """The state before each block and after the last on the cheapest way from `enter` to `leave`, or to any end, and its cost; of equals the one of lower states, from the end."""
+    costs, back = [FAR] * 4, []
+    costs[enter] = 0
     for m in matrices:
         back.append([min(range(4), key=lambda p: (costs[p] + m[4 * p + r], p)) for r in range(4)])
         costs = [min(FAR, costs[back[-1][r]] + m[4 * back[-1][r] + r]) for r in range(4)]
-    last = min(range(4), key=lambda r: (costs[r] + INSERT * len(closing(r)), r))
+    last = ending(costs) if leave is None else leave
     states = [last]
     for b in reversed(back):
         states.append(b[states[-1]])
-    return states[::-1], costs[last] + INSERT * len(closing(last))
+    return states[::-1], costs[last] + (INSERT * len(closing(last)) if leave is None else 0)
 
 
 def path(roles: list[int], enter: int, leave: int) -> list[int]:
@@ -107,21 +122,17 @@ def plain(text: str | None) -> str:
     return (text or "").replace("<|im_", "<| im_")
 
 
-def rendered(given: list[int], texts: list[str | None], enter: int, leave: int, final: bool) -> list[tuple[str, str, int, str]]:
-    """(role, action, empty turns put in, piece) of each turn of a block; the pieces of a conversation, joined, are its rendering."""
-    out, state = [], enter
-    for k, (g, text, role) in enumerate(zip(given, texts, path(given, enter, leave), strict=True)):
-        _, merged, empty = step(g, state, role)
-        action = "+".join([*(["insert"] if empty else []), *(["merge"] if merged else []), *(["relabel"] if g != role else [])]) or "keep"
-        piece = "\n" + plain(text) if merged else (CLOSED if state else "") + "".join(opened(r) + CLOSED for r in empty) + opened(role) + plain(text)
-        n = len(empty)
-        if final and k + 1 == len(given):
-            after = closing(role)
-            piece += CLOSED + "".join(opened(r) + CLOSED for r in after)
-            n, action = n + len(after), action if not after else "append" if action == "keep" else action + "+append"
-        out.append((ROLES[role], action, n, piece))
-        state = role
-    return out
+def rendered(given: int, text: str | None, state: int, role: int, final: bool) -> tuple[str, str, int, str]:
+    """(role, action, empty turns put in, piece) of a turn written as `role` after a state; the pieces of a conversation, joined, are its rendering."""
+    _, merged, empty = step(given, state, role)
+    action = "+".join([*(["insert"] if empty else []), *(["merge"] if merged else []), *(["relabel"] if given != role else [])]) or "keep"
+    piece = "\n" + plain(text) if merged else (CLOSED if state else "") + "".join(opened(r) + CLOSED for r in empty) + opened(role) + plain(text)
+    n = len(empty)
+    if final:
+        after = closing(role)
+        piece += CLOSED + "".join(opened(r) + CLOSED for r in after)
+        n, action = n + len(after), action if not after else "append" if action == "keep" else action + "+append"
+    return ROLES[role], action, n, piece
 
 
 def codes() -> Column:
@@ -134,47 +145,116 @@ def codes() -> Column:
     return out
 
 
+def placed(turns: DataFrame) -> tuple[DataFrame, int]:
+    """(conv_id, turn, given, text, place) with each turn's place in its conversation, from 0, and the most places of a conversation.
+
+    Turns are sorted over the cluster, so that a long conversation spans partitions; the driver gets what each partition begins and ends with.
+    """
+    known = turns.select("conv_id", "turn", codes().cast("int").alias("given"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.col(c).asc_nulls_first() for c in known.columns]
+    spread = known.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv_id", "turn", "given", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, runs_, at, n = (), 0, 0, 0
+        for b in batches:
+            nth, within = [], []
+            for c in b.column(1).to_pylist():
+                if (c,) != last:
+                    last, runs_, n = (c,), runs_ + 1, 0
+                nth.append((at, n, runs_ == 1))
+                at, n = at + 1, n + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i] for x in nth], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]], [*b.schema.names, "at", "within", "opens"])
+
+    types = dict(spread.dtypes)
+    found = checkpointed(spread.mapInArrow(counted, ", ".join(f"{c} {types[c]}" for c in spread.columns) + ", at long, within long, opens boolean"))
+    ends = found.groupBy("part").agg(F.min_by(F.struct("conv_id"), "at").alias("first"), F.max_by(F.struct("conv_id"), "at").alias("last"), F.count_if("opens").alias("n_first"), (F.max_by("within", "at") + 1).alias("n_last"), F.count("*").alias("n"), F.max("within").alias("most"))
+    carried, of, offsets, most = 0, None, [], 0
+    for r in sorted(ends.collect(), key=lambda r: r.part):
+        offset = carried if r.first == of else 0
+        offsets.append((r.part, offset))
+        most = max(most, r.most, offset + r.n_first - 1)
+        carried, of = (offset + r.n if r.n == r.n_first else r.n_last), r.last
+    here = F.broadcast(turns.sparkSession.createDataFrame(offsets, "part int, offset long"))
+    place = F.col("within") + F.when(F.col("opens"), F.col("offset")).otherwise(0)
+    return found.join(here, "part").select("conv_id", "turn", "given", "text", place.alias("place")), most
+
+
+def batch(rows: list[tuple], conv: pa.DataType, **types: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((conv, *types.values()))], ["conv_id", *types])
+
+
+SPANS = {"part": pa.int64(), "enter": pa.int32(), "leave": pa.int32(), "final": pa.bool_()}
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row a turn of turns (conv_id, turn, role, text): conv_id, part and place (a conversation's order), turn, role as written, action, n_inserted, piece.
+    """One row a turn of turns (conv_id, turn, role, text): conv_id, part (of BLOCK places), place in the conversation, turn, role as written, action, n_inserted, piece.
 
     Turns are taken by number, null first, then by role and text, so that ties have an order; rows that repeat are turns of their own. A null conv_id is a
     conversation like any; a null or unknown role is to be named; a null text is empty. Extra columns are left out. Where a conversation ends with a
     user, the empty assistant is put after the last turn.
     """
-    known = turns.select("conv_id", "turn", F.col("text").cast("string").alias("text"), codes().cast("int").alias("given"), F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(1 << 60))).cast("long").alias("part"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), "given", "text"))
-    numbered = known.withColumn("place", place.cast("long")).withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
-    keys = ["conv_id", "part", "block"]
+    numbered, most = placed(turns)
+    numbered = numbered.withColumn("part", F.floor(F.col("place") / BLOCK))
+    conv = dict(turns.dtypes)["conv_id"]
+
+    def gathered(rows: DataFrame, *cols: str) -> DataFrame:
+        return rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("all"))
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(a: DataFrame, b: DataFrame, *cols: str) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        return a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part"))).select("a.*", *[f"b.{c}" for c in cols])
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [reduce(times, [x["matrix"] for x in xs]) if "matrix" in xs[0] else product([x["given"] for x in xs]) for xs in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], ["conv_id", "part", "matrix"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [product([t["given"] for t in ts]) for ts in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.list_(pa.int64()))], [*keys, "matrix"])
+            yield batch([(c, k, START, borders([m])[0][-1], True) for c, k, m in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)], b.column(0).type, **SPANS)
 
-    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for conv, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                states, cost = borders([x["matrix"] for x in blocks])
-                rows += [(conv, x["part"], x["block"], states[i], states[i + 1], i + 1 == len(blocks), cost) for i, x in enumerate(blocks)]
-            types = (b.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [*keys, "enter", "leave", "final", "cost"])
+            for c, xs, enter, leave, final in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                states, _ = borders([x["matrix"] for x in xs], enter, leave)
+                rows += [(c, x["child"], states[i], states[i + 1], final and i + 1 == len(xs)) for i, x in enumerate(xs)]
+            yield batch(rows, b.column(0).type, **SPANS)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(n)[i].as_py() for n in ("conv_id", "part", "turns", "enter", "leave", "final")}
-                ts = row["turns"]
-                made = rendered([t["given"] for t in ts], [t["text"] for t in ts], row["enter"], row["leave"], row["final"])
-                cols = [[row["conv_id"]] * len(ts), [row["part"]] * len(ts), [t["place"] for t in ts], [t["turn"] for t in ts], *map(list, zip(*made, strict=True))]
-                types = (b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["conv_id", "part", "place", "turn", "role", "action", "n_inserted", "piece"])
+            rows = []
+            for c, k, xs, enter, leave, final in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                rows.append((c, k, [enter, *path([x["given"] for x in xs], enter, leave)], final))
+            yield batch(rows, b.column(0).type, part=pa.int64(), states=pa.list_(pa.int32()), final=pa.bool_())
 
-    conv = dict(turns.dtypes)["conv_id"]
-    lists = lambda *cols: numbered.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", *cols))).alias("turns"))
-    steps = lists("given").mapInArrow(matrices, f"conv_id {conv}, part long, block long, matrix array<long>")
-    chains = steps.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "block", "matrix"))).alias("blocks"))
-    found = chains.mapInArrow(along, f"conv_id {conv}, part long, block long, enter int, leave int, final boolean, cost long")
-    blocks, at = lists("turn", "given", "text").alias("b"), found.alias("f")
-    joined = blocks.join(at, F.col("b.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("b.part") == F.col("f.part")) & (F.col("b.block") == F.col("f.block"))).select("b.conv_id", "b.part", "turns", "enter", "leave", "final")
-    return joined.mapInArrow(write, f"conv_id {conv}, part long, place long, turn long, role string, action string, n_inserted long, piece string")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in runs(b, None):
+                made = [rendered(*x) for x in zip(*(part.column(i).to_pylist() for i in range(4, 9)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *[pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))]], ["conv_id", "part", "place", "turn", "role", "action", "n_inserted", "piece"])
+
+    levels = [gathered(numbered, "place", "given")]
+    matrices = f"conv_id {conv}, part long, matrix array<long>"
+    last = most // BLOCK
+    while last:
+        below = levels[-1].mapInArrow(multiplied, matrices).select("conv_id", F.col("part").alias("child"), F.floor(F.col("part") / FAN).alias("part"), "matrix")
+        levels.append(gathered(below, "child", "matrix"))
+        last //= FAN
+    spans = f"conv_id {conv}, part long, enter int, leave int, final boolean"
+    found = levels[-1].mapInArrow(multiplied, matrices).mapInArrow(whole, spans)
+    for level in reversed(levels[1:]):
+        found = joined(level, found, "enter", "leave", "final").mapInArrow(divided, spans)
+    roles = joined(levels[0], found, "enter", "leave", "final").mapInArrow(written, f"conv_id {conv}, part long, states array<int>, final boolean")
+    nth = (F.col("place") % BLOCK).cast("int")
+    final = F.col("final") & (nth == F.size("states") - 2)
+    every = joined(numbered, roles, "states", "final").select("conv_id", "part", "place", "turn", "given", "text", F.get("states", nth).alias("state"), F.get("states", nth + 1).alias("role"), final.alias("final"))
+    turn = dict(turns.dtypes)["turn"]
+    return every.mapInArrow(pieces, f"conv_id {conv}, part long, place long, turn {turn}, role string, action string, n_inserted long, piece string")
+
+
+def render_chats(turns: DataFrame) -> DataFrame:
+    """(conv_id, part, n_turns, n_kept, n_inserted, text): the repaired conversations of format_chats as texts. One of over BLOCK turns comes in parts, whose texts joined in order are its rendering."""
+    made = format_chats(turns)
+    parts = made.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), F.count_if(F.col("action") == "keep").alias("n_kept"), F.sum("n_inserted").alias("n_inserted"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("all"))
+    return parts.select("conv_id", "part", "n_turns", "n_kept", "n_inserted", F.array_join("all.piece", "").alias("text"))

@@ -39,11 +39,12 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(read(spark, sf_dir, "conversations"))
+    return chat.render_chats(read(spark, sf_dir, "conversations"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
