@@ -385,6 +385,34 @@ def test_forward_backward_word_by_word(monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(want, langid.forward_backward(e, first, moves, start, pairs=True), strict=True))
 
 
+@pytest.mark.parametrize("matrices", [16, 3])
+def test_stretches_give_the_marginals_of_the_whole(monkeypatch, matrices):
+    import numpy as np
+
+    monkeypatch.setattr(langid, "MATRIX_LANGUAGES", matrices)
+    monkeypatch.setattr(langid, "STEPS", 16 * 7)
+    r = np.random.default_rng(9)
+    model = langid.Model(list("abcd"), {})
+    model.moves, model.start = r.normal(size=(4, 4)), r.normal(size=4)
+    for n in (1, 7, 8, 50):
+        e, first = r.normal(size=(n, 4)), np.arange(n) == 0
+        assert np.allclose(np.concatenate([*model.stretches(lambda i, j: e[i:j], n)]), model.marginals(e, first))
+
+
+def test_letters_only(spark):
+    model = langid.fit([("the house", "en"), ("das haus", "de")])
+    got = langid.identify(docs(spark, ["½ ²", "Ⅷ 123", "¾", "x² das haus"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "und", "de"] and langid.words_of("x²y ½") == ["x", "y"]
+
+
+def test_excerpts_cover_the_text():
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000)]
+    text = ", ".join(words)
+    got = langid.words_of(langid.excerpt(text))
+    assert len(got) == langid.SAMPLE_CHAINS * langid.CHAIN and len({words.index(w) // 1000 for w in got}) == langid.SAMPLE_CHAINS
+    assert langid.excerpt("a b c") == "a b c" and langid.excerpt("") == ""
+
+
 def test_switches_within_a_text_are_followed(spark):
     texts = [("the house and the garden are here " * 4, "en"), ("das haus und der garten sind hier " * 4, "de")] * 5
     model = langid.fit(texts)

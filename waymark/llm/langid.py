@@ -12,29 +12,42 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import held, map_texts
+from waymark.llm.common import held, map_texts, runs
 
-#: Labelled rows that the model is fitted on, rows that a language has in any case if there are so many, characters of each, and words of a training chain.
-SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS, CHAIN = 1200, 50, 800, 40
-#: With more languages than this, chains are run through word by word, as matrices of all steps would not fit in memory.
+#: Labelled rows that the model is fitted on, rows that a language has in any case if there are so many, words of a training chain, and chains of a row.
+SAMPLE_ROWS, LANGUAGE_ROWS, CHAIN, SAMPLE_CHAINS = 1200, 50, 40, 4
+#: With more languages than this, chains are run through word by word, as a matrix a step would cost too much.
 MATRIX_LANGUAGES = 16
+#: Numbers that the steps run through at once may take; a longer text is run through in stretches, which give the same marginals.
+STEPS = 1 << 22
 BUCKETS, LEXICON, EPOCHS, RATE, L2 = 1 << 15, 1500, 4, 0.3, 1e-6
 UNKNOWN = "und"
 
 #: Characters of a run of letters that are one word, and what stands at the edge of a piece of a longer run.
 PIECE, CUT = 24, "\0"
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Numbers that aren't digits, which WORD takes for letters.
+NUMBER = regex.compile(r"[\p{No}\p{Nl}]")
+
+
+def letters(text: str | None) -> str:
+    """The text in lower case, with blanks for numbers such as fractions."""
+    low = (text or "").lower()
+    return low if low.isascii() or not NUMBER.search(low) else NUMBER.sub(" ", low)
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, joined by inner apostrophes and hyphens, in lower case; a run of over PIECE characters is cut into pieces."""
-    found = WORD.findall((text or "").lower())
+    found = WORD.findall(letters(text))
     return [p for w in found for p in pieces(w)] if max(map(len, found), default=0) > PIECE else found
 
 
@@ -94,19 +107,27 @@ class Model:
         """The marginals of words (rows) of chains laid end to end; first: True where a chain begins."""
         return forward_backward(emissions, first, self.moves, self.start)[0]
 
-
-def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Marginals of labels, and summed marginals of neighbours if wanted.
-
-    A step is a matrix: the transitions times the word's emissions, or at a chain's first word the same start row from any label. Blocks of steps are
-    first multiplied out, all blocks side by side; a pass over the products gives every block its entry and exit vectors; then all
-    blocks run forward and backward side by side. Vectors are scaled at every step, which marginals don't see.
-    """
+    def stretches(self, rows: Callable[[int, int], np.ndarray], n: int) -> Iterator[np.ndarray]:
+        """The marginals of one chain of n words, a stretch at a time; rows: gives the emissions of a stretch.
+
+        The product of each stretch's steps is formed first, so that each gets the vectors that the others send into it, and then it is run through on its own.
+        """
+        most = max(1, STEPS // len(self.labels) ** 2)
+        cuts = [(i, min(i + most, n)) for i in range(0, n, most)]
+        opens = lambda i, size: np.arange(i, i + size) == 0
+        products = [product(rows(i, j), opens(i, j - i), self.moves, self.start) for i, j in cuts]
+        into, out = [np.ones(len(self.labels))], [np.ones(len(self.labels))]
+        for p in products[:-1]:
+            into.append(into[-1] @ p / (into[-1] @ p).max())
+        for p in products[:0:-1]:
+            out.append(p @ out[-1] / (p @ out[-1]).max())
+        for (i, j), v, w in zip(cuts, into, reversed(out), strict=True):
+            yield forward_backward(rows(i, j), opens(i, j - i), self.moves, self.start, ends=(v, w))[0]
+
+
+def laid_out(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of chains laid end to end, in equal blocks side by side, and each block's product, scaled."""
     n, k = e.shape
-    if not n:
-        return np.zeros((0, k)), np.zeros((k, k)) if pairs else None
-    if k > MATRIX_LANGUAGES:
-        return summed(*in_order(e, first, moves, start), e, first, moves, pairs)
     size = max(1, int(n**0.5))
     blocks = -(-n // size)
     pad = blocks * size - n
@@ -120,7 +141,41 @@ def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start:
     for t in range(1, size):
         whole = whole @ step[t]
         whole /= whole.max(axis=(1, 2), keepdims=True)
+    return step, whole
+
+
+def product(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The product of the steps of some words, scaled."""
+    out = np.eye(e.shape[1])
+    if e.shape[1] > MATRIX_LANGUAGES:
+        emit, move, begin = np.exp(e - e.max(axis=1, keepdims=True)), np.exp(moves), np.exp(start)
+        for i in range(len(e)):
+            out = (np.broadcast_to(begin, out.shape) if first[i] else out @ move) * emit[i]
+            out = out / out.max()
+        return out
+    for m in laid_out(e, first, moves, start)[1]:
+        out = out @ m
+        out /= out.max()
+    return out
+
+
+def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, pairs: bool = False, ends: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of labels, and summed marginals of neighbours if wanted.
+
+    A step is a matrix: the transitions times the word's emissions, or at a chain's first word the same start row from any label. Blocks of steps are
+    first multiplied out, all blocks side by side; a pass over the products gives every block its entry and exit vectors; then all
+    blocks run forward and backward side by side. Vectors are scaled at every step, which marginals don't see. ends: the vectors that what is before and after sends in.
+    """
+    n, k = e.shape
+    if not n:
+        return np.zeros((0, k)), np.zeros((k, k)) if pairs else None
+    ends = ends or (np.ones(k), np.ones(k))
+    if k > MATRIX_LANGUAGES:
+        return summed(*in_order(e, first, moves, start, *ends), e, first, moves, pairs)
+    step, whole = laid_out(e, first, moves, start)
+    size, blocks = step.shape[:2]
     into, out = np.ones((blocks, k)), np.ones((blocks, k))
+    into[0], out[-1] = ends
     for b in range(1, blocks):
         v = into[b - 1] @ whole[b - 1]
         into[b] = v / v.max()
@@ -142,20 +197,18 @@ def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start:
     return summed(flat(alpha), flat(beta), e, first, moves, pairs)
 
 
-def in_order(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The forward and backward vectors, word by word."""
+def in_order(e: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward and backward vectors, word by word, from those at the ends."""
     emit, move, begin = np.exp(e - e.max(axis=1, keepdims=True)), np.exp(moves), np.exp(start)
     alpha, beta = np.empty_like(e), np.empty_like(e)
-    v = np.ones(e.shape[1])
     for i in range(len(e)):
         v = (begin if first[i] else v @ move) * emit[i]
         v /= v.max()
         alpha[i] = v
-    v = np.ones(e.shape[1])
     for i in range(len(e) - 1, -1, -1):
-        beta[i] = v
-        v = np.ones(e.shape[1]) if first[i] else move @ (emit[i] * v)
-        v /= v.max()
+        beta[i] = w
+        w = np.ones(e.shape[1]) if first[i] else move @ (emit[i] * w)
+        w /= w.max()
     return alpha, beta
 
 
@@ -242,21 +295,37 @@ def quotas(counts: dict[str, int], rows: int, least: int) -> dict[str, int]:
     return out
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, least: int = LANGUAGE_ROWS) -> Model:
-    """A model fitted on a sample of the labelled rows that aren't held out, `chars` characters of each: of each language those of the smallest hashes of key and text.
+def excerpt(text: str, chains: int = SAMPLE_CHAINS) -> str:
+    """A text of at most so many training chains whole, of a longer one that many, spread evenly over all of it."""
+    at = [m.span() for m in WORD.finditer(letters(text))]
+    n = -(-len(at) // CHAIN)
+    if n <= chains:
+        return text
+    low = letters(text)
+    return "\n".join(low[at[k * CHAIN][0] : at[min((k + 1) * CHAIN, len(at)) - 1][1]] for k in ((2 * i + 1) * n // (2 * chains) for i in range(chains)))
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chains: int = SAMPLE_CHAINS, least: int = LANGUAGE_ROWS) -> Model:
+    """A model fitted on a sample of the labelled rows that aren't held out: of each language those of the smallest hashes of key and text, and of each row `chains` runs of words from all over it.
 
     This is the documented bound of the sample, the same at every size of the table: `rows` in all, dealt evenly over the languages, or `least` of each
     language if that is more. A first count by language sets a bound on the hashes under which about twice its share lies, so the tasks together send
     no more than these to be put in order. Rows without a language, a text or a key are not learned from, nor counted; repeated ones count once.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    begin = F.substring(F.col(text).cast("string"), 1, chars)
-    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample"), begin).alias("h"), begin.alias("t"), F.col(lang).cast("string").alias("l"))
+    whole = F.col(text).cast("string")
+    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample"), whole).alias("h"), whole.alias("t"), F.col(lang).cast("string").alias("l"))
     counts = {r.l: max(1, r.n) for r in hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     wanted = quotas(counts, rows, least)
     bounds = {x: (1 << 63) - 1 if counts[x] <= 3 * q + 100 else int((2 * q + 60) / counts[x] * (1 << 64)) - (1 << 63) for x, q in wanted.items()}
     bound = F.try_element_at(F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>"), F.col("l"))
-    drawn = hashed.where(F.col("h") <= bound).distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in runs(b, None):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([excerpt(t, chains) for t in part.column(1).to_pylist()], pa.string()), part.column(2)], ["h", "t", "l"])
+
+    drawn = hashed.where(F.col("h") <= bound).mapInArrow(cut, "h long, t string, l string").distinct()
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     most = max(wanted.values(), default=0)
     found = drawn.withColumn("nth", nth).where(F.col("nth") <= max(1, 2 * most)).orderBy("h", "t", "l").collect() if wanted else []
@@ -294,25 +363,31 @@ def identify(docs: DataFrame, model: Model, text: str = "text", added: T.StructT
             part = fresh[i : i + 20_000]
             known.update(zip(part, (row.tobytes() for row in m.emissions(part)), strict=True))
         live = [i for i, ws in enumerate(lists) if ws]
-        for group in grouped(live, [len(lists[i]) for i in live]):
+        most = STEPS // max(1, k * k)
+        for group in grouped(live, [len(lists[i]) for i in live], most):
             sizes = np.array([len(lists[i]) for i in group])
-            e = np.frombuffer(b"".join([known[w] for i in group for w in lists[i]])).reshape(-1, k)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            first = np.zeros(len(e), bool)
-            first[starts] = True
-            marginals = m.marginals(e, first)
-            sums = np.add.reduceat(marginals, starts, axis=0) / sizes[:, None]
-            confident = np.add.reduceat((marginals.max(axis=1) >= 0.5).astype(float), starts) / sizes
-            for i, s, c in zip(group, sums, confident, strict=True):
+            rows = lambda words: np.frombuffer(b"".join([known[w] for w in words])).reshape(-1, k)
+            if len(group) == 1 and sizes[0] > most:
+                words, sums, confident = lists[group[0]], np.zeros((1, k)), np.zeros(1)
+                for marginals in m.stretches(lambda i, j: rows(words[i:j]), len(words)):
+                    sums += marginals.sum(axis=0)
+                    confident += (marginals.max(axis=1) >= 0.5).sum()
+            else:
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                first = np.zeros(sizes.sum(), bool)
+                first[starts] = True
+                marginals = m.marginals(rows(w for i in group for w in lists[i]), first)
+                sums, confident = np.add.reduceat(marginals, starts, axis=0), np.add.reduceat((marginals.max(axis=1) >= 0.5).astype(float), starts)
+            for i, s, c, n in zip(group, sums, confident, sizes, strict=True):
                 best = int(s.argmax())
-                langs[i], scores[i], sure[i] = m.labels[best], float(min(1.0, s[best])), float(c)
+                langs[i], scores[i], sure[i] = m.labels[best], float(min(1.0, s[best] / n)), float(c / n)
         return {"lang_pred": langs, "lang_score": scores, "lang_sure": sure}
 
     return map_texts(docs, text, predicted, added)
 
 
-def grouped(items: list[int], sizes: list[int], most: int = 100_000):
-    """Runs of items of about `most` in size."""
+def grouped(items: list[int], sizes: list[int], most: int):
+    """Runs of items of at most `most` in size; an item over that is alone."""
     part, total = [], 0
     for i, n in zip(items, sizes, strict=True):
         if part and total + n > most:
