@@ -304,6 +304,35 @@ def test_token_counts_of_a_table(spark):
     assert [r.n_words for r in got] == [20, 0, 0, 0, 1] and got[0].n_tokens >= 20 and got[1].n_tokens == 0
 
 
+def test_token_counts_by_brute_force(spark, sf, monkeypatch):
+    """The query on a whole table with the real vocabulary against a plain pass over each word; long words and a trie begun anew give the same."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = token_count.Unigram.from_vocabulary(path)
+
+    def plain(w):
+        best = [(0, 0)]
+        for j in range(1, len(w) + 1):
+            ways = [(best[i][0] + table.scores[w[i:j]], best[i][1] - 1) for i in range(max(0, j - table.longest), j) if w[i:j] in table.scores]
+            if w[j - 1] not in table.scores:
+                n = len(w[j - 1].encode())
+                ways.append((best[j - 1][0] + n * table.byte, best[j - 1][1] - n))
+            best.append(max(ways))
+        return -best[-1][1]
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    known = {w: plain("▁" + w) for r in rows for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in entry.queries()["op7_token_counts"](spark, sf).collect()}
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        assert got[r.doc_id] == (len(words), sum(map(known.__getitem__, words)))
+    words = sorted({"▁" + w for w in known})[:400]
+    want = table.counts(words)
+    monkeypatch.setattr(token_count, "LONG", 5)
+    assert table.counts(words) == want
+    monkeypatch.setattr(token_count, "NODES", 10)
+    assert [table.counts([w])[0] for w in words] == want
+
+
 # 8
 
 
