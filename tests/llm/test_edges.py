@@ -112,3 +112,56 @@ def test_pipeline_decodes(spark, sf):
     got = corpus_pipeline.encoding(spark, df, sf).collect()
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ROWS)
     assert all(len(r.token_ids) == r.n_tokens for r in got)
+
+
+def test_columns_stay_as_they_are(spark):
+    """Values, and not only names, of columns that clash with what the operators make."""
+    from waymark.llm import html_text as h
+
+    text = "".join(f"One {i} two{i} three, four{i} five. " for i in range(40))
+    names = ["doc_id", "text", "lang", "nth", "n_words", "kept", "hit_words before", "seen before", "row", "doc", "c0", "h", "n", "more", "rows", "part", "key"]
+    df = spark.createDataFrame([(1, text, "en", *(f"mine {c}" for c in names[3:])), (2, text + "and more words here. " * 30, "en", *(f"mine {c}" for c in names[3:]))], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    bench = spark.createDataFrame([(str(i), f"b{i} " * 20) for i in range(10)], "item_id string, text string")
+    stay = names[3:]
+    for name, made in {
+        "clean": quality.clean(df),
+        "redact": secret_scan.redact(df),
+        "keep_one": simhash.keep_one(df),
+        "remove_hits": decontam.remove_hits(df, bench),
+        "find_hits": decontam.find_hits(df, bench),
+        "find_hits in blocks": decontam.find_hits(df, bench, block_words=30),
+        "remove_repeats": repeats.remove_repeats(df),
+        "find_secrets": secret_scan.find_secrets(df),
+        "extract": h.extract(df, "text"),
+    }.items():
+        got = made.collect()
+        assert got and all(r[c] == f"mine {c}" for r in got for c in stay if (name, c) != ("remove_repeats", "kept")), name
+
+
+def test_two_texts_under_one_key(spark):
+    a, b, c = ("alpha beta gamma delta " * 40), ("one two three four five six " * 40), ("eins zwei drei " * 50)
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, c)] + [(None, f"null {i} " * 60) for i in range(300)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == sorted([(3, a), (7, b), (8, c)])
+    assert {r.text for r in got if r.doc_id is None} == {t for k, t in rows if k is None}
+
+
+def test_checkpoint_folder(spark, monkeypatch):
+    from waymark.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())

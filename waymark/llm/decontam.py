@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import held, map_texts
+from waymark.llm.common import held, map_texts, written
 
 WINDOW = 13
 #: Words of benchmark items that one automaton may hold, and words of a piece of a very long item.
@@ -134,7 +135,7 @@ class Automaton:
 
 SPAN = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
 HITS = T.StructType([T.StructField("hit_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN, False)), T.StructField("hit_chars", T.ArrayType(SPAN, False)), T.StructField("hit_items", T.ArrayType(T.StringType(), False))])
-PIECES = "item string, part long, n long, whole boolean, words array<binary>"
+PIECES = "item string, n long, whole boolean, words array<binary>"
 
 
 def pieces(benchmark: DataFrame, window: int) -> DataFrame:
@@ -147,12 +148,12 @@ def pieces(benchmark: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 step = max(1, PIECE_WORDS - window + 1)
                 starts = range(0, max(1, len(words) - window + 1), step) if words else ()
-                rows += [(item, k, len(part), len(words) == len(part), part) for k, s in enumerate(starts) for part in [words[s : s + step + window - 1]]]
+                rows += [(item, len(part), len(words) == len(part), part) for s in starts for part in [words[s : s + step + window - 1]]]
             names = [x.split()[0] for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.binary())))], names)
-
-    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.binary())))], names)
 
+    cut_up = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return cut_up.dropDuplicates(["item", "whole", "words"])
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -160,24 +161,39 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     the next word) and hit_items.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A null text has no words; an empty
-    benchmark hits nothing; an item whose id is null hits but is not listed. Repeated items and repeated documents count as they are.
-    Documents are never shuffled. What is broadcast is bounded: an automaton holds about block_words words; where the benchmark has more,
-    its pieces are dealt to several blocks by a hash and the documents pass the blocks one after another.
+    benchmark hits nothing; an item whose id is null hits but is not listed. Repeated items and repeated documents count as they are. Columns of docs
+    that have the new names are replaced, all others stay.
+    What is broadcast is bounded: an automaton holds about block_words words. Where the benchmark has more, its pieces are dealt to blocks by a hash of all they
+    are, the documents are written once and read by each block, and of the blocks after the first only documents with hits are joined.
     """
-    parts = pieces(benchmark, window)
+    spark, parts = docs.sparkSession, written(pieces(benchmark, window))
     total = parts.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-total // block_words)
-    spark, out = docs.sparkSession, docs
-    for k in range(max(1, n_blocks)):
-        block = parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(max(1, n_blocks))) == k)
-        rows = [(r.item, [bytes(w) for w in r.words], r.whole) for r in block.collect()] if total else []
-        sent = spark.sparkContext.broadcast(rows)
-        if k:
-            out = out.withColumnsRenamed({f: f"{f} before" for f in HITS.fieldNames()})
-        out = map_texts(out, text, matcher(sent, uuid.uuid4().hex, window), HITS)
-        if k:
-            out = merged(out)
-    return out
+    n_blocks = max(1, -(-total // block_words))
+    block = lambda n: F.pmod(F.xxhash64("item", "whole", "words"), F.lit(n))
+    while n_blocks > 1 and parts.groupBy(block(n_blocks).alias("k")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > 2 * block_words + PIECE_WORDS:
+        n_blocks *= 2
+
+    def matched(rows: DataFrame, text: str, k: int) -> DataFrame:
+        found = parts.where(block(n_blocks) == k).collect() if total else []
+        sent = spark.sparkContext.broadcast([(r.item, [bytes(w) for w in r.words], r.whole) for r in found])
+        return map_texts(rows, text, matcher(sent, uuid.uuid4().hex, window), HITS)
+
+    if n_blocks == 1:
+        return matched(docs, text, 0)
+    kept = [c for c in docs.columns if c not in HITS.fieldNames()]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    rows = written(docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("nth")))
+    others = [matched(rows.select("nth", "text"), "text", k).where(F.size("hit_spans") > 0) for k in range(1, n_blocks)]
+    lists = ("hit_spans", "hit_chars", "hit_items")
+    more = reduce(DataFrame.unionByName, others).groupBy("nth").agg(F.struct(*[F.flatten(F.collect_list(c)).alias(c) for c in lists]).alias("more"))
+    both = matched(rows, "text", 0).join(more, "nth", "left")
+    every = {c: F.concat(c, F.coalesce(f"more.{c}", F.array().cast(HITS[c].dataType))) for c in lists}
+    return both.select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)],
+        "hit_words",
+        *[joined(every[c], HITS[c].dataType).alias(c) for c in lists[:2]],
+        F.array_sort(F.array_distinct(every["hit_items"])).alias("hit_items"),
+    )
 
 
 def matcher(block, name: str, window: int):
@@ -195,23 +211,17 @@ def matcher(block, name: str, window: int):
     return match
 
 
-def merged(made: DataFrame) -> DataFrame:
-    """The hits of one more block joined with those of the blocks before."""
-
-    def joined(name: str) -> Column:
-        last = lambda acc: F.try_element_at(acc, F.lit(-1))
-        return F.aggregate(
-            F.array_sort(F.concat(name, f"`{name} before`")),
-            F.array().cast(HITS[name].dataType),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (last(acc)["end"] >= x["start"]),
-                F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-
-    kept = [c for c in made.columns if c not in HITS.fieldNames() and not c.endswith(" before")]
-    items = F.array_sort(F.array_union("hit_items", "`hit_items before`"))
-    return made.select(*[F.col(f"`{c}`") for c in kept], "hit_words", joined("hit_spans").alias("hit_spans"), joined("hit_chars").alias("hit_chars"), items.alias("hit_items"))
+def joined(spans: Column, kind: T.DataType) -> Column:
+    """Spans in order, those that meet or overlap as one."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    return F.aggregate(
+        F.array_sort(spans),
+        F.array().cast(kind),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (last(acc)["end"] >= x["start"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
 
 
 def hit_count() -> Column:

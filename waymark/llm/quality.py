@@ -92,13 +92,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, each with its failing lines and its empty ones removed. Columns stay.
+    """The documents that are kept, each with its failing lines and its empty ones removed. Columns stay, whatever their names; a null or empty text isn't kept.
 
     The row number keeps the filter above the counts: pushed below, it would copy their expressions into each other and count a text many times over.
     """
-    kept = measured(docs, text).withColumn("nth", F.monotonically_increasing_id()).where("kept and nth >= 0")
-    left = F.array_join(F.transform(F.filter(counted(F.col(f"`{text}`")), passes(F.lit(True), F.lit(True), F.lit(True))), lambda s: s["x"]), "\n")
-    return kept.withColumn(text, left).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    kept = measured(rows).withColumn("nth", F.monotonically_increasing_id()).where("kept and nth >= 0")
+    left = F.array_join(F.transform(F.filter(counted(F.col("text")), passes(F.lit(True), F.lit(True), F.lit(True))), lambda s: s["x"]), "\n")
+    return kept.select(*[(left if c == text else F.col(f"doc.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle() -> str:
