@@ -75,8 +75,7 @@ def test_keep_one_by_row(spark):
     assert sorted(map(tuple, simhash.keep_one(spark.createDataFrame(hot, "doc_id long, text string")).collect())) == sorted(hot)
 
 
-@pytest.mark.parametrize("most", [32, 2])
-def test_links_of_dense_balls(spark, most):
+def test_links_of_dense_balls(spark):
     values = set()
     for centre in (0, -1, 0x0123456789ABCDEF):
         for _ in range(60):
@@ -84,10 +83,31 @@ def test_links_of_dense_balls(spark, most):
             for b in R.sample(range(64), R.randint(0, 3)):
                 v ^= 1 << b
             values.add((v + (1 << 63)) % (1 << 64) - (1 << 63))
-    got = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), most)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
     assert {v: got.get(v, v) for v in values} == roots(sorted(values), lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
 
 
+def test_the_count_selects(spark):
+    """The pairs that meet are those that share the bytes needed; with fewer needed there are more; bits decide among them; and one list may span batches."""
+    values = sorted({R.getrandbits(64) - (1 << 63) for _ in range(40)})
+    values += [v ^ x for v in values[:20] for x in (1, 257, 3 << 20, 0x0F0F, 0x010101, 1 << 40 | 1 << 13 | 1)]
+    values = sorted(set(values))
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    shared = lambda a, b: sum((a ^ b) >> 8 * p & 0xFF == 0 for p in range(8))
+    pairs = [(a, b) for a, b in itertools.combinations(values, 2)]
+    for needed in (6, 5):
+        met = {(r.a, r.b) for r in simhash.postings(df, needed).alias("x").join(simhash.postings(df, needed).alias("y"), ["at", "bits"]).where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).collect()}
+        assert met == {(a, b) for a, b in pairs if shared(a, b) >= needed}
+    assert len({(a, b) for a, b in pairs if shared(a, b) >= 5}) > len({(a, b) for a, b in pairs if shared(a, b) >= 6})
+    want = {(a, b) for a, b in pairs if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert {tuple(r) for r in simhash.links(df).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in simhash.links(df).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 2
 
 

@@ -1,28 +1,29 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 2 bits differ in at most 2 of their 8 bytes, so a linked pair shares at least 6
-positional bytes: that count is the filter. The postings are keyed by positional bytes, not by documents: only distinct fingerprints
-are indexed. A list for one positional byte would hold a 256th of them all, so the eight are taken two by two and a posting's key
-is two of the four double bytes with their positions. At least two double bytes of a linked pair are untouched, so the pair meets under
-some key. Every pair that meets has its shared positional bytes tallied; a tally of 6 passes and the bits are compared.
-
-A posting list longer than `most` isn't paired off. Its fingerprints agree in four bytes already, so two linked ones both lie within
-one bit of a common midpoint that differs from them in the other 32 bits only: each emits itself and its 32 neighbours, and those who meet at a
-midpoint are tied to the smallest there. That takes 33 rows a fingerprint however long the list, and loses no link.
+positional bytes: that count is the filter. A posting list of one positional byte would hold a 256th of all fingerprints, and tallying its pairs would be quadratic,
+so the tally is taken in the index: a posting's key is six positional bytes at once, 28 keys a fingerprint, and a pair meets if and only if its tally of shared
+bytes reaches six; with fewer it is no candidate (`needed` sets the count). Then the bits are compared. The members of a list differ in two bytes only, so there are
+65,536 at most however large the corpus is: no list is hot, and none needs another way. Only distinct fingerprints are indexed, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import checkpointed, map_texts, written
+from waymark.llm.common import checkpointed, hot_join, map_texts, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-LONG_LIST = 32
+#: Positional bytes that a linked pair is guaranteed to share, of eight.
+NEEDED = 8 - DISTANCE
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -64,41 +65,54 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs, text, made, T.StructType([T.StructField("fp", T.LongType())]))
 
 
-def postings(fps: DataFrame) -> DataFrame:
-    """(key, fp): six a fingerprint, one for each two of its four double bytes; the key is the 32 bits and which they are."""
-    double = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.struct(F.lit(4 * i + j).cast("byte").alias("at"), (F.shiftleft(double[i], 16).bitwiseOR(double[j])).alias("bits")) for i in range(4) for j in range(i)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-
-
-def shared_bytes(a, b):
-    """How many of the eight positional bytes are equal."""
-    return sum((F.shiftrightunsigned(a.bitwiseXOR(b), 8 * p).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for p in range(8))
-
-
-def links(fps: DataFrame, most: int = LONG_LIST) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints at most DISTANCE bits apart, all of them but those that long lists tie together through a smallest one."""
-    index = postings(fps)
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = index.join(sizes, "key")
-    lists = met.where(F.col("n") <= most).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    a, b = F.col("a"), F.col("b")
-    pairs = lists.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(most))).alias("b"))
-    near = pairs.where(shared_bytes(a, b) >= 8 - DISTANCE).where(F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
-    # long lists: the midpoints differ in the 32 bits outside the key
-    outside = F.expr(" + ".join(f"case when key.at in ({', '.join(str(4 * i + j) for i in range(4) for j in range(i) if d not in (i, j))}) then {0xFFFF << 16 * d if d < 3 else -(1 << 48)}L else 0L end" for d in range(4)))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
-    middle = met.where(F.col("n") > most).select("key", "fp", F.explode(F.filter(flips, lambda x: (x == 0) | (x.bitwiseAND(outside) != 0))).alias("flip"))
-    ties = middle.groupBy("key", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle")).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    tied = ties.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return near.unionByName(tied).distinct()
+def masks(needed: int) -> list[int]:
+    """The bits of each choice of so many positional bytes, as signed longs."""
+    every = (sum(0xFF << 8 * p for p in at) for at in itertools.combinations(range(8), needed))
+    return [m - (1 << 64) if m >> 63 else m for m in every]
+
+
+def postings(fps: DataFrame, needed: int = NEEDED) -> DataFrame:
+    """(at, bits, fp): for each choice of `needed` positional bytes which it is, and these bytes."""
+    keys = [F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks(needed))]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp").select("key.at", "key.bits", "fp")
+
+
+def pairs_of(lists: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, tally), a < b, of the sorted posting lists: the pairs of each list at most `distance` bits apart, and how many positional bytes they share."""
+    left = tuple(np.zeros(0, np.int64) for _ in range(3))
+    empty = [False]
+    for batch in itertools.chain(lists, empty):
+        at, bits, fp = (np.concatenate([x, batch.column(i).to_numpy()]) if batch else x for i, x in enumerate(left))
+        if not len(fp):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (bits[1:] != bits[:-1])]))
+        size = np.diff(np.concatenate([new, [len(fp)]]))
+        if batch:  # the last list may go on
+            left = tuple(x[new[-1] :] for x in (at, bits, fp))
+            new, size = new[:-1], size[:-1]
+        rest = np.repeat(size, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) - 1  # members after this one
+        here, step = np.flatnonzero(rest > 0), 1
+        while len(here):
+            a, b = fp[here], fp[here + step]
+            differ = (a ^ b).astype(np.uint64)
+            near = np.bitwise_count(differ) <= distance
+            shared = (differ[near].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near]), pa.array(shared.astype(np.int32))], ["a", "b", "tally"])
+            step += 1
+            here = here[rest[here] >= step]
+
+
+def links(fps: DataFrame, needed: int = NEEDED, distance: int = DISTANCE) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct fingerprints at most `distance` bits apart."""
+    lists = postings(fps, needed).repartition("at", "bits").sortWithinPartitions("at", "bits")
+    return lists.mapInArrow(lambda b: pairs_of(b, distance), "a long, b long, tally int").where(F.col("tally") >= needed).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) can reach, by alternating large and small stars.
 
-    Each round ties every node's larger neighbours, then its smaller ones, to the smallest node it knows; the tree ends as stars. A hot node's
-    neighbours are never gathered: rounds are joins with an aggregate. The lineage is cut each round.
+    Each round ties every node's larger neighbours, then its smaller ones, to the smallest node it knows; the tree ends as stars, after rounds in the order of
+    the squared logarithm of the longest chain. A hot node's neighbours are never gathered: rounds are joins with an aggregate. The lineage is cut each round.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
@@ -120,16 +134,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     Equal fingerprints link; so do those at most two bits apart, and links chain. A text without words (empty, blank, null) has fingerprint zero and
     links like any other. Rows whose key is null belong to their component but don't name it; it is null if all its keys are.
-    Extra columns of docs are left out. Copies are grouped by fingerprint before anything is joined.
+    Extra columns of docs are left out. Copies are grouped by fingerprint before anything is joined, and the rows of a hot one stay where they are.
     """
     known = checkpointed(with_fingerprint(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "text").select("id", "fp"))
-    classes = known.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = checkpointed(known.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     tied = components(links(classes.select("fp")))
     rooted = classes.join(tied, classes.fp == tied.node).select("fp", "least", "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    every = classes.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return known.join(every, "fp").select(F.col("id").alias(key), "fp", "component_id")
+    every = written(classes.join(by_fp, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    return hot_join(known, every, ["fp"]).select(F.col("id").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
