@@ -134,3 +134,32 @@ def test_flattened_lines_are_whole(spark, tmp_path):
 def test_title_case_of_a_long_word(spark):
     n = (1 << 20) + 50
     assert spark.range(1).select(labels.title_case(F.repeat(F.lit("aB"), n // 2)).alias("w")).select(F.length("w")).first()[0] == n
+
+
+def test_route_legs_to_a_place(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("b", "a"), ("e", "f")], "canonical_origin string, canonical_destination string")
+    assert [tuple(r) for r in matching.route_legs(edges, "a", "d").collect()] == [("d", 1, ["a", "b", "d"])]
+    assert {tuple(r)[:2] for r in matching.route_legs(edges, "a", transfers=3).collect()} == {("b", 0), ("c", 0), ("a", 1), ("d", 1), ("e", 2), ("f", 3)}
+    assert matching.route_legs(edges, "a", "f").count() == 0 and matching.route_legs(edges, "x", "a").count() == 0
+
+
+def test_close_pairs_of_all_short_strings(spark):
+    import itertools
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    words = ["".join(w) for n in range(6) for w in itertools.product("ab", repeat=n)] + ["long label of a place", "lang label of place", "long label of a plac", "label of a place long"]
+    for k in (1, 2):
+        got = {tuple(r) for r in similarity.close_pairs(spark.createDataFrame([(w,) for w in words], "s string"), "s", k).collect()}
+        assert got == {(a, b, edits(a, b)) for a in words for b in words if a < b and edits(a, b) <= k}
+
+
+def test_rules_that_differ(spark):
+    table = spark.createDataFrame([("a", "z"), ("a", "b")], "was string, now string")
+    assert [r.x for r in cleaning.apply_corrections(spark.createDataFrame([("a",), ("c",)], "x string"), "x", table).orderBy("x").collect()] == ["b", "c"]

@@ -62,16 +62,31 @@ def normalise_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "^﻿", "")
 
 
+#: Columns that say the same as another one where they agree on all rows.
+DOUBLED = {"stops": [("stop_code", "stop_id")]}
+
+
+def clean_table(table: str, df: DataFrame) -> DataFrame:
+    """A table of a feed with stop names in title case, coordinates in six decimals, and without blank or doubled columns."""
+    finer = {c: F.round(c, 6) for c in df.columns if c.endswith(("_lat", "_lon"))}
+    names = {"stop_name": title_case(F.col("stop_name"))} if table == "stops" and "stop_name" in df.columns else {}
+    tidy = df.withColumns(finer | names) if finer or names else df
+    pairs = [p for p in DOUBLED.get(table, []) if {*p} <= {*tidy.columns}]
+    return drop_blank_columns(drop_redundant_columns(tidy, pairs) if pairs else tidy)
+
+
 def clean_stops(stops: DataFrame) -> DataFrame:
-    """A feed's stops with names in title case, coordinates in six decimals, and without unused or doubled columns."""
-    tidy = stops.withColumns({"stop_name": title_case(F.col("stop_name")), "stop_lat": F.round("stop_lat", 6), "stop_lon": F.round("stop_lon", 6)})
-    tidy = drop_redundant_columns(tidy, [("stop_code", "stop_id")]) if "stop_code" in tidy.columns else tidy
-    return drop_blank_columns(tidy)
+    return clean_table("stops", stops)
+
+
+def clean_gtfs(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """clean_table of every table of a feed; line ends and byte order marks are gone once it is read."""
+    return {table: clean_table(table, df) for table, df in feed.items()}
 
 
 def apply_corrections(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    """df with exact labels replaced by table (was, now); one hop."""
-    rules = table.dropDuplicates(["was"]).select("was", "now")
+    """df with exact labels replaced by table (was, now); one hop. Of rules that differ for a label the first by name counts."""
+    rules = table.groupBy("was").agg(F.min("now").alias("now"))
     return df.join(rules, F.col(column) == F.col("was"), "left").withColumn(column, F.coalesce("now", column)).drop("was", "now")
 
 

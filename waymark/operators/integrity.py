@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import in_box, repeats_point
+from waymark.functions.labels import is_time
+
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 
 
@@ -45,17 +50,50 @@ def calendar_label_check(calendar: DataFrame) -> DataFrame:
 
 def integrity_report(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, n_bad), one row a check: the number of rows each of the DataFrames holds."""
-    parts = [df.agg(F.lit(name).alias("check"), F.count("*").alias("n_bad")) for name, df in checks.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("check"), F.count("*").alias("n_bad")) for name, df in checks.items()])
+
+
+#: The keys of a feed's tables, and which columns are keys of which tables.
+KEYS = {"routes": ("route_id",), "trips": ("trip_id",), "stops": ("stop_id",), "calendar": ("service_id",), "stop_times": ("trip_id", "stop_sequence")}
+REFERENCES = (("trips", "route_id", "routes"), ("trips", "service_id", "calendar"), ("stop_times", "trip_id", "trips"), ("stop_times", "stop_id", "stops"), ("trips", "shape_id", "shapes"))
+
+
+def feed_report(feed: dict[str, DataFrame], box: tuple[float, float, float, float], file_order: tuple[str, ...] = ("stop_sequence",)) -> DataFrame:
+    """(check, n_bad) of every check that the tables of a feed allow: keys that lead nowhere, rows that nothing leads to, repeated keys, the order of stops, times,
+    places outside the box, points that repeat, and services whose days aren't those of their name.
+
+    file_order: columns that put the rows of stop_times in the order of the file. shapes has shape_id and pts, calendar a label.
+    """
+    checks = {}
+    for child, key, parent in REFERENCES:
+        if child in feed and parent in feed and key in feed[child].columns:
+            checks[f"{child} without {parent}"] = orphans(feed[child], feed[parent], key, key)
+            checks[f"{parent} without {child}"] = usage(feed[parent].select(key).distinct(), feed[child], key, key).where("n = 0")
+    for table, keys in KEYS.items():
+        if table in feed:
+            checks[f"repeated keys of {table}"] = duplicates(feed[table], *keys)
+    if "stop_times" in feed:
+        checks["stop_sequence not rising"] = breaks_in_order(feed["stop_times"], "trip_id", "stop_sequence", *file_order)
+        checks["times not well formed"] = feed["stop_times"].where(~F.coalesce(is_time(F.col("arrival_time")), F.lit(False)))
+    if "stops" in feed:
+        checks["stops outside the box"] = feed["stops"].where(~F.coalesce(in_box(F.col("stop_lon"), F.col("stop_lat"), *box), F.lit(False)))
+    if "shapes" in feed:
+        checks["shapes that repeat a point"] = feed["shapes"].where(repeats_point(F.col("pts")))
+    if "calendar" in feed and "label" in feed["calendar"].columns:
+        checks["services unlike their name"] = calendar_label_check(feed["calendar"]).where("not fits")
+    return integrity_report(checks)
 
 
 def od_pairs(routes: DataFrame) -> DataFrame:
     return routes.select("ORGN", "DSTN").distinct()
 
 
+def od_counts(routes: DataFrame) -> DataFrame:
+    """One row: how many different pairs of raw labels normalised routes have, and how many of canonical places."""
+    pairs = lambda a, b: F.count_distinct(F.struct(a, b))
+    return routes.agg(pairs("ORGN", "DSTN").alias("before"), pairs("canonical_origin", "canonical_destination").alias("after"))
+
+
 def od_multipath(routes: DataFrame) -> DataFrame:
     """(ORGN, DSTN, n_paths) of the pairs with several different paths."""
     return routes.groupBy("ORGN", "DSTN").agg(F.countDistinct(F.to_json("pts")).alias("n_paths")).where("n_paths > 1")

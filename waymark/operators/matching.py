@@ -13,18 +13,27 @@ from waymark.functions.geo import haversine
 DEGREE_M = 110_000.0
 
 
-def match_route(edges: DataFrame, start: str, transfers: int = 2) -> DataFrame:
-    """(destination, transfers): the fewest changes with which each place is reached from `start`, up to `transfers`.
+def route_legs(edges: DataFrame, start: str, end: str | None = None, transfers: int = 2) -> DataFrame:
+    """(destination, transfers, places): for each place, or only `end`, the fewest changes with which it is reached from `start`, up to `transfers`, and the places
+    of the way from start to destination: of ways with as few changes the first by names. `end` stops the search where it is reached.
 
-    edges: (canonical_origin, canonical_destination). Each hop is one join of what the last hop reached first with the distinct edges.
+    edges: (canonical_origin, canonical_destination). Each hop is one join of the places that the last hop reached first with the distinct edges; places reached before are left out.
     """
     hops = edges.select(F.col("canonical_origin").alias("o"), F.col("canonical_destination").alias("d")).where("o is not null and d is not null").distinct()
-    front = hops.where(F.col("o") == start).select(F.col("d").alias("at")).distinct()
+    front = hops.where(F.col("o") == start).select(F.col("d").alias("destination"), F.array("o", "d").alias("places"))
     found = front.withColumn("transfers", F.lit(0))
     for n in range(1, transfers + 1):
-        front = front.join(hops, F.col("at") == F.col("o")).select(F.col("d").alias("at")).distinct()
+        if end is not None and found.where(F.col("destination") == end).limit(1).count():
+            break
+        ways = front.join(hops, F.col("destination") == F.col("o")).select(F.col("d").alias("destination"), F.concat("places", F.array("d")).alias("places"))
+        front = ways.groupBy("destination").agg(F.min("places").alias("places")).join(found.select("destination"), "destination", "left_anti")
         found = found.unionByName(front.withColumn("transfers", F.lit(n)))
-    return found.groupBy(F.col("at").alias("destination")).agg(F.min("transfers").alias("transfers"))
+    return (found if end is None else found.where(F.col("destination") == end)).select("destination", "transfers", "places")
+
+
+def match_route(edges: DataFrame, start: str, transfers: int = 2) -> DataFrame:
+    """(destination, transfers): the fewest changes with which each place is reached from `start`, up to `transfers`."""
+    return route_legs(edges, start, transfers=transfers).select("destination", "transfers")
 
 
 def fare_consensus(reports: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ broadcast: Spark does that where its size estimate allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
@@ -37,7 +37,7 @@ def consensus(ends: DataFrame) -> DataFrame:
 def resolved(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """labels (name, ...) with place, via and key. The alias is looked up before the station words change."""
     split = split_via(labels, "name").withColumn("tidied", tidy(F.col("place")))
-    rules = aliases.dropDuplicates(["alias"]).select("alias", "target")
+    rules = aliases.groupBy("alias").agg(F.min("target").alias("target"))  # of rules that differ the first by name
     found = split.join(rules, F.col("tidied") == F.col("alias"), "left")
     place = F.nullif(station_words(F.coalesce("target", "tidied")), F.lit(""))
     return found.withColumn("place", place).drop("tidied", "alias", "target").withColumn("key", canonical_key(F.col("place")))
@@ -51,7 +51,7 @@ def form_weights(known: DataFrame) -> DataFrame:
 def displays(weights: DataFrame, preferred: DataFrame) -> DataFrame:
     """(key, canonical): the preferred form, or that of the largest weight, then the shortest, then the first."""
     voted = weights.groupBy("key").agg(F.min_by("place", F.struct(-F.col("weight"), F.length("place"), F.col("place"))).alias("voted"))
-    rules = preferred.dropDuplicates(["key"]).select("key", "display")
+    rules = preferred.groupBy("key").agg(F.min("display").alias("display"))
     return voted.join(rules, "key", "left").select("key", F.coalesce("display", "voted").alias("canonical"))
 
 
@@ -92,10 +92,26 @@ def exceeds(column: str, limit: float) -> Column:
 
 
 def merge_reviews(report: DataFrame) -> DataFrame:
-    """(canonical, spread_m) of the flagged places; show them by spread, largest first, then by name."""
+    """(canonical, spread_m) of the flagged places."""
     return report.where("review").select("canonical", "spread_m").distinct()
 
 
+def whole_metres(distance: Column) -> Column:
+    """A distance as text of ten characters, in whole metres, halves to the even one; a question mark where there is none."""
+    return F.when(distance.isNull(), F.lpad(F.lit("?"), 9, " ")).otherwise(F.format_string("%8.0f m", F.bround(distance, F.lit(0))))
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """(canonical, nth, cnt, metres, name, review) of a merge report in its order: places by name, the labels of each by use, then as first seen; nth counts them."""
+    nth = F.row_number().over(Window.partitionBy("canonical").orderBy(F.desc("cnt"), "first_ord"))
+    return report.select("canonical", nth.alias("nth"), "cnt", whole_metres(F.col("dist_m")).alias("metres"), "name", "review").orderBy("canonical", "nth")
+
+
+def review_lines(reviews: DataFrame) -> DataFrame:
+    """(canonical, metres) of merge_reviews in its order: by spread, largest first, then by name."""
+    return reviews.orderBy(F.desc("spread_m"), "canonical").select("canonical", whole_metres(F.col("spread_m")).alias("metres"))
+
+
 def summary(routes: DataFrame, aliases: DataFrame, preferred: DataFrame) -> DataFrame:
     """One row: raw_names, canonical_places, via_endpoint_values."""
     return dictionary(routes, aliases, preferred).agg(

@@ -1,7 +1,8 @@
 """Typo candidates. They are only proposed: a person approves a table of corrections, which is then applied.
 
-Two strings at most k edits apart (k of 1 or 2) share a string that both give by deleting up to k characters. So they meet in an equi-join on
-the strings without such characters; the distance is then computed. No pair is missed and no cross join is needed.
+Of two strings at most k edits apart, one cut into k + 1 equal parts has a part that no edit touches, and the other holds it at most k places away.
+So they meet in an equi-join on the part, its number and the first one's length, which takes a number of rows a string that doesn't grow with the string; the
+distance is then computed. No pair is missed and no cross join is needed.
 """
 
 from __future__ import annotations
@@ -12,19 +13,21 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import haversine
 
 
-def one_less(strings: Column) -> Column:
-    """Each of the strings, and it without any one character."""
-    return F.array_distinct(F.flatten(F.transform(strings, lambda s: F.concat(F.array(s), F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(F.array().cast("array<string>"))))))
-
-
 def close_pairs(names: DataFrame, column: str, k: int = 2) -> DataFrame:
     """(a, b, distance), a < b: the distinct strings at most k edits apart."""
     if k not in (1, 2):
         raise ValueError("k is 1 or 2")
     distinct = names.select(F.col(column).alias("s")).where("s is not null").distinct()
-    less = one_less(F.array("s")) if k == 1 else one_less(one_less(F.array("s")))
-    keyed = distinct.select("s", F.explode(less).alias("cut"))
-    met = keyed.select("cut", F.col("s").alias("a")).join(keyed.select("cut", F.col("s").alias("b")), "cut").where("a < b").select("a", "b").distinct()
+    numbers, shifts = F.sequence(F.lit(0), F.lit(k)), F.sequence(F.lit(-k), F.lit(k))
+    begin = lambda length, i: F.floor(length * i / (k + 1)).cast("int")
+    size = begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))
+    parts = distinct.select("s", F.length("s").alias("n"), F.explode(numbers).alias("i"))
+    parts = parts.select(F.col("s").alias("x"), "n", "i", F.substr("s", begin(F.col("n"), F.col("i")) + 1, size).alias("part"))
+    # the shorter of two strings, or either of equal ones, is the one that was cut
+    asked = distinct.select("s", F.explode(F.transform(numbers, lambda d: F.length("s") - d)).alias("n")).where("n >= 0").select("s", "n", F.explode(numbers).alias("i"))
+    asked = asked.select("s", "n", "i", size.alias("size"), F.explode(F.transform(shifts, lambda d: begin(F.col("n"), F.col("i")) + d)).alias("at")).where("at >= 0 and at + size <= length(s)")
+    asked = asked.select(F.col("s").alias("y"), "n", "i", F.substr("s", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+    met = parts.join(asked, ["n", "i", "part"]).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return met.withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
 
 

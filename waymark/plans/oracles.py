@@ -103,6 +103,17 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "pairs": ("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from (select distinct p_name as s from part) a, (select distinct p_name as s from part) b where a.s < b.s and levenshtein(a.s, b.s) <= 2", ()),
     "spots": ("select p_name as name, median(18 + cast(p_partkey % 2000 as double) / cast(1000 as double)) as lon, median(-35 + cast(p_size % 50 as double) / cast(20 as double)) as lat from part group by p_name", ()),
     "od": ("select distinct canonical_origin as o, canonical_destination as d from named where canonical_origin is not null and canonical_destination is not null", ("named",)),
+    "trips": ("select o_orderkey as trip_id, o_custkey as route_id, 's' || cast(o_custkey % 120 as varchar) as service_id from orders", ()),
+    "broken": ("select trip_id from (select *, lag(stop_sequence) over (partition by trip_id order by stop_id, supplier, stop_sequence) as before from stop_times) where stop_sequence <= before", ("stop_times",)),
+    "doubled": ("select distinct route_id from (select route_id, lon = lag(lon) over w and lat = lag(lat) over w as same from pts window w as (partition by route_id order by seq)) where same", ("pts",)),
+    "unlike": (
+        "select service_id from calendar where case label when 'weekdays' then monday + tuesday + wednesday + thursday + friday = 5 and saturday = 0 and sunday = 0 when 'saturdays' then monday + tuesday + wednesday + thursday + friday = 0 and saturday = 1 and sunday = 0"
+        " when 'sundays' then monday + tuesday + wednesday + thursday + friday = 0 and saturday = 0 and sunday = 1 end = false",
+        ("calendar",),
+    ),
+    "w0": ("select d, [o, d] as way from od where o = (select min(o) from od)", ("od",)),
+    "w1": ("select od.d, min(list_append(way, od.d)) as way from w0 join od on od.o = w0.d where od.d not in (select d from w0) group by od.d", ("w0", "od")),
+    "w2": ("select od.d, min(list_append(way, od.d)) as way from w1 join od on od.o = w1.d where od.d not in (select d from w0) and od.d not in (select d from w1) group by od.d", ("w0", "w1", "od")),
     "h0": ("select distinct d from od where o = (select min(o) from od)", ("od",)),
     "h1": ("select distinct od.d from h0 join od on od.o = h0.d", ("h0", "od")),
     "h2": ("select distinct od.d from h1 join od on od.o = h1.d", ("h1", "od")),
@@ -174,7 +185,7 @@ ORACLE_SQL = {
     ),
     "redundant_columns": sql("select 'stop_code' as \"column\", 'stop_id' as same_as, bool_and(stop_code is not distinct from stop_id) as redundant from stops union all select 'stop_desc', 'stop_name', bool_and(stop_desc is not distinct from stop_name) from stops", "stops"),
     "bbox_check": sql(f"select stop_id from stops where not (stop_lon > {BOX[0]} and stop_lon < {BOX[1]} and stop_lat > {BOX[2]} and stop_lat < {BOX[3]} and not (stop_lon = 0 and stop_lat = 0))", "stops"),
-    "fk_orphans": sql("select p_partkey, p_name from part where p_partkey not in (select s_suppkey from supplier)"),
+    "fk_orphans": sql("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)"),
     "unused_parents": sql("select o_orderkey, count(l_orderkey) as n from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey"),
     "pk_duplicates": sql("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1"),
     "keep_first_dedupe": sql("select min(doc_id) as doc_id, text from documents group by text"),
@@ -202,6 +213,43 @@ ORACLE_SQL = {
         f" union all select 'stops outside the box', count(*) from stops where not (stop_lon > {BOX[0]} and stop_lon < {BOX[1]} and stop_lat > {BOX[2]} and stop_lat < {BOX[3]})",
         "stops",
     ),
+    "feed_report": sql(
+        "".join(
+            f"select '{a} without {b}' as \"check\", count(*) as n_bad from {x} where {x}.{k} not in (select {j} from {y}) union all "
+            for a, b, x, k, y, j in (
+                ("trips", "routes", "trips", "route_id", "customer", "c_custkey"),
+                ("routes", "trips", "customer", "c_custkey", "trips", "route_id"),
+                ("trips", "calendar", "trips", "service_id", "calendar", "service_id"),
+                ("calendar", "trips", "calendar", "service_id", "trips", "service_id"),
+                ("stop_times", "trips", "stop_times", "trip_id", "trips", "trip_id"),
+                ("trips", "stop_times", "trips", "trip_id", "stop_times", "trip_id"),
+                ("stop_times", "stops", "stop_times", "stop_id", "part", "p_partkey"),
+                ("stops", "stop_times", "part", "p_partkey", "stop_times", "stop_id"),
+            )
+        )
+        + "".join(
+            f"select 'repeated keys of {name}', count(*) from (select 1 from {x} group by {k} having count(*) > 1) union all "
+            for name, x, k in (("routes", "customer", "c_custkey"), ("trips", "trips", "trip_id"), ("stops", "stops", "stop_id"), ("calendar", "calendar", "service_id"), ("stop_times", "stop_times", "trip_id, stop_sequence"))
+        )
+        + r"select 'stop_sequence not rising', count(*) from broken union all select 'times not well formed', count(*) from stop_times where not regexp_matches(arrival_time, '^\d{1,2}:[0-5]\d:[0-5]\d$')"
+        + f" union all select 'stops outside the box', count(*) from stops where not (stop_lon > {BOX[0]} and stop_lon < {BOX[1]} and stop_lat > {BOX[2]} and stop_lat < {BOX[3]})"
+        + " union all select 'shapes that repeat a point', count(*) from doubled union all select 'services unlike their name', count(*) from unlike",
+        "trips",
+        "stops",
+        "stop_times",
+        "calendar",
+        "broken",
+        "doubled",
+        "unlike",
+    ),
+    "trips_per_route": sql("select c_custkey as route_id, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by c_custkey"),
+    "cardinalities": sql(" union all ".join(f"select '{t}' as \"table\", count(*) as n from {x}" for t, x in (("routes", "customer"), ("trips", "orders"), ("stops", "part"), ("stop_times", "lineitem"), ("calendar", "supplier"), ("shapes", "orders")))),
+    "report_lines": sql(
+        "select canonical, cast(row_number() over (partition by canonical order by cnt desc, first_ord) as int) as nth, cnt, coalesce(lpad(cast(cast(round_even(dist_m, 0) as bigint) as varchar), 8, ' ') || ' m', '        ?') as metres, name, spread_m > 1000.0 as review from report", "report"
+    ),
+    "review_lines": sql("select distinct canonical, lpad(cast(cast(round_even(spread_m, 0) as bigint) as varchar), 8, ' ') || ' m' as metres from report where spread_m > 1000.0", "report"),
+    "od_counts": sql("select (select count(*) from (select distinct orgn, dstn from named)) as before, (select count(*) from (select distinct canonical_origin, canonical_destination from named)) as after", "named"),
+    "route_legs": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, ' > ') as places from (select d, 0 as t, way from w0 union all select d, 1, way from w1 union all select d, 2, way from w2)", "w0", "w1", "w2"),
     "route_match": sql("select d as destination, cast(min(t) as int) as transfers from (select d, 0 as t from h0 union all select d, 1 from h1 union all select d, 2 from h2) group by d", "h0", "h1", "h2"),
     "fare_consensus": sql("select route_id, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest, median(fare) as typical from reports group by route_id", "reports"),
     "fare_windows": sql("select route_id, date_trunc('hour', ts) as start, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest from reports group by all", "reports"),

@@ -9,6 +9,7 @@ from waymark.functions import geo, labels
 from waymark.operators import cleaning, integrity, matching, places, similarity
 from waymark.plans import views
 from waymark.plans.views import rounded, table
+from waymark.sources import gtfs
 from waymark.streaming import reports
 
 QUERIES = {}
@@ -221,7 +222,8 @@ def bbox_check(spark, d):
 
 @query
 def fk_orphans(spark, d):
-    return integrity.orphans(table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "supplier"), "p_partkey", "s_suppkey")
+    """Customers without an order."""
+    return integrity.orphans(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), "c_custkey", "o_custkey")
 
 
 @query
@@ -299,6 +301,45 @@ def integrity_report(spark, d):
     return integrity.integrity_report({"orders without lines": integrity.orphans(orders, lines, "o_orderkey", "l_orderkey"), "repeated line keys": integrity.duplicates(lines, "l_orderkey", "l_linenumber"), "stops outside the box": outside(spark, d)})
 
 
+@query
+def feed_report(spark, d):
+    return integrity.feed_report(views.feed(spark, d), views.BOX, ("stop_id", "supplier", "stop_sequence"))
+
+
+@query
+def trips_per_route(spark, d):
+    feed = views.feed(spark, d)
+    return integrity.usage(feed["routes"], feed["trips"], "route_id", "route_id")
+
+
+@query
+def cardinalities(spark, d):
+    return gtfs.cardinalities(views.feed(spark, d))
+
+
+@query
+def report_lines(spark, d):
+    return places.report_lines(places.merge_report(*rules(spark, d)))
+
+
+@query
+def review_lines(spark, d):
+    return places.review_lines(places.merge_reviews(places.merge_report(*rules(spark, d))))
+
+
+@query
+def od_counts(spark, d):
+    return integrity.od_counts(places.normalise_places(*rules(spark, d)))
+
+
+@query
+def route_legs(spark, d):
+    """From the first of all origins by name, with the places of each way."""
+    edges = normalise_places(spark, d)
+    start = edges.where("canonical_origin is not null and canonical_destination is not null").agg(F.min("canonical_origin")).first()[0]
+    return matching.route_legs(edges, start).withColumn("places", F.array_join("places", " > "))
+
+
 @query
 def route_match(spark, d):
     """From the first of all origins by name."""

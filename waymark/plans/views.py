@@ -106,6 +106,18 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("service_id"), label.alias("label"), *[v.alias(d) for d, v in days.items()], start.alias("start_date"), F.date_add(start, (k % 40).cast("int")).alias("end_date"))
 
 
+def feed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A feed: customers are routes, orders trips, parts stops, lines stop times, suppliers services, the points of an order a shape."""
+    return {
+        "routes": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id")),
+        "trips": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("route_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 120).cast("string")).alias("service_id")),
+        "stops": stops(spark, sf_dir).withColumn("stop_id", F.col("stop_id").cast("long")),
+        "stop_times": stop_times(spark, sf_dir),
+        "calendar": calendar(spark, sf_dir),
+        "shapes": routes(spark, sf_dir).select(F.col("feature_ord").alias("shape_id"), "pts"),
+    }
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(route_id, fare, confirmed, ts, report_id) from events."""
     return table(spark, sf_dir, "events").where("event_type in ('purchase', 'click')").select((F.col("user_id") % 50).alias("route_id"), F.col("value").alias("fare"), (F.col("event_type") == "click").alias("confirmed"), "ts", F.col("event_id").alias("report_id"))

@@ -1,58 +1,120 @@
 """Routes from and to a GeoJSON FeatureCollection.
 
-Members that the library doesn't know pass through untouched: properties, coordinates and the other top-level members are read as their raw text. A collection is
+Members that the library doesn't know pass through untouched, wherever they stand: every feature is kept as its raw text, and so are the members of the collection.
+Only the derived fields are put into a feature's properties, in the place of those that it has already, so a second run gives the same text. A collection is
 one document, so one task reads it; keep routes as Parquet afterwards.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import points
 
-SCHEMA = "type string, crs string, name string, features array<struct<type string, properties string, geometry struct<type string, coordinates string>>>"
 DERIVED = ("canonical_origin", "canonical_destination", "via_origin", "via_destination")
+decode = json.JSONDecoder().raw_decode
+
+
+def after(text: str, at: int, signs: str = "") -> int:
+    """The first place from `at` on that is neither white space nor one of the signs."""
+    while at < len(text) and (text[at].isspace() or text[at] in signs):
+        at += 1
+    return at
+
+
+def members(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
+    """(name, where its value begins, where it ends) of the members of the object that begins at `at`. The values are only passed over."""
+    at = after(text, after(text, at) + 1)
+    while text[at] != "}":
+        name, at = decode(text, at)
+        begin = after(text, at, ":")
+        _, end = decode(text, begin)
+        yield name, begin, end
+        at = after(text, end, ",")
+
+
+def elements(text: str, at: int) -> Iterator[str]:
+    """The raw texts of the elements of the array that begins at `at`."""
+    at = after(text, at + 1)
+    while text[at] != "]":
+        _, end = decode(text, at)
+        yield text[at:end]
+        at = after(text, end, ",")
+
+
+def put_together(parts: list[tuple[str, str]]) -> str:
+    return "{" + ",".join(f"{json.dumps(name, ensure_ascii=False)}:{raw}" for name, raw in parts) + "}"
+
+
+def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to (feature_ord, members, feature): the collection's members, with null in the place of the features, and a feature."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            text = text.lstrip("﻿")
+            found = [*members(text)]
+            begin = next((b for name, b, _ in found if name == "features"), None)
+            rest = put_together([(name, "null" if name == "features" else text[b:e]) for name, b, e in found])
+            some: list[str] = []
+            first = 0
+            for feature in elements(text, begin) if begin is not None and text[begin] == "[" else ():
+                some.append(feature)
+                if len(some) == 1000:
+                    yield features(first, rest, some)
+                    first, some = first + len(some), []
+            yield features(first, rest, some)
+
+
+def features(first: int, rest: str, some: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(some)), pa.int64()), pa.array([rest] * len(some), pa.string()), pa.array(some, pa.string())], ["feature_ord", "members", "feature"])
 
 
 def read_routes(spark: SparkSession, path: str, origin: str = "ORGN", destination: str = "DSTN", key: str = "OBJECTID") -> DataFrame:
-    """feature_ord, OBJECTID, ORGN, DSTN, geom_type, pts, and properties, coordinates and crs as raw text, one row a feature."""
-    feature = spark.read.schema(SCHEMA).option("multiLine", True).json(path).select("crs", F.posexplode("features").alias("feature_ord", "f"))
-    text = lambda name: F.get_json_object("f.properties", f"$.{name}")
-    return feature.select(
-        F.col("feature_ord").cast("long").alias("feature_ord"),
-        text(key).cast("long").alias("OBJECTID"),
-        text(origin).alias("ORGN"),
-        text(destination).alias("DSTN"),
-        F.col("f.geometry.type").alias("geom_type"),
-        points(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("pts"),
-        F.col("f.properties").alias("properties"),
-        F.col("f.geometry.coordinates").alias("coordinates"),
-        "crs",
-    )
+    """feature_ord, OBJECTID, ORGN, DSTN, geom_type, pts, and members (of the collection) and feature as raw text, one row a feature."""
+    rows = spark.read.text(path, wholetext=True).mapInArrow(split, "feature_ord long, members string, feature string")
+    own = lambda name: F.get_json_object("feature", f"$.properties.{name}")
+    kind, coordinates = F.get_json_object("feature", "$.geometry.type"), F.get_json_object("feature", "$.geometry.coordinates")
+    return rows.select("feature_ord", own(key).cast("long").alias("OBJECTID"), own(origin).alias("ORGN"), own(destination).alias("DSTN"), kind.alias("geom_type"), points(kind, coordinates).alias("pts"), "members", "feature")
+
+
+def with_fields(feature: str, fields: dict[str, str | None]) -> str:
+    """A feature's raw text with these properties: those that it has are replaced where they stand, others are put last; nulls are written."""
+    parts = [(name, feature[b:e]) for name, b, e in members(feature)]
+    own = next((raw for name, raw in parts if name == "properties" and raw != "null"), "{}")
+    values = {name: own[b:e] for name, b, e in members(own)} | {name: json.dumps(v, ensure_ascii=False) for name, v in fields.items()}
+    made = put_together([*values.items()])
+    if all(name != "properties" for name, _ in parts):
+        parts.append(("properties", made))
+    return put_together([(name, made if name == "properties" else raw) for name, raw in parts])
 
 
 def feature_text(routes: DataFrame) -> DataFrame:
-    """(feature_ord, crs, text): each feature as compact JSON, with the derived fields, nulls written, put after its own properties."""
-    derived = F.to_json(F.struct(*[F.col(c) for c in DERIVED]), {"ignoreNullFields": "false"})
-    own = F.rtrim(F.coalesce("properties", F.lit("{}")))
-    head = F.rtrim(F.substr(own, F.lit(1), F.length(own) - 1))
-    properties = F.concat(head, F.when(F.rlike(head, F.lit(r"^\s*\{\s*$")), "").otherwise(","), F.substr(derived, F.lit(2)))
-    geometry = F.when(F.col("geom_type").isNull(), "null").otherwise(F.concat(F.lit('{"type":'), F.to_json(F.array("geom_type")).substr(F.lit(2), F.length(F.to_json(F.array("geom_type"))) - 2), F.lit(',"coordinates":'), F.coalesce("coordinates", F.lit("null")), F.lit("}")))
-    return routes.select("feature_ord", "crs", F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}")).alias("text"))
+    """(feature_ord, members, text): each feature as JSON, with the derived fields."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            text = [with_fields(feature, dict(zip(DERIVED, fields, strict=True))) for feature, *fields in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string())], ["feature_ord", "members", "text"])
+
+    return routes.select("feature_ord", "members", "feature", *DERIVED).mapInArrow(written, "feature_ord long, members string, text string")
 
 
 def write_routes(routes: DataFrame, path: str, source: str | None = None) -> None:
-    """Writes the routes, with their derived fields, as one compact FeatureCollection in document order to a new path. Refuses the path being read.
+    """Writes the routes, with their derived fields, as one FeatureCollection in document order to a new path. Refuses the path being read.
 
     The lines of the text file are the document's: the head, a feature each, the foot. One sort over all features, and one file, as the format wants.
     """
     if source is not None and path.rstrip("/") == source.rstrip("/"):
         raise ValueError("the routes are read from this path; write to another one")
-    spark, features = routes.sparkSession, feature_text(routes)
-    crs = features.agg(F.min("crs")).first()[0]
-    last = features.agg(F.max("feature_ord")).first()[0]
-    head = '{"type":"FeatureCollection",' + (f'"crs":{crs},' if crs else "") + '"features":['
-    body = features.select("feature_ord", F.concat("text", F.when(F.col("feature_ord") < F.lit(last), ",").otherwise("")).alias("text"))
-    edges = spark.createDataFrame([(-1, head), (1 << 62, "]}")], "feature_ord long, text string")
+    spark, found = routes.sparkSession, feature_text(routes)
+    seen = routes.agg(F.max("feature_ord"), F.min("members")).first()
+    rest = seen[1] or '{"type":"FeatureCollection","features":null}'
+    begin, end = next((b, e) for name, b, e in members(rest) if name == "features")
+    body = found.select("feature_ord", F.concat("text", F.when(F.col("feature_ord") < F.lit(seen[0]), ",").otherwise("")).alias("text"))
+    edges = spark.createDataFrame([(-1, rest[:begin] + "["), (1 << 62, "]" + rest[end:])], "feature_ord long, text string")
     body.unionByName(edges).coalesce(1).sortWithinPartitions("feature_ord").select("text").write.text(path)

@@ -1,7 +1,9 @@
-"""GTFS feeds: header CSV with fixed schemas. Ids are text, times are text (they pass 24 hours), dates are yyyyMMdd."""
+"""GTFS feeds: header CSV whose known columns have types. Ids are text, times are text (they pass 24 hours), dates are yyyyMMdd."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ SCHEMAS = {
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table of a feed, its columns found by the header. Line ends of either kind and a byte order mark are taken as they come; absent columns are null."""
+    """A table of a feed, its columns found by the header and all kept: those of SCHEMAS with their types, others as text. Line ends of either kind and a byte order mark are taken as they come; absent columns are null."""
     path = f"{folder}/{table}.txt"
     text = spark.read.option("header", True).csv(path)
-    wanted = [c.strip().split(" ") for c in SCHEMAS[table].split(",")]
-    have = {c.replace("﻿", "").strip(): c for c in text.columns}
-    df = text.select(*[(F.col(f"`{have[c]}`").try_cast(kind) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in wanted])
+    kinds = dict(c.strip().split(" ") for c in SCHEMAS[table].split(","))
+    have = {c.replace("\ufeff", "").strip(): c for c in text.columns}
+    df = text.select(
+        *[(F.col(f"`{raw}`").try_cast(kinds[c]) if c in kinds else F.col(f"`{raw}`")).alias(c) for c, raw in have.items()],
+        *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items() if c not in have],
+    )
     if table == "calendar":
         df = df.withColumns({c: F.try_to_date(c, "yyyyMMdd") for c in ("start_date", "end_date")})
     return df
@@ -34,5 +39,6 @@ def read_feed(spark: SparkSession, folder: str, tables: tuple[str, ...] = ("agen
     return {t: read_table(spark, folder, t) for t in tables}
 
 
-def cardinalities(feed: dict[str, DataFrame]) -> dict[str, int]:
-    return {t: df.count() for t, df in feed.items()}
+def cardinalities(feed: dict[str, DataFrame]) -> DataFrame:
+    """(table, n), one row a table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(t).alias("table"), F.count("*").alias("n")) for t, df in feed.items()])
