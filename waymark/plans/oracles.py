@@ -185,7 +185,7 @@ ORACLE_SQL = {
     ),
     "redundant_columns": sql("select 'stop_code' as \"column\", 'stop_id' as same_as, bool_and(stop_code is not distinct from stop_id) as redundant from stops union all select 'stop_desc', 'stop_name', bool_and(stop_desc is not distinct from stop_name) from stops", "stops"),
     "bbox_check": sql(f"select stop_id from stops where not (stop_lon > {BOX[0]} and stop_lon < {BOX[1]} and stop_lat > {BOX[2]} and stop_lat < {BOX[3]} and not (stop_lon = 0 and stop_lat = 0))", "stops"),
-    "fk_orphans": sql("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)"),
+    "fk_orphans": sql("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem)"),
     "unused_parents": sql("select o_orderkey, count(l_orderkey) as n from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey"),
     "pk_duplicates": sql("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1"),
     "keep_first_dedupe": sql("select min(doc_id) as doc_id, text from documents group by text"),

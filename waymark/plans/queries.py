@@ -222,8 +222,8 @@ def bbox_check(spark, d):
 
 @query
 def fk_orphans(spark, d):
-    """Customers without an order."""
-    return integrity.orphans(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), "c_custkey", "o_custkey")
+    """Orders without a line."""
+    return integrity.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
 
 
 @query
