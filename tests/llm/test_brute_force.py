@@ -299,6 +299,17 @@ def test_quality_counts(spark):
     assert cleaned[5] == texts[5].split("\n")[1] and cleaned[6] == texts[6].split("\n")[1] and 1 not in cleaned
 
 
+@pytest.mark.parametrize("line", [
+    "© 2021 Example", "Licensed under the MIT license.", "Accept all cookies.", "LOGIN TO continue.", "Share this article.", "Powered by something.", "Alle Rechte vorbehalten.", "Hinweise zur DatenschutzerklÄrung.", "Cookie-Einstellungen.",
+    "Tous droits rÉservés.", "Mentions légales.", "Conditions d’utilisation.", "Todos los derechos reservados.", "PolÍtica de privacidad.", "TÉRMINOS DE USO.", "Volver arriba.",
+])
+def test_boilerplate_lines_go(spark, line):
+    body = " ".join(f"word{i}, other{i}." for i in range(60))
+    assert [r.text for r in quality.clean(docs(spark, [f"{line}\n{body}"])).collect()] == [body]
+    measured = quality.measured(docs(spark, [f"{line}\n{body}"])).first()
+    assert measured.kept_words == 120
+
+
 # 7
 
 

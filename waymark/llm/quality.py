@@ -7,6 +7,7 @@ and a document is rejected if what is left holds too little of its words. A few
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,17 @@ BAR = r"[\x20\x09-\x0D](?:[|>»·•/])(?:[\x20\x09-\x0D]|$)"
 BOILERPLATE = (
     r"(?i)(all rights reserved|\(c\) *(19|20)\d\d|©|copyright (\(c\)|©|(19|20)\d\d)|licensed under|released under the|spdx-license-identifier"
     r"|cookie (policy|settings|consent)|(accept|use|uses) (all )?cookies|privacy policy|terms of (use|service)|enable javascript|javascript is (disabled|required)"
-    r"|lorem ipsum|subscribe to our|sign up for our|log ?in to|click here|share (this|on)|back to top|skip to (main )?content|powered by)"
+    r"|lorem ipsum|subscribe to our|sign up for our|log ?in to|click here|share (this|on)|back to top|skip to (main )?content|powered by"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|cookie-einstellungen|zum inhalt springen"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales|conditions d['’]utilisation|aller au contenu|haut de page"
+    r"|todos los derechos reservados|pol[íÍ]tica de privacidad|aviso legal|t[éÉ]rminos de uso|ir al contenido|volver arriba)"
 )
+#: In lower case, what a text holds at least if any of its lines holds such a phrase; only then are the lines looked at.
+STEMS = (
+    "rights reserved", "(c)", "©", "copyright", "licensed under", "released under", "spdx-license", "cookie", "privacy policy", "terms of", "javascript", "lorem ipsum", "subscribe to", "sign up for", "log in to", "login to",
+    "click here", "share ", "back to top", "skip to", "powered by", "rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "inhalt springen", "tous droits", "politique de", "mentions l", "conditions d", "aller au contenu",
+    "haut de page", "derechos reservados", "de privacidad", "aviso legal", "minos de uso", "ir al contenido", "volver arriba",
+)
 #: A boilerplate phrase condemns a line of up to so many words; in a longer one it is an aside.
 BOILERPLATE_WORDS = 40
 KEPT_SHARE = 50
@@ -43,7 +53,13 @@ def counted(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), n_words(x).alias("n"))), lambda s: s["n"] > 0)
 
 
-def passes(symbols: Column, shouts: Column, bars: Column) -> Callable[[Column], Column]:
+def phrases(text: Column) -> Column:
+    """True for a text that may hold a boilerplate phrase."""
+    low = F.lower(text)
+    return reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in STEMS])
+
+
+def passes(symbols: Column, shouts: Column, bars: Column, boilers: Column) -> Callable[[Column], Column]:
     """A rule for the counted lines of a text with these signs in it: true if none of the line rules fails. What the whole text has no sign of isn't looked for in its lines."""
 
     def rule(s: Column) -> Column:
@@ -52,7 +68,7 @@ def passes(symbols: Column, shouts: Column, bars: Column) -> Callable[[Column],
         marked = symbols & (100 * n_of(line, SYMBOLS) > SYMBOL_SHARE * words)
         shouting = shouts & (100 * F.regexp_count(line, F.lit("!!")) > SHOUT_SHARE * words)
         barred = bars & (100 * F.regexp_count(line, F.lit(BAR)) > BAR_SHARE * words)
-        boiler = (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
+        boiler = boilers & (words <= BOILERPLATE_WORDS) & F.rlike(line, F.lit(BOILERPLATE))
         return prose & ~marked & ~shouting & ~barred & ~boiler
 
     return rule
@@ -73,10 +89,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     base = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     row = docs.select(F.struct(*base).alias("row"), whole.alias("t"))
-    row = row.select("row", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"), counted(F.col("t")).alias("l"), F.rlike("t", F.lit("[#*$%&|<>]")).alias("symbols"), F.contains("t", F.lit("!!")).alias("shouts"), F.rlike("t", F.lit("[|>»·•/]")).alias("bars"))
-    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", windows_of(F.col("w")).alias("s"))
+    row = row.select("row", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"), counted(F.col("t")).alias("l"), F.rlike("t", F.lit("[#*$%&|<>]")).alias("symbols"), F.contains("t", F.lit("!!")).alias("shouts"), F.rlike("t", F.lit("[|>»·•/]")).alias("bars"), phrases(F.col("t")).alias("boilers"))
+    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", "boilers", windows_of(F.col("w")).alias("s"))
     twice = F.filter("s", lambda x, j: F.coalesce(F.get("s", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", j + 1)["h"] == x["h"], F.lit(False)))
-    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
+    row = row.select("row", "t", "w", "l", "symbols", "shouts", "bars", "boilers", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     steps = F.transform("p", lambda p, j: F.least(F.coalesce(F.get("p", j + 1) - p, F.lit(3)), F.lit(3)))
     row = row.select(
         "row",
@@ -85,7 +101,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         n_of(F.col("t"), SYMBOLS).alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l.x"))).cast("long").alias("n_dup_lines"),
         F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x).alias("n_repeat_words"),
-        F.aggregate(F.filter("l", passes(F.col("symbols"), F.col("shouts"), F.col("bars"))), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("kept_words"),
+        F.aggregate(F.filter("l", passes(F.col("symbols"), F.col("shouts"), F.col("bars"), F.col("boilers"))), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("kept_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return row.select("row.*", *made[:5], failed.alias("base_failed"), "kept_words", (~failed & (100 * F.col("kept_words") >= KEPT_SHARE * F.col("n_words"))).alias("kept"))
@@ -98,7 +114,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     kept = measured(rows).withColumn("nth", F.monotonically_increasing_id()).where("kept and nth >= 0")
-    left = F.array_join(F.transform(F.filter(counted(F.col("text")), passes(F.lit(True), F.lit(True), F.lit(True))), lambda s: s["x"]), "\n")
+    left = F.array_join(F.transform(F.filter(counted(F.col("text")), passes(*[F.lit(True)] * 4)), lambda s: s["x"]), "\n")
     return kept.select(*[(left if c == text else F.col(f"doc.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
