@@ -12,7 +12,8 @@ from __future__ import annotations
 import binascii
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,45 +62,44 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-Piece = tuple[str, list[int], list[int]]
+#: A text, and where each of its characters starts and ends in the layer above, as arrays: a run can be as long as a document.
+Piece = tuple[str, Sequence[int], Sequence[int]]
 
 
-def spelled(data: bytes, at: list[tuple[int, int]]) -> Piece | None:
-    """Bytes as text, with each character's start and end in the layer above; at: those of each byte. None unless it is UTF-8."""
+def spelled(data: bytes, at: int) -> Piece:
+    """Bytes that are escaped in three characters each from `at` on as text: UTF-8, or if it isn't that one character a byte."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    starts, ends, i = [], [], 0
+        return data.decode("latin-1"), range(at, at + 3 * len(data), 3), range(at + 3, at + 3 * len(data) + 3, 3)
+    starts, ends, i = array("q"), array("q"), at
     for c in text:
-        n = len(c.encode())
-        starts.append(at[i][0])
-        ends.append(at[i + n - 1][1])
-        i += n
+        starts.append(i)
+        i += 3 * len(c.encode())
+        ends.append(i)
     return text, starts, ends
 
 
 def from_url(run: str, plus: bool) -> Piece:
     """A run with its escapes resolved; a plus is a blank in a form's encoding only."""
-    text, starts, ends = [], [], []
+    text, starts, ends = [], array("q"), array("q")
     for m in URL_UNIT.finditer(run):
         unit, a = m[0], m.start()
         if m["deep"]:
             piece = "%", [a], [m.end()]
         elif unit[0] == "%" and len(unit) > 1:
-            data = bytes.fromhex(unit.replace("%", ""))
-            piece = spelled(data, [(a + 3 * i, a + 3 * i + 3) for i in range(len(data))])
-            piece = piece or (data.decode("latin-1"), [a + 3 * i for i in range(len(data))], [a + 3 * i + 3 for i in range(len(data))])
+            piece = spelled(bytes.fromhex(unit.replace("%", "")), a)
         else:
-            piece = " " if unit == "+" and plus else unit, [*range(a, a + len(unit))], [*range(a + 1, a + len(unit) + 1)]
-        for to, new in zip((text, starts, ends), piece, strict=True):
-            to.extend(new)
+            piece = " " if unit == "+" and plus else unit, range(a, a + len(unit)), range(a + 1, a + len(unit) + 1)
+        text.append(piece[0])
+        starts.extend(piece[1])
+        ends.extend(piece[2])
     return "".join(text), starts, ends
 
 
 def from_escapes(run: str) -> Piece:
     """A run with its backslash escapes resolved; halves of surrogate pairs are joined."""
-    text, starts, ends = [], [], []
+    text, starts, ends = [], array("q"), array("q")
     for m in ESCAPE_UNIT.finditer(run):
         unit, a = m[0], m.start()
         if m["deep"]:
@@ -121,7 +121,7 @@ def from_escapes(run: str) -> Piece:
             starts.append(a)
             ends.append(m.end())
         else:
-            text.extend(unit)
+            text.append(unit)
             starts.extend(range(a, m.end()))
             ends.extend(range(a + 1, m.end() + 1))
     return "".join(text), starts, ends
@@ -150,7 +150,24 @@ def deflate_like(data: bytes, at: int) -> bool:
     return kind in (1, 2) or kind == 0 and len(data) > at + 4 and data[at + 1] ^ data[at + 3] == 255 and data[at + 2] ^ data[at + 4] == 255
 
 
-Layer = tuple[str | bytes, list[int], list[int]]
+Layer = tuple[str | bytes, Sequence[int], Sequence[int]]
+
+
+class Same(Sequence):
+    """One number so many times."""
+
+    def __init__(self, value: int, size: int):
+        self.value, self.size = value, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int | slice) -> int | Same:
+        if isinstance(i, slice):
+            return Same(self.value, len(range(*i.indices(self.size))))
+        if not -self.size <= i < self.size:
+            raise IndexError
+        return self.value
 
 
 def streams(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
@@ -158,18 +175,17 @@ def streams(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw
     for i, window in [*((m.start(), 47) for m in PACKED.finditer(data)), *((i, -15) for i in raw if i < len(data) and deflate_like(data, i))]:
         out, n = inflated(data, i, window)
         if len(out) >= 12:
-            yield out, [place(i)[0]] * len(out), [stop if n == len(data) else place(n - 1)[1]] * len(out)
+            yield out, Same(place(i)[0], len(out)), Same(stop if n == len(data) else place(n - 1)[1], len(out))
 
 
 def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
     """The readable parts and the unpacked streams of bytes."""
     for m in READABLE.finditer(data):
-        spans = [place(i) for i in range(m.start(), m.end())]
-        yield m[0].decode(), [a for a, _ in spans], [b for _, b in spans]
+        yield m[0].decode(), array("q", (place(i)[0] for i in range(m.start(), m.end()))), array("q", (place(i)[1] for i in range(m.start(), m.end())))
     for first, wide in enumerate(WIDE):
         for m in wide.finditer(data) if b"\0" in data else ():
-            spans = [place(i) for i in range(m.start() + first, m.end(), 2)]
-            yield m[0][first::2].decode(), [a for a, _ in spans], [b for _, b in spans]
+            at = range(m.start() + first, m.end(), 2)
+            yield m[0][first::2].decode(), array("q", (place(i)[0] for i in at)), array("q", (place(i)[1] for i in at))
     yield from streams(data, place, stop, raw)
 
 
@@ -179,7 +195,7 @@ def from_base64(run: str) -> Iterator[Layer]:
     Encoded text can begin anywhere in a run, as after a path or another line, so each of the four alignments is decoded; raw deflate streams, which have
     no header, are tried where the run, a line or what follows a `/`, `_` or `-` begins.
     """
-    places, begins, last = [], [], 0
+    places, begins, last = array("q"), [], 0
     for m in [*BREAK.finditer(run), None]:
         begins.append(len(places))
         places.extend(range(last, m.start() if m else len(run.rstrip("="))))
@@ -202,7 +218,7 @@ def from_base64(run: str) -> Iterator[Layer]:
 
 def from_bytes(run: str, unit: re.Pattern, plus: bool = False) -> Iterator[Layer]:
     """The streams in a run of escaped bytes."""
-    data, starts, ends, raw = bytearray(), [], [], [0]
+    data, starts, ends, raw = bytearray(), array("q"), array("q"), [0]
     for m in unit.finditer(run):
         a, code = m.start(), next((g for g in m.groups() if g), None)
         if code is None:
@@ -249,8 +265,11 @@ def deep_scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         for offset, (inner, a, b) in inners:
             if inner in above or not inner:
                 continue
-            a = [x + offset if starts is None else starts[x + offset] for x in a]
-            b = [x + offset if ends is None else ends[x + offset - 1] for x in b]
+            if isinstance(a, Same):
+                a, b = (Same(x.value + offset if up is None else up[x.value + offset - back], len(x)) for x, up, back in ((a, starts, 0), (b, ends, 1)))
+            else:
+                a = array("q", (x + offset if starts is None else starts[x + offset] for x in a))
+                b = array("q", (x + offset if ends is None else ends[x + offset - 1] for x in b))
             if (key := (a[0], b[-1], inner)) in seen:
                 continue
             seen.add(key)
