@@ -155,7 +155,7 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("parts", [None, 1, 23])
+@pytest.mark.parametrize("parts", [1, 23])
 def test_repeats(spark, parts):
     passages = [prose(n) for n in (75, 90, 110, 250)]
     texts = [prose(R.randint(1, 150)) + "".join(R.choice(passages)[R.randint(0, 40) :] + prose(R.randint(0, 30)) for _ in range(R.randint(0, 3))) for _ in range(60)]

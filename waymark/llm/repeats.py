@@ -269,7 +269,8 @@ def loci(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 
 def repeated_places(contents: DataFrame, texts: DataFrame, length: int, parts: int | None = None) -> DataFrame:
     """(key, content, ranges) of the different fragments of keys that have several: the places before the end whose windows stand in another one too."""
-    wanted = contents.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("key", "content", "first.place")).alias("wanted"))
+    # with a shuffle of its own a side can be split where rows that repeat make the other one skewed
+    wanted = contents.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("key", "content", "first.place")).alias("wanted")).repartition("id", "th")
     found = written(texts.join(wanted, ["id", "th"]).select("data", "wanted").mapInArrow(lambda b: sides(b, length), SIDES))
     of = lambda h, s: tree(found.groupBy(F.col(h).alias("h")).agg(F.count("*").alias("n"), F.min(s).alias("s")), parts)
     dictionary, after = of("hl", "l"), of("hr", "r")
@@ -324,7 +325,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     known = docs.select(F.coalesce(F.xxhash64(F.col(f"`{key}`")), F.lit(0)).alias("id") if dict(docs.dtypes)[key] not in ("bigint", "int") else F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text]).alias("row"))
     found = written(known.select("id", "th", "data").mapInArrow(lambda b: parse(b, length), FRAGMENTS))
     spans = repeated_spans(found, known, length, parts)
-    joined = known.join(spans, ["id", "th"], "left").select("row", "data", "spans")
+    joined = known.join(spans.repartition("id", "th"), ["id", "th"], "left").select("row", "data", "spans")
     out = T.StructType([joined.schema["row"], T.StructField("data", T.BinaryType()), *KEPT.fields])
     types = [pa.int64(), pa.list_(pa.field("element", pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.binary()]
 
