@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import checkpointed, runs
+from waymark.llm.common import checkpointed, few_samples, runs
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -150,8 +150,9 @@ def placed(turns: DataFrame) -> tuple[DataFrame, int]:
 
     Turns are sorted over the cluster, so that a long conversation spans partitions; the driver gets what each partition begins and ends with.
     """
-    known = turns.select("conv_id", "turn", codes().cast("int").alias("given"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
-    order = [F.col(c).asc_nulls_first() for c in known.columns]
+    known = turns.select("conv_id", "turn", codes().cast("int").alias("given"), F.col("text").cast("string").alias("text"))
+    known = known.withColumns({"begin": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "given", "begin", "hash", "nth")]
     spread = known.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv_id", "turn", "given", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,8 @@ def placed(turns: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i] for x in nth], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]], [*b.schema.names, "at", "within", "opens"])
 
     types = dict(spread.dtypes)
-    found = checkpointed(spread.mapInArrow(counted, ", ".join(f"{c} {types[c]}" for c in spread.columns) + ", at long, within long, opens boolean"))
+    with few_samples(turns.sparkSession):
+        found = checkpointed(spread.mapInArrow(counted, ", ".join(f"{c} {types[c]}" for c in spread.columns) + ", at long, within long, opens boolean"))
     ends = found.groupBy("part").agg(F.min_by(F.struct("conv_id"), "at").alias("first"), F.max_by(F.struct("conv_id"), "at").alias("last"), F.count_if("opens").alias("n_first"), (F.max_by("within", "at") + 1).alias("n_last"), F.count("*").alias("n"), F.max("within").alias("most"))
     carried, of, offsets, most = 0, None, [], 0
     for r in sorted(ends.collect(), key=lambda r: r.part):
@@ -189,7 +191,7 @@ SPANS = {"part": pa.int64(), "enter": pa.int32(), "leave": pa.int32(), "final":
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row a turn of turns (conv_id, turn, role, text): conv_id, part (of BLOCK places), place in the conversation, turn, role as written, action, n_inserted, piece.
 
-    Turns are taken by number, null first, then by role and text, so that ties have an order; rows that repeat are turns of their own. A null conv_id is a
+    Turns are taken by number, null first, then by role and by the text's first 64 characters and its hash, so that ties have an order; rows that repeat are turns of their own. A null conv_id is a
     conversation like any; a null or unknown role is to be named; a null text is empty. Extra columns are left out. Where a conversation ends with a
     user, the empty assistant is put after the last turn.
     """

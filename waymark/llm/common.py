@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def few_samples(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark takes a tenth of its usual sample to find the bounds of a range sort: the sample goes to the driver, and with long keys and many partitions would not fit there."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "10")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import checkpointed, hot_join, runs, written
+from waymark.llm.common import checkpointed, few_samples, hot_join, runs, written
 
 LENGTH, GRAM = 400, 8
 #: Bytes for each end of a phrase, on average.
@@ -241,7 +241,9 @@ def branches(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[list[int]
 def tree(strings: DataFrame, parts: int | None = None) -> DataFrame:
     """(h, n, depths) of distinct strings (h, n, s), n: how many fragments have it. Sorted over the cluster; the driver gets two strings and some lengths of each partition."""
     spread = strings.repartitionByRange(parts, "s") if parts else strings.repartitionByRange("s")
-    near = checkpointed(spread.sortWithinPartitions("s").select(F.spark_partition_id().alias("part"), "h", "n", "s").mapInArrow(neighbours, NEIGHBOURS))
+    ordered = spread.sortWithinPartitions("s").select(F.spark_partition_id().alias("part"), "h", "n", "s")
+    with few_samples(strings.sparkSession):
+        near = checkpointed(ordered.mapInArrow(neighbours, NEIGHBOURS))
     known = outside(near.mapInArrow(profiles, PROFILES).collect())
     sent = strings.sparkSession.sparkContext.broadcast(known)
     return written(near.mapInArrow(lambda b: branches(b, sent.value), BRANCHES))
