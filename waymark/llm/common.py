@@ -62,15 +62,15 @@ def written(df: DataFrame) -> DataFrame:
 HOT = 500
 
 
-def hot_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined by `on` with table, which has each key once, with n, how many of the rows have it; n isn't returned.
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined by `on` with table, which has each key once, with n, how many of the rows have it; n isn't returned. how: inner, or left to keep rows of other keys.
 
     A key with more than one in HOT of all the rows would load one task, so the fewer than HOT entries of such keys are broadcast and their rows stay where they
     are; all others are shuffled. table is read three times: it should be a written one.
     """
     bound = (table.agg(F.sum("n")).first()[0] or 0) / HOT
     hot, cold = F.broadcast(table.where(F.col("n") > bound)), table.where(F.col("n") <= bound)
-    return rows.join(hot.drop("n"), on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold.drop("n"), on))
+    return rows.join(hot.drop("n"), on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold.drop("n"), on, how))
 
 
 def map_texts(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[str, list]], added: T.StructType) -> DataFrame:
