@@ -7,10 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, decontam, exact_dedup, html_text, langid, quality, repeats, secret_scan, simhash, token_count, variants
+from waymark.llm import alignment, bpe, chat, decontam, exact_dedup, html_text, langid, quality, repeats, secret_scan, simhash, token_count, variants
 from waymark.llm.common import read
 
-RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
+RANKS, VOCABULARY, BYTE_LEVEL = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_repeated_passages, op4_chat_format, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_secret_scan, op10_html_text, op11_exact_dedup, op12_spelling_variants)} | {"pipeline": corpus_pipeline.run}
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.aligned_pairs(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(VOCABULARY))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_decontamination, op3_repeated_passages, op4_chat_format, op5_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_secret_scan, op10_html_text, op11_exact_dedup, op12_spelling_variants, op13_tokenizer_alignment)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op6_quality_rules": quality.oracle(), "op11_exact_dedup": exact_dedup.oracle()}
