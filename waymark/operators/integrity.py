@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import in_box, repeats_point
 from waymark.functions.labels import is_time
+from waymark.operators.ordered import breaks_in_file, repeated_points
 
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 
@@ -58,30 +59,49 @@ KEYS = {"routes": ("route_id",), "trips": ("trip_id",), "stops": ("stop_id",), "
 REFERENCES = (("trips", "route_id", "routes"), ("trips", "service_id", "calendar"), ("stop_times", "trip_id", "trips"), ("stop_times", "stop_id", "stops"), ("trips", "shape_id", "shapes"))
 
 
+def label_of(service: Column) -> Column:
+    """What a service is named for: weekdays, saturdays, sundays, or other."""
+    found = F.when(F.rlike(service, F.lit("(?i)week[ _-]?day")), "weekdays")
+    return found.when(F.rlike(service, F.lit("(?i)saturday")), "saturdays").when(F.rlike(service, F.lit("(?i)sunday")), "sundays").otherwise("other")
+
+
+def reference_report(child: DataFrame, parent: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """(check, n_bad) in two rows: child rows whose key isn't in parent, and keys of parent that no child has. One join of the distinct keys, counted before the shuffle; a null key leads nowhere."""
+    used = child.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    known = parent.select(F.col(key).alias("_p")).distinct().withColumn("_is", F.lit(True))
+    both = used.join(known, F.col("_k") == F.col("_p"), "full_outer")
+    one = both.agg(F.coalesce(F.sum(F.when(F.col("_is").isNull(), F.col("_n"))), F.lit(0)).alias("lost"), F.count_if(F.col("_n").isNull()).alias("idle"))
+    c, p = names
+    return one.select(F.explode(F.array(F.struct(F.lit(f"{c} without {p}").alias("check"), F.col("lost").alias("n_bad")), F.struct(F.lit(f"{p} without {c}").alias("check"), F.col("idle").alias("n_bad")))).alias("r")).select("r.*")
+
+
 def feed_report(feed: dict[str, DataFrame], box: tuple[float, float, float, float], file_order: tuple[str, ...] = ("stop_sequence",)) -> DataFrame:
     """(check, n_bad) of every check that the tables of a feed allow: keys that lead nowhere, rows that nothing leads to, repeated keys, the order of stops, times,
     places outside the box, points that repeat, and services whose days aren't those of their name.
 
-    file_order: columns that put the rows of stop_times in the order of the file. shapes has shape_id and pts, calendar a label.
+    stop_times read with positions are checked in the order of their file, block by block; without, `file_order` are columns that give it. shapes have a row a point,
+    as they are read, or pts. calendar may have a label; without, the id of a service is its name.
     """
-    checks = {}
+    checks, reports = {}, []
     for child, key, parent in REFERENCES:
         if child in feed and parent in feed and key in feed[child].columns:
-            checks[f"{child} without {parent}"] = orphans(feed[child], feed[parent], key, key)
-            checks[f"{parent} without {child}"] = usage(feed[parent].select(key).distinct(), feed[child], key, key).where("n = 0")
+            reports.append(reference_report(feed[child], feed[parent], key, (child, parent)))
     for table, keys in KEYS.items():
         if table in feed:
             checks[f"repeated keys of {table}"] = duplicates(feed[table], *keys)
     if "stop_times" in feed:
-        checks["stop_sequence not rising"] = breaks_in_order(feed["stop_times"], "trip_id", "stop_sequence", *file_order)
-        checks["times not well formed"] = feed["stop_times"].where(~F.coalesce(is_time(F.col("arrival_time")), F.lit(False)))
+        times = feed["stop_times"]
+        in_file = {"_block", "_row"} <= {*times.columns}
+        checks["stop_sequence not rising"] = breaks_in_file(times, "trip_id", "stop_sequence") if in_file else breaks_in_order(times, "trip_id", "stop_sequence", *file_order)
+        checks["times not well formed"] = times.where(~F.coalesce(is_time(F.col("arrival_time")), F.lit(False)))
     if "stops" in feed:
         checks["stops outside the box"] = feed["stops"].where(~F.coalesce(in_box(F.col("stop_lon"), F.col("stop_lat"), *box), F.lit(False)))
     if "shapes" in feed:
-        checks["shapes that repeat a point"] = feed["shapes"].where(repeats_point(F.col("pts")))
-    if "calendar" in feed and "label" in feed["calendar"].columns:
-        checks["services unlike their name"] = calendar_label_check(feed["calendar"]).where("not fits")
-    return integrity_report(checks)
+        checks["shapes that repeat a point"] = feed["shapes"].where(repeats_point(F.col("pts"))) if "pts" in feed["shapes"].columns else repeated_points(feed["shapes"]).select("shape_id").distinct()
+    if "calendar" in feed:
+        named = feed["calendar"]
+        checks["services unlike their name"] = calendar_label_check(named if "label" in named.columns else named.withColumn("label", label_of(F.col("service_id")))).where("not fits")
+    return reduce(DataFrame.unionByName, reports + ([integrity_report(checks)] if checks else []))
 
 
 def od_pairs(routes: DataFrame) -> DataFrame:

@@ -111,6 +111,11 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         " when 'sundays' then monday + tuesday + wednesday + thursday + friday = 0 and saturday = 0 and sunday = 1 end = false",
         ("calendar",),
     ),
+    "filed": ("select l_orderkey as trip_id, l_linenumber as stop_sequence, row_number() over () - 1 as row from lineitem", ()),
+    "shape_points": (
+        "select distinct l_partkey as shape_id, -35 + cast(l_linenumber % 2 as double) as lat, 18 + cast(l_suppkey % 3 as double) as lon, l_orderkey * 100000 + l_suppkey * 10 + l_linenumber as seq from lineitem",
+        (),
+    ),
     "w0": ("select d, [o, d] as way from od where o = (select min(o) from od)", ("od",)),
     "w1": ("select od.d, min(list_append(way, od.d)) as way from w0 join od on od.o = w0.d where od.d not in (select d from w0) group by od.d", ("w0", "od")),
     "w2": ("select od.d, min(list_append(way, od.d)) as way from w1 join od on od.o = w1.d where od.d not in (select d from w0) and od.d not in (select d from w1) group by od.d", ("w0", "w1", "od")),
@@ -193,6 +198,11 @@ ORACLE_SQL = {
         "select trip_id, stop_sequence, before from (select *, lag(stop_sequence) over (partition by trip_id order by stop_id, supplier, stop_sequence) as before from stop_times) where stop_sequence <= before", "stop_times"
     ),
     "consecutive_points": sql("select feature_ord, coalesce(bool_or(same), false) as repeats from (select route_id, lon = lag(lon) over w and lat = lag(lat) over w as same from pts window w as (partition by route_id order by seq)) right join (select o_orderkey as feature_ord from orders) on route_id = feature_ord group by feature_ord", "pts"),
+    "sequence_in_file": sql("select trip_id, stop_sequence, before, row from (select *, lag(stop_sequence) over (partition by trip_id order by row) as before from filed) where stop_sequence <= before", "filed"),
+    "repeated_points": sql("select shape_id, seq as shape_pt_sequence from (select *, lag(lat) over w as a, lag(lon) over w as b from shape_points window w as (partition by shape_id order by seq)) where lat = a and lon = b", "shape_points"),
+    "shape_paths": sql(
+        f"select shape_id, count(*) as n_points, round(coalesce(sum({hav('b', 'a', 'lon', 'lat')}), 0.0) / 1000, 3) as length_km from (select *, lag(lat) over w as a, lag(lon) over w as b from shape_points window w as (partition by shape_id order by seq)) group by shape_id", "shape_points"
+    ),
     "prefix_gaps": sql(
         r"select * from (select base, number, number - lag(number) over (partition by base order by number) - 1 as gap from (select distinct cast(regexp_extract(stop_name, '^(\d+)_(.*)$', 1) as bigint) as number, regexp_extract(stop_name, '^(\d+)_(.*)$', 2) as base from stops)) where gap > 0", "stops"
     ),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, labels
-from waymark.operators import cleaning, integrity, matching, places, similarity
+from waymark.operators import cleaning, integrity, matching, ordered, places, similarity
 from waymark.plans import views
 from waymark.plans.views import rounded, table
 from waymark.sources import gtfs
@@ -246,6 +246,24 @@ def monotonic_sequence(spark, d):
     return integrity.breaks_in_order(views.stop_times(spark, d), "trip_id", "stop_sequence", "stop_id", "supplier", "stop_sequence").select("trip_id", "stop_sequence", "before")
 
 
+@query
+def sequence_in_file(spark, d):
+    return ordered.breaks_in_file(views.stop_times_in_file(spark, d), "trip_id", "stop_sequence").select("trip_id", "stop_sequence", "before", F.col("_row").alias("row"))
+
+
+@query
+def repeated_points(spark, d):
+    return ordered.repeated_points(views.shape_points(spark, d), size=1 << 22).select("shape_id", "shape_pt_sequence")
+
+
+@query
+def shape_paths(spark, d):
+    """Of each shape gathered from its points how many there are, and its length."""
+    line = ordered.paths(views.shape_points(spark, d))
+    steps = F.zip_with(F.slice("pts", 1, F.size("pts") - 1), F.slice("pts", 2, F.size("pts") - 1), lambda a, b: geo.haversine(a[0], a[1], b[0], b[1]))
+    return line.select("shape_id", F.size("pts").cast("long").alias("n_points"), F.round(F.aggregate(steps, F.lit(0.0), lambda x, y: x + y) / 1000, 3).alias("length_km"))
+
+
 @query
 def consecutive_points(spark, d):
     return views.routes(spark, d).select("feature_ord", geo.repeats_point(F.col("pts")).alias("repeats"))

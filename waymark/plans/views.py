@@ -96,6 +96,21 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trip_id"), F.col("l_partkey").alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"), F.col("l_suppkey").alias("supplier"), F.expr(TIME).alias("arrival_time"))
 
 
+def stop_times_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stop_times in the order of the file of lines: with _block, a stretch of 65,536 rows of a file, and _row."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = F.col("_metadata.row_index")
+    return lines.select(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"), F.struct(F.col("_metadata.file_path").alias("file"), F.shiftright(at, 16).alias("n")).alias("_block"), at.alias("_row"))
+
+
+def shape_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shape_id, shape_pt_lat, shape_pt_lon, shape_pt_sequence): the lines of a part are the points of a shape, at coarse places, so that some follow an equal one."""
+    lon, lat = "18 + cast(l_suppkey % 3 as double)", "-35 + cast(l_linenumber % 2 as double)"
+    number = "l_orderkey * 100000 + l_suppkey * 10 + l_linenumber"
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("shape_id"), F.expr(lat).alias("shape_pt_lat"), F.expr(lon).alias("shape_pt_lon"), F.expr(number).alias("shape_pt_sequence"))
+    return points.distinct()
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(service_id, label, the days' flags, start_date, end_date): a service a supplier."""
     k = F.col("s_suppkey")

@@ -20,23 +20,29 @@ SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table of a feed, its columns found by the header and all kept: those of SCHEMAS with their types, others as text. Line ends of either kind and a byte order mark are taken as they come; absent columns are null."""
+def read_table(spark: SparkSession, folder: str, table: str, positions: bool = False) -> DataFrame:
+    """A table of a feed, its columns found by the header and all kept: those of SCHEMAS with their types, others as text. Line ends of either kind and a byte order mark are taken as they come; absent columns are null.
+
+    positions: also _block, the stretch of the file that a row was read in, and _row, which rises in it: together the order of the file, with nothing sorted.
+    """
     path = f"{folder}/{table}.txt"
     text = spark.read.option("header", True).csv(path)
     kinds = dict(c.strip().split(" ") for c in SCHEMAS[table].split(","))
     have = {c.replace("\ufeff", "").strip(): c for c in text.columns}
+    place = [F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")] if positions else []
     df = text.select(
         *[(F.col(f"`{raw}`").try_cast(kinds[c]) if c in kinds else F.col(f"`{raw}`")).alias(c) for c, raw in have.items()],
         *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items() if c not in have],
+        *place,
     )
     if table == "calendar":
         df = df.withColumns({c: F.try_to_date(c, "yyyyMMdd") for c in ("start_date", "end_date")})
     return df
 
 
-def read_feed(spark: SparkSession, folder: str, tables: tuple[str, ...] = ("agency", "calendar", "routes", "trips", "stops")) -> dict[str, DataFrame]:
-    return {t: read_table(spark, folder, t) for t in tables}
+def read_feed(spark: SparkSession, folder: str, tables: tuple[str, ...] = ("agency", "calendar", "routes", "trips", "stops"), positions: bool = False) -> dict[str, DataFrame]:
+    """The tables by name; positions: stop_times with those of its rows in the file, which feed_report then goes by."""
+    return {t: read_table(spark, folder, t, positions and t == "stop_times") for t in tables}
 
 
 def cardinalities(feed: dict[str, DataFrame]) -> DataFrame:
