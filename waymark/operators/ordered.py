@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equal keys of two DataFrames, nulls equal to each other."""
-    return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
+from waymark.operators.skew import matched
 
 
 def with_previous(df: DataFrame, groups: list[str], block: str, order: list[str], value: str, name: str = "before") -> DataFrame:
@@ -23,8 +18,8 @@ def with_previous(df: DataFrame, groups: list[str], block: str, order: list[str]
     rows = df.withColumns({"_own": F.lag(value).over(inside), "_nth": F.row_number().over(inside)})
     last = df.groupBy(*groups, block).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     handed = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(*groups).orderBy(block)))
-    found = rows.join(handed, same(rows, handed, [*groups, block]), "left")
-    return found.select(*[rows[c] for c in df.columns], F.when(F.col("_nth") == 1, F.col(f"_last.{value}")).otherwise(F.col("_own")).alias(name))
+    found = matched(rows, handed, [*groups, block], "left")
+    return found.select(*df.columns, F.when(F.col("_nth") == 1, F.col(f"_last.{value}")).otherwise(F.col("_own")).alias(name))
 
 
 def breaks_in_file(df: DataFrame, group: str, number: str, block: str = "_block", row: str = "_row") -> DataFrame:

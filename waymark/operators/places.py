@@ -1,8 +1,9 @@
 """Canonical places: dirty labels are split, tidied, aliased, grouped and voted on; geometry checks every merge.
 
 Work is done once for each distinct label. routes have feature_ord (the order in the document, which settles every tie), ORGN, DSTN and pts. Rule tables
-are arguments: aliases (alias, target) match a tidied place exactly, preferred (key, display) overrides a group's vote. No join is forced to
-broadcast: Spark does that where its size estimate allows.
+are arguments: aliases (alias, target) match a tidied place exactly, preferred (key, display) overrides a group's vote. A label may be on a third of all rows: what
+is known of it is looked up, and its median found, without its rows in one task (operators.skew). The dictionary of labels and the medians are worked out when an operator
+that needs them is called, and kept in the folder of spark.checkpoint.dir.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
 from waymark.functions.labels import canonical_key, split_via, station_words, tidy
+from waymark.operators.skew import lookup, medians
+from waymark.shared import checkpointed
 
 WARN_M = 1000.0
 
@@ -31,7 +34,7 @@ def names(ends: DataFrame) -> DataFrame:
 
 def consensus(ends: DataFrame) -> DataFrame:
     """(name, lon, lat): component-wise medians of the points that claim a label; labels without a point are missing."""
-    return ends.where("lon is not null").groupBy("name").agg(F.median("lon").alias("lon"), F.median("lat").alias("lat"))
+    return medians(ends.where("lon is not null"), "name", "lon", "lat")
 
 
 def resolved(labels: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -63,12 +66,11 @@ def dictionary(routes: DataFrame, aliases: DataFrame, preferred: DataFrame) -> D
 
 def normalise_places(routes: DataFrame, aliases: DataFrame, preferred: DataFrame) -> DataFrame:
     """routes with canonical_origin, canonical_destination, via_origin and via_destination. Raw columns stay, so a second run gives the same."""
-    entries = dictionary(routes, aliases, preferred).where("name is not null").select("name", "canonical", "via")
+    entries = checkpointed(dictionary(routes, aliases, preferred).select("name", "canonical", "via", "cnt"))
     made = ("canonical_origin", "canonical_destination", "via_origin", "via_destination")
     out = routes.drop(*made)
     for role, end in (("ORGN", "origin"), ("DSTN", "destination")):
-        side = entries.toDF(f"_{end}", f"canonical_{end}", f"via_{end}")
-        out = out.join(side, F.col(role) == F.col(f"_{end}"), "left").drop(f"_{end}")
+        out = lookup(out, entries.toDF("_name", f"canonical_{end}", f"via_{end}", "_cnt"), role, "_name", "_cnt")
     return out.select(*routes.drop(*made).columns, *made)
 
 
@@ -80,7 +82,7 @@ def merge_report(routes: DataFrame, aliases: DataFrame, preferred: DataFrame, wa
     """
     ends = endpoints(routes)
     members = dictionary(routes, aliases, preferred).where("canonical is not null").select("canonical", "name", "cnt", "first_ord")
-    placed = members.join(consensus(ends), "name", "left")
+    placed = checkpointed(members.join(consensus(ends), "name", "left"))
     base = placed.groupBy("canonical").agg(F.min_by(F.struct("lon", "lat"), F.struct(-F.col("cnt"), F.col("first_ord"))).alias("base"), F.count("*").alias("n")).where("n >= 2").drop("n")
     far = placed.join(base, "canonical").withColumn("dist_m", haversine(F.col("base.lon"), F.col("base.lat"), F.col("lon"), F.col("lat")))
     spread = far.groupBy("canonical").agg(F.coalesce(F.max("dist_m"), F.lit(0.0)).alias("spread_m"))
@@ -126,13 +128,16 @@ def place_members(entries: DataFrame) -> DataFrame:
 
 def label_geometry_mismatch(routes: DataFrame, aliases: DataFrame, preferred: DataFrame, limit_m: float) -> DataFrame:
     """(ord, name, canonical, dist_m): endpoints further than limit_m from the consensus of their place's endpoints."""
-    ends = endpoints(routes).join(dictionary(routes, aliases, preferred).select("name", "canonical"), "name").where("canonical is not null and lon is not null")
-    centre = ends.groupBy("canonical").agg(F.median("lon").alias("clon"), F.median("lat").alias("clat"))
-    far = ends.join(centre, "canonical").withColumn("dist_m", haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
+    known = checkpointed(dictionary(routes, aliases, preferred).where("canonical is not null").select("name", "canonical", "cnt"))
+    ends = lookup(endpoints(routes).where("lon is not null"), known, "name", "name", "cnt", "inner")
+    centre = medians(ends, "canonical", "lon", "lat").toDF("canonical", "clon", "clat").join(known.groupBy("canonical").agg(F.sum("cnt").alias("cnt")), "canonical")
+    far = lookup(ends, checkpointed(centre), "canonical", "canonical", "cnt", "inner").withColumn("dist_m", haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
     return far.where(exceeds("dist_m", limit_m)).select("ord", "name", "canonical", "dist_m")
 
 
 def own_spread(ends: DataFrame) -> DataFrame:
     """(name, max_m, median_m): how far a label's own points lie from its consensus."""
-    far = ends.where("lon is not null").join(consensus(ends).select("name", F.col("lon").alias("clon"), F.col("lat").alias("clat")), "name")
-    return far.groupBy("name").agg(F.max(haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))).alias("max_m"), F.median(haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))).alias("median_m"))
+    placed = ends.where("lon is not null")
+    centre = checkpointed(consensus(placed).toDF("name", "clon", "clat").join(placed.groupBy("name").agg(F.count("*").alias("cnt")), "name"))
+    far = lookup(placed, centre, "name", "name", "cnt", "inner").select("name", haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")).alias("m"))
+    return far.groupBy("name").agg(F.max("m").alias("max_m")).join(medians(far, "name", "m").toDF("name", "median_m"), "name")
