@@ -109,13 +109,17 @@ def test_planes_blocks_and_dense_bitmaps(spark, models, monkeypatch):
     check(models, *alignment.aligned_pairs(table, A, B), rows)
 
 
-def test_long_texts_are_cut_where_nothing_changes(models, monkeypatch):
+def test_texts_are_cut_where_nothing_changes(models, monkeypatch):
     monkeypatch.setattr(alignment, "PIECE", 20)
+    monkeypatch.setattr(alignment, "KNOWN", 30)
     model = alignment.Aligner(A, B)
-    texts = [" ".join(R.choice(["word", "Über", "漢字漢字", "it's", "12", "...", "", "\n", "a\tb"]) for _ in range(400)) for _ in range(30)]
-    for t, (a, b) in zip(texts, model.encode(texts), strict=True):
-        assert len(model.pieces(t)) > 10
-        assert (a.tolist(), b.tolist()) == (models[0].encode(" " + t, add_special_tokens=False).ids, models[1].encode(t))
+    texts = [" ".join(R.choice(["word", "Über", "漢字漢字", "it's", "12", "...", "", "\n", "a\tb", "x" * 150]) for _ in range(400)) for _ in range(30)]
+    for some in (texts[:20], texts[10:]):
+        for t, (n_a, n_b, groups, _) in zip(some, model.align(some), strict=True):
+            assert len(model.stretches(t)) > 10
+            a, b = alignment.ids_of(groups, 0), alignment.ids_of(groups, 1)
+            assert (a, b) == (models[0].encode(" " + t, add_special_tokens=False).ids, models[1].encode(t)) and (n_a, n_b) == (len(a), len(b))
+    assert all(len(s) <= alignment.LONG for s in model.known)
 
 
 def test_align_gives_groups(spark, models):

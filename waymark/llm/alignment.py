@@ -13,7 +13,7 @@ import hashlib
 import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from waymark.llm.common import held, map_texts, runs, written
 
 BLOCK, DENSE = 1 << 16, 1 << 12
-#: Characters that are encoded at a time: a longer text is cut at blanks where neither tokenizer can tell. Links that a task indexes at once.
-PIECE, LINKS = 1 << 17, 4_000_000
-CUT = re.compile(r"(?<=[A-Za-z0-9])\x20")
+#: Characters that are encoded at a time, links that a task indexes at once, stretches that a worker knows, and the characters of one that it doesn't keep.
+PIECE, LINKS, KNOWN, LONG = 1 << 17, 4_000_000, 150_000, 100
+CUT = re.compile(r"(?<=[A-Za-z0-9])\x20(?!\Z)")
 DIGITS = "n_a n_b n_groups n_links".split()
 
 
@@ -39,19 +39,25 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """The bytes of each id of a vocabulary, and its ids as digits followed by a sign."""
+    """The bytes of each id of a vocabulary."""
 
-    def __init__(self, tokens: list[bytes], inner: str, last: str):
-        self.tokens = tokens
-        self.size = np.array([len(t) for t in tokens])
-        self.inner, self.last = (np.array([f"{i}{sign}".encode() for i in range(len(tokens))], "S8") for sign in (inner, last))
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.size = tokens, [*map(len, tokens)]
 
     def spells(self, ids: list[int], data: bytes) -> bool:
         return b"".join(map(self.tokens.__getitem__, ids)) == data
 
 
+#: What a stretch of a text gives: its ids of both sides, its groups, and the linked pairs as bytes.
+Part = tuple[int, int, str, bytes]
+
+
 class Aligner:
-    """Two tokenizers: a byte-level one, A, which encodes a blank and the text, and one of pieces, B, which puts the blank itself."""
+    """Two tokenizers: a byte-level one, A, which encodes a blank and the text, and one of pieces, B, which puts the blank itself.
+
+    A blank behind a letter or digit begins a token of A, and one of B if no piece has a blank behind another character. So a text is cut there: each stretch is encoded and
+    aligned for itself, with a blank before it like a text, and the results stand one after another. Stretches that recur are looked up.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,56 +69,62 @@ class Aligner:
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             tokens[i] = b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in piece)
-        self.a = Side(tokens, ",", "|")
+        self.a = Side(tokens)
         ids = range(self.b_model.get_piece_size())
         pieces = [self.b_model.id_to_piece(i) for i in ids]
-        self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)], ",", ";")
-        #: Whether B never joins anything over a blank, so that a text can be cut before one.
+        self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)])
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before single blanks behind letters or digits, so that its pieces, each without its blank, give the same tokens one after another."""
-        out, begin = [], 0
-        while self.cuts and len(text) - begin > PIECE and (m := CUT.search(text, begin + PIECE)):
-            out.append(text[begin : m.start()])
-            begin = m.end()
-        return [*out, text[begin:]]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both of each text; none if there is no text or if either's bytes aren't those of a blank and the text."""
-        pieces = [self.pieces(t) if t else [] for t in texts]
-        flat, ids, sizes = [p for some in pieces for p in some], [], [len(some) for some in pieces]
-        for some in batches_of(flat, PIECE):
-            a = [e.ids for e in self.a_model.encode_batch([" " + p for p in some], add_special_tokens=False)]
-            b = self.b_model.encode(some, num_threads=1)
-            for p, x, y in zip(some, a, b, strict=True):
-                data = (" " + p).encode()
-                same = self.a.spells(x, data) and self.b.spells(y, data)
-                ids.append((np.array(x, np.int64), np.array(y, np.int64)) if same else None)
-        out, at, none = [], 0, np.zeros(0, np.int64)
-        for n in sizes:
-            some = ids[at : at + n]
-            at += n
-            fit = n and all(x is not None for x in some)
-            out.append((np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some])) if fit else (none, none))
-        return out
-
-    def aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
-        """(groups, linked pairs) of a text's ids. Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
-        if not len(a):
-            return "", np.zeros(0, np.int64)
-        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
-        ends = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_last, b_last = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        a_sign, b_sign = self.a.inner[a], self.b.inner[b]
-        a_sign[a_last], b_sign[b_last] = self.a.last[a[a_last]], self.b.last[b[b_last]]
-        both = np.empty(len(a) + len(b), "S8")
-        both[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[np.searchsorted(ends, a_end)]] = a_sign
-        both[np.arange(len(b)) + (a_last + 1)[np.searchsorted(ends, b_end)]] = b_sign
-        return both.tobytes().replace(b"\0", b"")[:-1].decode(), a[a_last] << 32 | b[b_last]
-
-
-def batches_of(texts: list[str], most: int) -> Iterator[list[str]]:
+        self.known: dict[str, Part | None] = {}
+
+    def stretches(self, text: str | None) -> list[str]:
+        """The text cut at blanks, each gone from its stretch."""
+        return (CUT.split(text) if self.cuts else [text]) if text else []
+
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Encodes and aligns the stretches that aren't known yet."""
+        for some in batches_of(stretches, PIECE):
+            a = [e.ids for e in self.a_model.encode_batch([" " + s for s in some], add_special_tokens=False)]
+            for s, x, y in zip(some, a, self.b_model.encode(some, num_threads=1), strict=True):
+                data = (" " + s).encode()
+                self.known[s] = self.aligned(x, y) if self.a.spells(x, data) and self.b.spells(y, data) else None
+
+    def aligned(self, a: list[int], b: list[int]) -> Part:
+        """Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
+        groups, pairs, i, j, a_end, b_end = [], [], 0, 0, 0, 0
+        while i < len(a):
+            a_first, b_first = i, j
+            while i == a_first or a_end != b_end:
+                if a_end <= b_end:
+                    a_end += self.a.size[a[i]]
+                    i += 1
+                else:
+                    b_end += self.b.size[b[j]]
+                    j += 1
+            groups.append(f"{','.join(map(str, a[a_first:i]))}|{','.join(map(str, b[b_first:j]))}")
+            pairs.append(a[i - 1] << 32 | b[j - 1])
+        return len(a), len(b), ";".join(groups), np.array(pairs, np.int64).tobytes()
+
+    def align(self, texts: list[str | None]) -> Iterator[Part]:
+        """What each of the texts gives: nothing if there is no text or if either tokenizer's bytes aren't those of a blank and the text."""
+        cut = [self.stretches(t) for t in texts]
+        here = set(itertools.chain.from_iterable(cut))
+        if len(self.known) + len(here) > KNOWN:
+            self.known = {s: p for s, p in self.known.items() if s in here}
+        fresh = [s for s in here if s not in self.known]
+        self.learn(fresh)
+        for some in cut:
+            parts = [*map(self.known.__getitem__, some)]
+            if not parts or None in parts:
+                yield 0, 0, "", b""
+                continue
+            n_a, n_b, groups, pairs = zip(*parts, strict=True)
+            yield sum(n_a), sum(n_b), ";".join(groups), b"".join(pairs)
+        for s in fresh:
+            if len(s) > LONG:
+                del self.known[s]
+
+
+def batches_of(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     """Texts in runs of so many characters, of one text at least."""
     some, n = [], 0
     for t in texts:
@@ -132,6 +144,10 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 ALIGNED = T.StructType([T.StructField("a_ids", T.ArrayType(T.LongType(), False)), T.StructField("b_ids", T.ArrayType(T.LongType(), False)), T.StructField("groups", T.StringType())])
 
 
+def ids_of(groups: str, side: int) -> list[int]:
+    return [int(i) for g in groups.split(";") for i in g.split("|")[side].split(",")] if groups else []
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """docs with a_ids, b_ids and groups, the ids in text order as `a1,a2|b1;a3|b2,b3`, cut where tokens of both end. Narrow.
 
@@ -139,9 +155,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Data
     """
 
     def made(texts: list[str | None]) -> dict[str, list]:
-        model = aligner(a_path, b_path)
-        ids = model.encode(texts)
-        return {"a_ids": [a.tolist() for a, _ in ids], "b_ids": [b.tolist() for _, b in ids], "groups": [model.aligned(a, b)[0] for a, b in ids]}
+        groups = [g for _, _, g, _ in aligner(a_path, b_path).align(texts)]
+        return {"a_ids": [ids_of(g, 0) for g in groups], "b_ids": [ids_of(g, 1) for g in groups], "groups": groups}
 
     return map_texts(docs, text, made, ALIGNED)
 
@@ -224,9 +239,9 @@ def indexed(docs: DataFrame, a_path: str, b_path: str, text: str, key: str) -> D
         for part in itertools.chain.from_iterable(runs(b, 1) for b in batches):
             model = aligner(a_path, b_path)
             rows = []
-            for number, (a, b) in zip(part.column(2).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
-                groups, linked = model.aligned(a, b)
-                rows.append((number, len(a), len(b), len(linked), len(linked), hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+            for number, (n_a, n_b, groups, linked) in zip(part.column(2).to_pylist(), model.align(part.column(1).to_pylist()), strict=True):
+                linked = np.frombuffer(linked, np.int64)
+                rows.append((number, n_a, n_b, len(linked), len(linked), hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
                 if number >> 16 != block or links >= LINKS:
                     yield from flushed()
                     block, links = number >> 16, 0
