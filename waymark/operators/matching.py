@@ -8,31 +8,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
+from waymark.shared import checkpointed
 
 #: Metres of a degree of latitude, a little under the least.
 DEGREE_M = 110_000.0
 
 
-def route_legs(edges: DataFrame, start: str, end: str | None = None, transfers: int = 2) -> DataFrame:
-    """(destination, transfers, places): for each place, or only `end`, the fewest changes with which it is reached from `start`, up to `transfers`, and the places
-    of the way from start to destination: of ways with as few changes the first by names. `end` stops the search where it is reached.
+def hops_of(edges: DataFrame) -> DataFrame:
+    """(o, d): the different edges (canonical_origin, canonical_destination) between known places."""
+    known = edges.select(F.col("canonical_origin").alias("o"), F.col("canonical_destination").alias("d"))
+    return checkpointed(known.where("o is not null and d is not null").distinct())
 
-    edges: (canonical_origin, canonical_destination). Each hop is one join of the places that the last hop reached first with the distinct edges; places reached before are left out.
+
+def step(front: DataFrame, hops: DataFrame, seen: DataFrame, back: bool = False) -> DataFrame:
+    """(place, places) of the places that one hop from the front reaches, or if back that reach it, and that weren't seen: each with the first of its ways by names."""
+    here, there = ("d", "o") if back else ("o", "d")
+    way = F.concat(F.array("o"), "places") if back else F.concat("places", F.array("d"))
+    ways = front.join(hops, F.col("place") == F.col(here)).select(F.col(there).alias("place"), way.alias("places"))
+    return checkpointed(ways.groupBy("place").agg(F.min("places").alias("places")).join(seen.select("place"), "place", "left_anti"))
+
+
+#: Hops after which what was seen becomes one table again.
+ROUNDS = 8
+
+
+def route_legs(edges: DataFrame, start: str, end: str | None = None, transfers: int | None = 2) -> DataFrame:
+    """(destination, transfers, places): for each place, or only `end`, the fewest changes with which it is reached from `start`, up to `transfers` or if that is None
+    however many it takes, and the places of the way from start to destination: of ways with as few changes the first by names.
+
+    edges: (canonical_origin, canonical_destination). Each hop is a job: one join of the places that the last hop reached first with the distinct edges, less those seen
+    before. It ends when nothing new is reached, and with `end` when that is; for one pair of far places route_between does less.
     """
-    hops = edges.select(F.col("canonical_origin").alias("o"), F.col("canonical_destination").alias("d")).where("o is not null and d is not null").distinct()
-    front = hops.where(F.col("o") == start).select(F.col("d").alias("destination"), F.array("o", "d").alias("places"))
-    found = front.withColumn("transfers", F.lit(0))
-    for n in range(1, transfers + 1):
-        if end is not None and found.where(F.col("destination") == end).limit(1).count():
+    hops = hops_of(edges)
+    front = checkpointed(hops.where(F.col("o") == start).select(F.col("d").alias("place"), F.array("o", "d").alias("places")))
+    seen, n = front.withColumn("transfers", F.lit(0)), 0
+    while transfers is None or n < transfers:
+        if not front.limit(1).count() or end is not None and front.where(F.col("place") == end).limit(1).count():
             break
-        ways = front.join(hops, F.col("destination") == F.col("o")).select(F.col("d").alias("destination"), F.concat("places", F.array("d")).alias("places"))
-        front = ways.groupBy("destination").agg(F.min("places").alias("places")).join(found.select("destination"), "destination", "left_anti")
-        found = found.unionByName(front.withColumn("transfers", F.lit(n)))
-    return (found if end is None else found.where(F.col("destination") == end)).select("destination", "transfers", "places")
+        n += 1
+        front = step(front, hops, seen)
+        seen = seen.unionByName(front.withColumn("transfers", F.lit(n)))
+        if n % ROUNDS == 0:
+            seen = checkpointed(seen)
+    found = seen if end is None else seen.where(F.col("place") == end)
+    return found.select(F.col("place").alias("destination"), "transfers", "places")
 
 
-def match_route(edges: DataFrame, start: str, transfers: int = 2) -> DataFrame:
-    """(destination, transfers): the fewest changes with which each place is reached from `start`, up to `transfers`."""
+def route_between(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(destination, transfers, places): the way from start to end with the fewest changes, however many, of several the first by names; no row if there is none.
+
+    The search goes from both ends, each time a hop from the side whose front is smaller, until the fronts meet, so of a large network it sees two balls of half the
+    way's radius. A way has a hop at least: from a place to itself it leads around, or along a loop.
+    """
+    hops = hops_of(edges)
+    ahead = checkpointed(hops.where(F.col("o") == start).select(F.col("d").alias("place"), F.array("o", "d").alias("places")))
+    behind = checkpointed(hops.sparkSession.createDataFrame([(end, [end])], "place string, places array<string>"))
+    seen, n = [ahead, behind], 1
+    while (sizes := [f.count() for f in (ahead, behind)]) and all(sizes):
+        # levels are whole, so the first meeting is on shortest ways, and each of these passes it at this very level
+        met = ahead.join(behind.toDF("place", "rest"), "place").agg(F.min(F.struct("places", "rest")).alias("m")).first().m
+        if met is not None:
+            return hops.sparkSession.createDataFrame([(end, n - 1, [*met.places, *met.rest[1:]])], "destination string, transfers int, places array<string>")
+        n += 1
+        side = int(sizes[1] < sizes[0])
+        front = step(behind if side else ahead, hops, seen[side], bool(side))
+        ahead, behind = (ahead, front) if side else (front, behind)
+        seen[side] = seen[side].unionByName(front)
+        if n % ROUNDS == 0:
+            seen = [checkpointed(s) for s in seen]
+    return hops.sparkSession.createDataFrame([], "destination string, transfers int, places array<string>")
+
+
+def match_route(edges: DataFrame, start: str, transfers: int | None = 2) -> DataFrame:
+    """(destination, transfers): the fewest changes with which each place is reached from `start`, up to `transfers`, or all that it takes if that is None."""
     return route_legs(edges, start, transfers=transfers).select("destination", "transfers")
 
 

@@ -1,8 +1,12 @@
 """Typo candidates. They are only proposed: a person approves a table of corrections, which is then applied.
 
-Of two strings at most k edits apart, one cut into k + 1 equal parts has a part that no edit touches, and the other holds it at most k places away.
-So they meet in an equi-join on the part, its number and the first one's length, which takes a number of rows a string that doesn't grow with the string; the
-distance is then computed. No pair is missed and no cross join is needed.
+Pairs of strings at most k edits apart are found by equi-joins for any k; no pair is missed and no cross join is needed. n is the length of the shorter, m that of the longer one.
+
+Long strings, from 2 (k + 1) characters on, are cut: of the shorter one's k + 1 equal parts one is touched by no edit, and the other string holds it, at most (k - (m - n)) / 2
+places before its own place and (k + m - n) / 2 behind, as what shifts it one way must be made up for the other way.
+
+Short ones, whose parts would be a character each, lose characters: both keep a common subsequence of m - k characters, so they meet in one of the
+strings left when the longer loses k characters and the shorter k - (m - n).
 """
 
 from __future__ import annotations
@@ -13,22 +17,50 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import haversine
 
 
-def close_pairs(names: DataFrame, column: str, k: int = 2) -> DataFrame:
-    """(a, b, distance), a < b: the distinct strings at most k edits apart."""
-    if k not in (1, 2):
-        raise ValueError("k is 1 or 2")
-    distinct = names.select(F.col(column).alias("s")).where("s is not null").distinct()
-    numbers, shifts = F.sequence(F.lit(0), F.lit(k)), F.sequence(F.lit(-k), F.lit(k))
+def shorter_ones(s: Column) -> Column:
+    """The strings that a loss of one character makes of each of an array of strings."""
+    without = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(s, lambda v: F.when(F.length(v) > 0, without(v)).otherwise(F.array(v)))))
+
+
+def by_losses(strings: DataFrame, k: int, bound: int) -> DataFrame:
+    """(x, y) of strings (s, n), x under `bound` characters and y as long or longer, that a loss of up to k characters can make equal."""
+    left, levels = strings.where(F.col("n") < bound + k), [F.array("s")]
+    for j in range(k):
+        left = left.withColumn(f"l{j}", levels[-1])
+        levels.append(shorter_ones(F.col(f"l{j}")))
+    left = left.withColumn(f"l{k}", levels[-1])
+    longer = left.select(F.col("s").alias("y"), F.col("n").alias("m"), F.explode(f"l{k}").alias("kept"))
+    asked = F.array(*[F.struct((F.col("n") + d).alias("m"), F.col(f"l{k - d}").alias("kept")) for d in range(k + 1)])
+    shorter = left.where(F.col("n") < bound).select(F.col("s").alias("x"), F.explode(asked).alias("a")).select("x", "a.m", F.explode("a.kept").alias("kept"))
+    return shorter.join(longer, ["m", "kept"]).select("x", "y")
+
+
+def by_parts(strings: DataFrame, k: int, bound: int) -> DataFrame:
+    """(x, y) of strings (s, n), x of `bound` characters or more and y as long or longer, that share one of x's k + 1 parts about its place."""
+    numbers = F.sequence(F.lit(0), F.lit(k))
     begin = lambda length, i: F.floor(length * i / (k + 1)).cast("int")
     size = begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))
-    parts = distinct.select("s", F.length("s").alias("n"), F.explode(numbers).alias("i"))
-    parts = parts.select(F.col("s").alias("x"), "n", "i", F.substr("s", begin(F.col("n"), F.col("i")) + 1, size).alias("part"))
-    # the shorter of two strings, or either of equal ones, is the one that was cut
-    asked = distinct.select("s", F.explode(F.transform(numbers, lambda d: F.length("s") - d)).alias("n")).where("n >= 0").select("s", "n", F.explode(numbers).alias("i"))
-    asked = asked.select("s", "n", "i", size.alias("size"), F.explode(F.transform(shifts, lambda d: begin(F.col("n"), F.col("i")) + d)).alias("at")).where("at >= 0 and at + size <= length(s)")
-    asked = asked.select(F.col("s").alias("y"), "n", "i", F.substr("s", F.col("at") + 1, F.col("size")).alias("part")).distinct()
-    met = parts.join(asked, ["n", "i", "part"]).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return met.withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
+    parts = strings.where(F.col("n") >= bound).select(F.col("s").alias("x"), "n", F.explode(numbers).alias("i"))
+    parts = parts.select("x", "n", "i", F.substr("x", begin(F.col("n"), F.col("i")) + 1, size).alias("part"))
+    asked = strings.select(F.col("s").alias("y"), F.col("n").alias("m"), F.explode(F.transform(numbers, lambda d: F.col("n") - d)).alias("n")).where(F.col("n") >= bound)
+    more = F.col("m") - F.col("n")
+    shifts = F.sequence(-F.floor((k - more) / 2).cast("int"), F.floor((k + more) / 2).cast("int"))
+    asked = asked.select("y", "n", shifts.alias("shifts"), F.explode(numbers).alias("i"))
+    asked = asked.select("y", "n", "i", size.alias("size"), F.explode(F.transform("shifts", lambda d: begin(F.col("n"), F.col("i")) + d)).alias("at")).where("at >= 0 and at + size <= length(y)")
+    asked = asked.select("y", "n", "i", F.substr("y", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+    return parts.join(asked, ["n", "i", "part"]).select("x", "y")
+
+
+def close_pairs(names: DataFrame, column: str, k: int = 2) -> DataFrame:
+    """(a, b, distance), a < b: the distinct strings at most k edits apart, for any k of 1 or more. Nulls are left out; an empty string is a string."""
+    if k < 1:
+        raise ValueError("k is 1 or more")
+    strings = names.select(F.col(column).alias("s")).where("s is not null").distinct().withColumn("n", F.length("s"))
+    bound = 2 * (k + 1)
+    met = by_parts(strings, k, bound).unionByName(by_losses(strings, k, bound))
+    pairs = met.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
 
 
 def token_pairs(names: DataFrame, column: str, k: int = 2) -> DataFrame:

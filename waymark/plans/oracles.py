@@ -116,6 +116,14 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         "select distinct l_partkey as shape_id, -35 + cast(l_linenumber % 2 as double) as lat, 18 + cast(l_suppkey % 3 as double) as lon, l_orderkey * 100000 + l_suppkey * 10 + l_linenumber as seq from lineitem",
         (),
     ),
+    "words": ("select distinct unnest(regexp_split_to_array(s, '[^A-Za-z0-9]+')) as s from (select p_type as s from part union all select p_name from part)", ()),
+    "network": (
+        "select 'P' || lpad(cast(k as varchar), 9, '0') as o, 'P' || lpad(cast(t as varchar), 9, '0') as d from"
+        " (select p_partkey as k, p_partkey + 1 as t from part where p_partkey % 40 <> 0 union all select p_partkey, 2 * p_partkey from part where p_partkey % 7 = 0)",
+        (),
+    ),
+    "chain": ("select d, 0 as t, [o, d] as way from network where o = 'P000000001' union all select e.d, t + 1, list_append(way, e.d) from chain c join network e on e.o = c.d", ("network",)),
+    "reach": ("select d, 0 as t from od where o = (select min(o) from od) union select od.d, t + 1 from reach join od on od.o = reach.d where t < (select count(distinct d) from od)", ("od",)),
     "w0": ("select d, [o, d] as way from od where o = (select min(o) from od)", ("od",)),
     "w1": ("select od.d, min(list_append(way, od.d)) as way from w0 join od on od.o = w0.d where od.d not in (select d from w0) group by od.d", ("w0", "od")),
     "w2": ("select od.d, min(list_append(way, od.d)) as way from w1 join od on od.o = w1.d where od.d not in (select d from w0) and od.d not in (select d from w1) group by od.d", ("w0", "w1", "od")),
@@ -137,7 +145,7 @@ def sql(final: str, *reads: str) -> str:
 
     for x in reads:
         add(x)
-    return ("with " + ",\n".join(f"{x} as ({PARTS[x][0]})" for x in order) + "\n" if order else "") + final
+    return ("with recursive " + ",\n".join(f"{x} as ({PARTS[x][0]})" for x in order) + "\n" if order else "") + final
 
 
 DAYS = "[sunday, monday, tuesday, wednesday, thursday, friday, saturday]"
@@ -159,6 +167,8 @@ ORACLE_SQL = {
     "prefix_split": sql(r"select stop_id, cast(regexp_extract(stop_name, '^(\d+)_(.*)$', 1) as bigint) as number, regexp_extract(stop_name, '^(\d+)_(.*)$', 2) as base from stops", "stops"),
     "edit_distance_pairs": sql("select * from pairs", "pairs"),
     "token_edit_pairs": sql("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from (select distinct unnest(string_split(p_name, ' ')) as s from part) a, (select distinct unnest(string_split(p_name, ' ')) as s from part) b where a.s < b.s and levenshtein(a.s, b.s) <= 2"),
+    "edit_distance_far": sql("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from (select distinct p_name as s from part) a, (select distinct p_name as s from part) b where a.s < b.s and levenshtein(a.s, b.s) <= 4"),
+    "token_edit_far": sql("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from words a, words b where a.s < b.s and levenshtein(a.s, b.s) <= 3", "words"),
     "compound_flag": sql(r"select name, regexp_matches(name, '\S\s*[&/]\s*\S|\S-\S|\S\s*,\s*\S') as compound from names", "names"),
     "malformed_flag": sql(r"select name, regexp_matches(name, '^\s|\s$|\s\s') or regexp_matches(name, '\(\s*VIA\b[^)]*$', 'i') as malformed from names", "names"),
     "time_format_check": sql(
@@ -261,6 +271,9 @@ ORACLE_SQL = {
     "od_counts": sql("select (select count(*) from (select distinct orgn, dstn from named)) as before, (select count(*) from (select distinct canonical_origin, canonical_destination from named)) as after", "named"),
     "route_legs": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, ' > ') as places from (select d, 0 as t, way from w0 union all select d, 1, way from w1 union all select d, 2, way from w2)", "w0", "w1", "w2"),
     "route_match": sql("select d as destination, cast(min(t) as int) as transfers from (select d, 0 as t from h0 union all select d, 1 from h1 union all select d, 2 from h2) group by d", "h0", "h1", "h2"),
+    "route_reach": sql("select d as destination, cast(min(t) as int) as transfers from reach group by d", "reach"),
+    "route_chain": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, '>') as places from (select *, row_number() over (partition by d order by t, way) as r from chain) where r = 1", "chain"),
+    "route_pair": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, '>') as places from (select *, row_number() over (partition by d order by t, way) as r from chain) where r = 1 and d = 'P000000040'", "chain"),
     "fare_consensus": sql("select route_id, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest, median(fare) as typical from reports group by route_id", "reports"),
     "fare_windows": sql("select route_id, date_trunc('hour', ts) as start, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest from reports group by all", "reports"),
     "nearby_pickups": sql(f"select request_id, point_id, round({hav('p.lon', 'p.lat', 'm.lon', 'm.lat')}, 3) as dist_m from pickups p join meeting m on {hav('p.lon', 'p.lat', 'm.lon', 'm.lat')} <= 5000.0", "pickups", "meeting"),

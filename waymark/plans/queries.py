@@ -95,6 +95,18 @@ def token_edit_pairs(spark, d):
     return similarity.token_pairs(table(spark, d, "part"), "p_name")
 
 
+@query
+def edit_distance_far(spark, d):
+    """Up to four edits apart."""
+    return similarity.close_pairs(table(spark, d, "part"), "p_name", 4)
+
+
+@query
+def token_edit_far(spark, d):
+    """Words up to three edits apart."""
+    return similarity.token_pairs(table(spark, d, "part").select(F.col("p_type").alias("name")).unionAll(table(spark, d, "part").select("p_name")), "name", 3)
+
+
 @query
 def compound_flag(spark, d):
     return named(spark, d).select("name", labels.is_compound(F.col("name")).alias("compound"))
@@ -366,6 +378,26 @@ def route_match(spark, d):
     return matching.match_route(edges, start)
 
 
+@query
+def route_reach(spark, d):
+    """From the first of all origins by name, with as many changes as it takes."""
+    edges = normalise_places(spark, d)
+    start = edges.where("canonical_origin is not null and canonical_destination is not null").agg(F.min("canonical_origin")).first()[0]
+    return matching.match_route(edges, start, None)
+
+
+@query
+def route_chain(spark, d):
+    """To the end of a long chain of changes, over a network of lines."""
+    return matching.route_legs(views.network(spark, d), "P000000001", transfers=None).withColumn("places", F.array_join("places", ">"))
+
+
+@query
+def route_pair(spark, d):
+    """From the first place of the network to the last of its first line, searched from both ends."""
+    return matching.route_between(views.network(spark, d), "P000000001", "P000000040").withColumn("places", F.array_join("places", ">"))
+
+
 @query
 def fare_consensus(spark, d):
     return matching.fare_consensus(views.reports(spark, d))

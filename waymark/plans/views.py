@@ -138,6 +138,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type in ('purchase', 'click')").select((F.col("user_id") % 50).alias("route_id"), F.col("value").alias("fare"), (F.col("event_type") == "click").alias("confirmed"), "ts", F.col("event_id").alias("report_id"))
 
 
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(canonical_origin, canonical_destination): lines of forty places each from the parts, a place to the next, with a short cut from every seventh to twice its number."""
+    place = lambda k: F.concat(F.lit("P"), F.lpad(k.cast("string"), 9, "0"))
+    k = F.col("p_partkey")
+    ahead = F.when(k % 7 == 0, F.array(F.when(k % 40 != 0, k + 1), 2 * k)).otherwise(F.array(F.when(k % 40 != 0, k + 1)))
+    return table(spark, sf_dir, "part").select(place(k).alias("canonical_origin"), F.explode(ahead).alias("_to")).select("canonical_origin", place(F.col("_to")).alias("canonical_destination"))
+
+
 def pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, lon, lat) from sign-ups."""
     return table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("request_id"), F.expr("18 + cast(event_id * 7 % 2000 as double) / cast(1000 as double)").alias("lon"), F.expr("-35 + cast(user_id * 13 % 2000 as double) / cast(1000 as double)").alias("lat"))
