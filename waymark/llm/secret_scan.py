@@ -4,12 +4,15 @@ A text is scanned as it is; then every run in it that looks encoded (URL escapes
 into a layer of its own, which is scanned and searched for encoded runs in turn, until nothing new comes up. What decodes to bytes is
 searched for gzip, zlib and raw deflate streams, which are unpacked to layers of bytes that are searched so again, and for
 readable parts, in one byte or two a character: a match has 12 ASCII characters at least and no decoding lengthens a run, so shorter parts hold none. Every character of a layer knows which characters of the text it came from, so what is found in a layer is reported at
-its place in the text. A layer whose content is that of one of its ancestors, or that was seen at the same place, is not entered again.
+its place in the text. A content is searched once, however often and wherever it comes up, and a stream that only stores bytes isn't one. What may be unpacked is in proportion
+to the text; a stream beyond that is reported as unread and masked whole, so nothing stays hidden in it.
 """
 
 from __future__ import annotations
 
 import binascii
+import html
+import itertools
 import re
 import zlib
 from array import array
@@ -32,8 +35,8 @@ URL, URL_ESCAPE = re.compile(r"[^\s<>]+"), re.compile(r"%[0-9A-Fa-f]{2}")
 #: `deep` is an escape of an escape's own sign, however often: unwrapped at once, as a layer each would take quadratic time.
 URL_UNIT = re.compile(r"(?P<deep>%(?:25)+(?=[0-9A-Fa-f]{2}))|(?:%[0-9A-Fa-f]{2})+|\+|[^%+]+|%", re.DOTALL)
 SOLID = re.compile(r"\S+")
-ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?")
-ESCAPE_UNIT = re.compile(r"(?P<deep>\\(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC])+(?=x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)+(?=#))|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?|[^\\&]+|\\|&", re.DOTALL)
+ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-3][0-7]{2})|%u[0-9A-Fa-f]{4}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?|&[A-Za-z][A-Za-z0-9]{1,31};")
+ESCAPE_UNIT = re.compile(r"(?P<deep>\\(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC])+(?=x[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;)+(?=#))|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|(?:%u[0-9A-Fa-f]{4})+|(?:\\[0-3][0-7]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?|&[A-Za-z][A-Za-z0-9]{1,31};|[^\\&%]+|\\|&|%", re.DOTALL)
 #: Also over lines that follow each other.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]+(?=[\x20\t]*\r?\n))(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
 BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
@@ -66,16 +69,16 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 Piece = tuple[str, Sequence[int], Sequence[int]]
 
 
-def spelled(data: bytes, at: int) -> Piece:
-    """Bytes that are escaped in three characters each from `at` on as text: UTF-8, or if it isn't that one character a byte."""
+def spelled(data: bytes, at: int, wide: int = 3) -> Piece:
+    """Bytes that are escaped in so many characters each from `at` on as text: UTF-8, or if it isn't that one character a byte."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return data.decode("latin-1"), range(at, at + 3 * len(data), 3), range(at + 3, at + 3 * len(data) + 3, 3)
+        return data.decode("latin-1"), range(at, at + wide * len(data), wide), range(at + wide, at + wide * len(data) + wide, wide)
     starts, ends, i = array("q"), array("q"), at
     for c in text:
         starts.append(i)
-        i += 3 * len(c.encode())
+        i += wide * len(c.encode())
         ends.append(i)
     return text, starts, ends
 
@@ -106,7 +109,7 @@ def from_escapes(run: str) -> Piece:
             text.append(unit[0])
             starts.append(a)
             ends.append(m.end())
-        elif unit.startswith("\\u") and len(unit) >= 6 and unit[2] != "{":
+        elif unit.startswith(("\\u", "%u")) and len(unit) >= 6 and unit[2] != "{":
             codes = [int(unit[i + 2 : i + 6], 16) for i in range(0, len(unit), 6)]
             i = 0
             while i < len(codes):
@@ -115,6 +118,16 @@ def from_escapes(run: str) -> Piece:
                 starts.append(a + 6 * i)
                 i += 1 + pair
                 ends.append(a + 6 * i)
+        elif len(unit) > 3 and unit[0] == "\\" and unit[1] in "0123":
+            piece = spelled(bytes(int(unit[i : i + 3], 8) for i in range(1, len(unit), 4)), a, 4)
+            text.append(piece[0])
+            starts.extend(piece[1])
+            ends.extend(piece[2])
+        elif unit[0] == "&" and len(unit) > 2 and unit[1] != "#":
+            named = html.unescape(unit)
+            text.append(named)
+            starts.extend(range(a, m.end()) if named == unit else [a] * len(named))
+            ends.extend(range(a + 1, m.end() + 1) if named == unit else [m.end()] * len(named))
         elif len(unit) > 2 and unit[0] in "\\&":
             code = int(unit.strip("\\uUx{}"), 16) if unit[0] == "\\" else int(unit[3:].rstrip(";"), 16) if unit[2] in "xX" else int(unit[2:].rstrip(";"))
             text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
@@ -127,16 +140,25 @@ def from_escapes(run: str) -> Piece:
     return "".join(text), starts, ends
 
 
-def inflated(data: bytes, at: int, window: int) -> tuple[bytes, int]:
+class Budget:
+    """Bytes that may still be unpacked from a text, those read and those made."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+
+def inflated(data: bytes, at: int, window: int, budget: Budget) -> tuple[bytes, int]:
     """What a stream in bytes unpacks to, gzip members that follow included, and where it ends. A stream cut off gives what there is of it."""
     view, out, unpacker = memoryview(data), [], zlib.decompressobj(window)
-    while at < len(data):
+    while at < len(data) and budget.left > 0:
         block = view[at : at + (1 << 16)]
         try:
-            out.append(unpacker.decompress(block))
+            out.append(unpacker.decompress(block, budget.left))
         except zlib.error:
             break
-        at += len(block) - len(unpacker.unused_data)
+        read = len(block) - len(unpacker.unused_data) - len(unpacker.unconsumed_tail)
+        at += read
+        budget.left -= read + len(out[-1])
         if unpacker.eof:
             if window < 0 or data[at : at + 3] != b"\x1f\x8b\x08":
                 break
@@ -144,13 +166,34 @@ def inflated(data: bytes, at: int, window: int) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
+def passes_through(data: bytes, at: int, window: int) -> bool:
+    """True if a stream is one stored block, whole or cut off: what it holds stands in the data as it is, and is looked at there."""
+    if window >= 0 and data[at] != 0x1F:
+        at += 2
+    elif window >= 0:
+        flags = data[at + 3] if len(data) > at + 3 else 0
+        at += 10
+        if flags & 4:
+            at += 2 + int.from_bytes(data[at : at + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                at = data.find(0, at) + 1 or len(data)
+        at += 2 if flags & 2 else 0
+    if len(data) < at + 5 or data[at] & 6:
+        return False
+    size = int.from_bytes(data[at + 1 : at + 3], "little")
+    return size ^ int.from_bytes(data[at + 3 : at + 5], "little") == 0xFFFF and (data[at] & 1 == 1 or at + 5 + size >= len(data))
+
+
 def deflate_like(data: bytes, at: int) -> bool:
     """False if no deflate block can begin here."""
     kind = data[at] >> 1 & 3
     return kind in (1, 2) or kind == 0 and len(data) > at + 4 and data[at + 1] ^ data[at + 3] == 255 and data[at + 2] ^ data[at + 4] == 255
 
 
-Layer = tuple[str | bytes, Sequence[int], Sequence[int]]
+#: Stands for a stream that there was no budget to unpack.
+UNREAD = object()
+Layer = tuple[str | bytes | object, Sequence[int], Sequence[int]]
 
 
 class Same(Sequence):
@@ -170,15 +213,25 @@ class Same(Sequence):
         return self.value
 
 
-def streams(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
-    """The unpacked streams of bytes: gzip and zlib anywhere, raw deflate at the places `raw`. place: a byte's start and end in the layer above; stop: the last end."""
-    for i, window in [*((m.start(), 47) for m in PACKED.finditer(data)), *((i, -15) for i in raw if i < len(data) and deflate_like(data, i))]:
-        out, n = inflated(data, i, window)
+def streams(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int], budget: Budget, seen: bool) -> Iterator[Layer]:
+    """The unpacked streams of bytes: gzip and zlib anywhere, raw deflate at the places `raw`. place: a byte's start and end in the layer above; stop: the last end.
+
+    seen: the bytes themselves are looked at, so streams that only pass them through are left out. Once the budget is spent, all from the next stream on is unread.
+    """
+    for i, window in itertools.chain(((m.start(), 47) for m in PACKED.finditer(data)), ((i, -15) for i in raw if i < len(data) and deflate_like(data, i))):
+        if seen and passes_through(data, i, window):
+            continue
+        out, n = inflated(data, i, window, budget)
+        if budget.left <= 0:
+            yield UNREAD, Same(place(i)[0], 1), Same(stop, 1)
+            if window < 0:
+                return
+            continue
         if len(out) >= 12:
             yield out, Same(place(i)[0], len(out)), Same(stop if n == len(data) else place(n - 1)[1], len(out))
 
 
-def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
+def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, budget: Budget, raw: Iterable[int] = (0,)) -> Iterator[Layer]:
     """The readable parts and the unpacked streams of bytes."""
     for m in READABLE.finditer(data):
         yield m[0].decode(), array("q", (place(i)[0] for i in range(m.start(), m.end()))), array("q", (place(i)[1] for i in range(m.start(), m.end())))
@@ -186,10 +239,10 @@ def opened(data: bytes, place: Callable[[int], tuple[int, int]], stop: int, raw:
         for m in wide.finditer(data) if b"\0" in data else ():
             at = range(m.start() + first, m.end(), 2)
             yield m[0][first::2].decode(), array("q", (place(i)[0] for i in at)), array("q", (place(i)[1] for i in at))
-    yield from streams(data, place, stop, raw)
+    yield from streams(data, place, stop, raw, budget, True)
 
 
-def from_base64(run: str) -> Iterator[Layer]:
+def from_base64(run: str, budget: Budget) -> Iterator[Layer]:
     """What a base64 run holds, of either alphabet, with or without padding, on one line or more.
 
     Encoded text can begin anywhere in a run, as after a path or another line, so each of the four alignments is decoded; raw deflate streams, which have
@@ -213,10 +266,10 @@ def from_base64(run: str) -> Iterator[Layer]:
             at = shift + i // 3 * 4 + i % 3
             return places[at], places[at + 1] + 1
 
-        yield from opened(data, place, len(run), [(p - shift) // 4 * 3 for p in begins if p >= shift and p % 4 == shift])
+        yield from opened(data, place, len(run), budget, [(p - shift) // 4 * 3 for p in begins if p >= shift and p % 4 == shift])
 
 
-def from_bytes(run: str, unit: re.Pattern, plus: bool = False) -> Iterator[Layer]:
+def from_bytes(run: str, unit: re.Pattern, budget: Budget, plus: bool = False) -> Iterator[Layer]:
     """The streams in a run of escaped bytes."""
     data, starts, ends, raw = bytearray(), array("q"), array("q"), [0]
     for m in unit.finditer(run):
@@ -232,51 +285,69 @@ def from_bytes(run: str, unit: re.Pattern, plus: bool = False) -> Iterator[Layer
             data.append(int(code, 16) if len(code) == 2 else SHORT.get(code, ord(code)))
             starts.append(a)
             ends.append(m.end())
-    return streams(bytes(data), lambda i: (starts[i], ends[i]), len(run), sorted(set(raw)))
+    return streams(bytes(data), lambda i: (starts[i], ends[i]), len(run), sorted(set(raw)), budget, False)
 
 
-def unwrapped(text: str) -> list[tuple[int, Layer]]:
+def unwrapped(text: str, budget: Budget) -> Iterator[tuple[int, Layer]]:
     """(offset, layer) of all that a layer's encoded runs hold."""
-    out: list[tuple[int, Layer]] = []
     if URL_ESCAPE.search(text):
         for m in URL.finditer(text):
             if not URL_ESCAPE.search(m[0]):
                 continue
             for plus in (False, True) if "+" in m[0] else (False,):
-                out.append((m.start(), from_url(m[0], plus)))
-                out += [(m.start(), inner) for inner in from_bytes(m[0], URL_BYTE, plus)]
+                yield m.start(), from_url(m[0], plus)
+                yield from ((m.start(), inner) for inner in from_bytes(m[0], URL_BYTE, budget, plus))
     if ESCAPE.search(text):
-        out += [(m.start(), from_escapes(m[0])) for m in SOLID.finditer(text) if ESCAPE.search(m[0])]
-        out += [(m.start(), inner) for m in LINE.finditer(text) if "\\u" in m[0] or "\\x" in m[0] for inner in from_bytes(m[0], BYTE_UNIT)]
-    out += [(m.start(), inner) for m in BASE64.finditer(text) if len(m[0]) >= 16 for inner in from_base64(m[0])]
-    return out
+        yield from ((m.start(), from_escapes(m[0])) for m in SOLID.finditer(text) if ESCAPE.search(m[0]))
+        yield from ((m.start(), inner) for m in LINE.finditer(text) if "\\u" in m[0] or "\\x" in m[0] for inner in from_bytes(m[0], BYTE_UNIT, budget))
+    yield from ((m.start(), inner) for m in BASE64.finditer(text) if len(m[0]) >= 16 for inner in from_base64(m[0], budget))
 
 
-def deep_scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base matches of a text, and those together with what its decoded layers hold, at their places in the text."""
+#: Bytes that may be unpacked from a text, and as many more for each of its characters.
+UNPACKED, EACH = 64 << 20, 8
+Spans = list[tuple[int, int, int]]
+
+
+def explored(text: str, unpacked: int = UNPACKED) -> tuple[Spans, Spans, Spans]:
+    """The base matches of a text, those together with what its decoded layers hold, at their places in the text, and the spans of streams that weren't unpacked.
+
+    Different layers of equal content are searched once: what a content holds, at its places in the content, is then put at each place where it came up. A layer inside itself ends the way.
+    """
+    budget = Budget(unpacked + EACH * len(text))
+    done: dict[str | bytes | object, Iterable[tuple[int, int, int]]] = {UNREAD: [(0, len(KINDS), 1)]}
+
+    def entered(layer: str | bytes) -> list:
+        if isinstance(layer, str):
+            return [layer, unwrapped(layer, budget), None, set(scan(layer))]
+        return [layer, ((0, x) for x in opened(layer, lambda i: (i, i + 1), len(layer), budget)), None, set()]
+
     base = scan(text)
-    found = set(base)
-    work = [(text, None, None, frozenset())]
-    seen = set()
-    while work:
-        layer, starts, ends, above = work.pop()
-        above |= {layer}
-        inners = unwrapped(layer) if isinstance(layer, str) else [(0, x) for x in opened(layer, lambda i: (i, i + 1), len(layer))]
-        for offset, (inner, a, b) in inners:
-            if inner in above or not inner:
-                continue
-            if isinstance(a, Same):
-                a, b = (Same(x.value + offset if up is None else up[x.value + offset - back], len(x)) for x, up, back in ((a, starts, 0), (b, ends, 1)))
-            else:
-                a = array("q", (x + offset if starts is None else starts[x + offset] for x in a))
-                b = array("q", (x + offset if ends is None else ends[x + offset - 1] for x in b))
-            if (key := (a[0], b[-1], inner)) in seen:
-                continue
-            seen.add(key)
-            if isinstance(inner, str):
-                found |= {(a[s], kind, max(b[s:e])) for s, kind, e in scan(inner)}
-            work.append((inner, a, b, above))
-    return base, sorted(found)
+    above, way = {text}, [[text, unwrapped(text, budget), None, set(base)]]
+    while way:
+        layer, inners, now, found = way[-1]
+        now = now or next(inners, None)
+        if now is None:
+            done[layer] = found
+            above.discard(layer)
+            way.pop()
+            continue
+        offset, (inner, a, b) = now
+        way[-1][2] = None
+        if not inner or inner in above:
+            continue
+        if inner not in done:
+            way[-1][2] = now
+            above.add(inner)
+            way.append(entered(inner))
+            continue
+        found.update((a[s] + offset, kind, b[e - 1] + offset) for s, kind, e in done[inner])
+    every = sorted(done[text])
+    return base, [x for x in every if x[1] < len(KINDS)], [x for x in every if x[1] == len(KINDS)]
+
+
+def deep_scan(text: str) -> tuple[Spans, Spans]:
+    """The base matches of a text, and those together with what its decoded layers hold, at their places in the text."""
+    return explored(text)[:2]
 
 
 def spelled_out(spans: list[tuple[int, int, int]]) -> str:
@@ -284,35 +355,41 @@ def spelled_out(spans: list[tuple[int, int, int]]) -> str:
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
-FOUND = T.StructType([T.StructField("base_spans", T.ArrayType(SPAN, False)), T.StructField("secret_spans", T.ArrayType(SPAN, False))])
+FOUND = T.StructType([T.StructField("base_spans", T.ArrayType(SPAN, False)), T.StructField("secret_spans", T.ArrayType(SPAN, False)), T.StructField("unread_spans", T.ArrayType(SPAN, False))])
 CLEANED = T.StructType([T.StructField("text", T.StringType())])
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base_spans (matches in the text itself) and secret_spans (those, and matches in decoded layers): kind, start and end in code points.
+    """docs with base_spans (matches in the text itself), secret_spans (those, and matches in decoded layers) and unread_spans: kind, start and end in code points.
 
-    A null or empty text holds none. Narrow: texts are not shuffled. A compressed layer is unpacked whole, and so is each that it holds; deflate makes at most 1,032 bytes of one.
+    A null or empty text holds none. Narrow: texts are not shuffled. From a text UNPACKED bytes are unpacked, and EACH more for each character. A compression bomb has more; from there on
+    its streams are unread and stand as such.
     """
 
     def found(texts: list[str | None]) -> dict[str, list]:
         out = {f: [] for f in FOUND.fieldNames()}
         for t in texts:
-            for f, spans in zip(FOUND.fieldNames(), deep_scan(t or ""), strict=True):
-                out[f].append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
+            for f, spans in zip(FOUND.fieldNames(), explored(t or ""), strict=True):
+                out[f].append([{"kind": (*KINDS, "unread")[k], "start": a, "end": b} for a, k, b in spans])
         return out
 
     return map_texts(docs, text, found, FOUND)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every secret span of the text, overlapping ones as one, replaced by `mark`. A null text stays null; rows and columns stay."""
+    """docs with every secret or unread span of the text, overlapping ones as one, replaced by `mark`. A null text stays null; rows and columns stay."""
 
     def cleaned(texts: list[str | None]) -> dict[str, list]:
-        return {text: [t if t is None else masked(t, deep_scan(t)[1], mark) for t in texts]}
+        return {text: [t if t is None else masked(t, hidden(t), mark) for t in texts]}
 
     return map_texts(docs, text, cleaned, T.StructType([T.StructField(text, T.StringType())])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def hidden(text: str) -> Spans:
+    _, secrets, unread = explored(text)
+    return sorted([*secrets, *unread])
+
+
 def masked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     out, last = [], 0
     for start, _, end in spans:
