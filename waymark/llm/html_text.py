@@ -3,8 +3,9 @@
 A page is read once into blocks of text. Blocks are grouped by the path of containers from the root to them (a paragraph, a heading or a list
 item counts with the container that it stands in). For every path the length of its text outside links and its punctuation are set
 against its number of blocks; both ratios are smoothed along the page, so that a short paragraph among long ones doesn't fall out, and fused by
-their product. A path inside a container of text has the container's value at least, as nothing of an article may be dropped for being short. All is
-weighed by the share of the path's text outside links, so a list of links falls wherever it stands; paths that reach a share of the best one are content.
+their product. A path inside a container of text has the container's value at least, as nothing of an article may be dropped for being short. It is
+weighed by the share of the path's text outside links, but for a path in a container of text that has no more blocks of links than the container has blocks of text, and a path
+inside an article has the best value of the article, unless it is a list in a div of its own that holds links only, more of them than the article has blocks of text: so references and tables of links stay and farms of links fall. Paths that reach a share of the best one are content.
 Elements that are never the article (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left
 out before, and where the page marks its article or main part, only paths inside are weighed. Time is linear in the page, whatever it holds.
 """
@@ -50,6 +51,11 @@ CLASSES = set(
     " newsletter newsletter-signup subscribe signup paywall comments comment-list commentlist comments-area respond disqus disqus_thread share sharing share-buttons social social-share social-links social-media"
     " related related-posts related-articles recommended pagination pager widget".split()
 )
+#: Words that make such a class together with words for a box, and words for one that goes if a block in it counts comments.
+PARTS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion promotions comment comments reply replies discussion discussions disqus share sharing subscribe newsletter paywall".split())
+BOXES = set("box boxes container block blocks slot slots unit units wrapper wrap outer inner area section banner thread threads list panel widget form footer header bar wall stream zone frame holder article post entry page site user reader".split())
+WEAK = set("feedback reactions responses reviews opinions".split())
+COUNTED = re.compile(r"\(?\d[\d.,]*\)?\s*(?:comments?|replies|responses|reactions|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b", re.IGNORECASE)
 #: What a class can say before that the part belongs to the article.
 OWNER = re.compile(r"^(?:article|post|entry|page|site|user|reader)[-_]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -81,13 +87,23 @@ def never(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return tag == "article" and inside and not {"comment", "comment-body"}.isdisjoint(classes)
     if inside:
-        return tag in CONTAINERS and (not CLASSES.isdisjoint(whole) or tag == "div" and name in IDS)
+        return tag in CONTAINERS and (not CLASSES.isdisjoint(whole) or any(boxed(c) for c in classes) or tag == "div" and name in IDS)
     if tag in INLINE or tag in LEAVES and tag not in CONTAINERS:
         return not CLASSES.isdisjoint(whole)
     words = set(re.split(r"[^a-z]+", " ".join([*classes, name if tag != "section" or name in CLASSES else ""])))
     return not words.isdisjoint(MARKS) or "header" in words and tag not in LEAVES
 
 
+def boxed(name: str) -> bool:
+    """Whether a class is made of words for what isn't the article and for boxes only."""
+    parts = set(re.split("[-_]+", name))
+    return not parts.isdisjoint(PARTS) and parts <= PARTS | BOXES
+
+
+def weak(attributes: str) -> bool:
+    return bool(attributes) and not WEAK.isdisjoint(re.split(r"[-_\s]+", named(attributes).get("class", "")))
+
+
 def signature(attributes: str) -> str:
     """The class and id of an element without digits, which tells apart containers of one tag."""
     return "".join(f".{re.sub('[0-9]+', '', value)}" for name, value in named(attributes).items() if name in ("class", "id")) if attributes else ""
@@ -142,11 +158,11 @@ class Block:
         self.path, self.parts, self.linked, self.inside = path, [], 0, inside
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[int]]:
-    """(number of the path, text, characters in links, in an article) of every block of a page that isn't left out, in order; by number, the path's parent."""
+def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[int], list[str]]:
+    """(number of the path, text, characters in links, in an article) of every block of a page that isn't left out, in order; by number, the path's parent and its last tag, `?` before it if its class is weak."""
     out: list[tuple[int, str, int, bool]] = []
     numbers: dict[tuple[int, str], int] = {(-1, ""): 0}
-    parents = [-1]
+    parents, tags = [-1], [""]
     # of every open element: tag, left out, inside an article, number of the path of containers
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     open_: Counter[str] = Counter()
@@ -226,11 +242,12 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int, bool]], list[int]]:
                 if key not in numbers:
                     numbers[key] = len(parents)
                     parents.append(path)
+                    tags.append("?" + tag if weak(attributes) else tag)
                 path = numbers[key]
             stack.append((tag, out_of, inside or marks, path))
             open_[tag] += 1
     flush()
-    return out, parents
+    return out, parents, tags
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -238,33 +255,62 @@ def smoothed(values: list[float]) -> list[float]:
     return [(values[max(0, i - 1)] + 6 * v + values[min(last, i + 1)]) / 8 for i, v in enumerate(values)]
 
 
-def content(found: list[tuple[int, str, int, bool]], parents: list[int]) -> set[int]:
+def reader_parts(found: list[tuple[int, str, int, bool]], parents: list[int], tags: list[str]) -> list[bool]:
+    """By number whether a path is in a container with a weak name that holds a block which counts comments."""
+    counts = [False] * len(parents)
+    for path, text, _, _ in found:
+        if COUNTED.match(text):
+            counts[path] = True
+    for p in range(len(parents) - 1, 0, -1):  # a parent's number is under its children's
+        counts[parents[p]] |= counts[p]
+    gone = [False] * len(parents)
+    for p in range(1, len(parents)):
+        gone[p] = gone[parents[p]] or tags[p][0] == "?" and counts[p]
+    return gone
+
+
+def content(found: list[tuple[int, str, int, bool]], parents: list[int], tags: list[str]) -> set[int]:
     """The numbers of the paths that are content."""
     sums: dict[int, list[float]] = {}
     for path, text, linked, _ in found:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
-        for i, x in enumerate((len(text), linked, len(PUNCTUATION.findall(text)), 1)):
+        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0, 0.0])
+        for i, x in enumerate((len(text), linked, len(PUNCTUATION.findall(text)), 1, linked == len(text))):
             s[i] += x
     lengths = smoothed([(s[0] - s[1]) / s[3] for s in sums.values()])
     marks = smoothed([s[2] / s[3] for s in sums.values()])
     fused = {p: a * (1 + b) for p, a, b in zip(sums, lengths, marks, strict=True)}
-    # a parent's number is under its children's; what stands in the body itself isn't a container of text
-    reached = [0.0] * len(parents)
+    # what stands in the body itself isn't a container of text; of the nearest one that is, the blocks of text
+    reached, texts = [0.0] * len(parents), [0.0] * len(parents)
     inside = {path for path, *_, i in found if i}
     for p in range(1, len(parents)):
         up = parents[p]
-        reached[p] = max(fused.get(p, 0.0), reached[up] if up in inside or parents[parents[up]] > 0 else 0.0)
-    weighed = {p: max(reached[p], fused[p]) * ((s[0] - s[1]) / s[0]) ** 2 for p, s in sums.items()}
+        holds = up in inside or tags[up].lstrip("?") not in ("", "html", "body")
+        reached[p] = max(fused.get(p, 0.0), reached[up] if holds else 0.0)
+        mine = sums[p][3] - sums[p][4] if p in sums else 0.0
+        texts[p] = max(mine, texts[up] if holds else 0.0)
+    all_texts = sum(s[3] - s[4] for s in sums.values())
+
+    def farm(p: int) -> bool:
+        return tags[p] in ("ul", "ol") and tags[parents[p]] == "div" and sums[p][4] == sums[p][3] > all_texts
+
+    own = {p for p in inside if not farm(p)}
+    article = max((fused[p] for p in own), default=0.0)
+    weighed = {}
+    for p, s in sums.items():
+        share = 1.0 if reached[p] > fused[p] and s[4] <= texts[p] else ((s[0] - s[1]) / s[0]) ** 2
+        weighed[p] = article if p in own else max(reached[p], fused[p]) * share
     best = max(weighed.values(), default=0.0)
     return {p for p, w in weighed.items() if w >= SHARE * best}
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the content paths, each with its white space folded, one a line; empty if there are none."""
-    found, parents = blocks(page or "")
+    found, parents, tags = blocks(page or "")
     if any(inside for *_, inside in found):
         found = [b for b in found if b[3]]
-    paths = content(found, parents)
+    gone = reader_parts(found, parents, tags)
+    found = [b for b in found if not gone[b[0]]]
+    paths = content(found, parents, tags)
     return "\n".join(text for path, text, _, _ in found if path in paths)
 
 
