@@ -26,8 +26,8 @@ from waymark.llm.common import held, map_texts, runs, written
 
 BLOCK, DENSE = 1 << 16, 1 << 12
 #: Characters that are encoded at a time, links that a task indexes at once, stretches that a worker knows, and the characters of one that it doesn't keep.
-PIECE, LINKS, KNOWN, LONG = 1 << 17, 4_000_000, 150_000, 100
-CUT = re.compile(r"(?<=[A-Za-z0-9])\x20(?!\Z)")
+PIECE, LINKS, KNOWN, LONG = 1 << 17, 4_000_000, 250_000, 100
+CUT = re.compile(r"(?<=\S)\x20(?!\Z)")
 DIGITS = "n_a n_b n_groups n_links".split()
 
 
@@ -39,13 +39,15 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """The bytes of each id of a vocabulary."""
+    """The bytes of each id of a vocabulary, and its ids as digits with each of some signs behind."""
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens, self.size = tokens, [*map(len, tokens)]
+    def __init__(self, tokens: list[bytes], signs: str):
+        self.tokens = tokens
+        self.size = np.array([*map(len, tokens)], np.int64)
+        self.digits = [np.array([f"{i}{sign}".encode() for i in range(len(tokens))], "S8") for sign in signs]
 
-    def spells(self, ids: list[int], data: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids)) == data
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 #: What a stretch of a text gives: its ids of both sides, its groups, and the linked pairs as bytes.
@@ -69,10 +71,10 @@ class Aligner:
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             tokens[i] = b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in piece)
-        self.a = Side(tokens)
+        self.a = Side(tokens, ",|")
         ids = range(self.b_model.get_piece_size())
         pieces = [self.b_model.id_to_piece(i) for i in ids]
-        self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)])
+        self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)], ",;\n")
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, Part | None] = {}
 
@@ -81,28 +83,35 @@ class Aligner:
         return (CUT.split(text) if self.cuts else [text]) if text else []
 
     def learn(self, stretches: Iterable[str]) -> None:
-        """Encodes and aligns the stretches that aren't known yet."""
+        """Encodes and aligns the stretches that aren't known yet. Those whose bytes one side doesn't give back are known as None."""
         for some in batches_of(stretches, PIECE):
             a = [e.ids for e in self.a_model.encode_batch([" " + s for s in some], add_special_tokens=False)]
-            for s, x, y in zip(some, a, self.b_model.encode(some, num_threads=1), strict=True):
-                data = (" " + s).encode()
-                self.known[s] = self.aligned(x, y) if self.a.spells(x, data) and self.b.spells(y, data) else None
-
-    def aligned(self, a: list[int], b: list[int]) -> Part:
-        """Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
-        groups, pairs, i, j, a_end, b_end = [], [], 0, 0, 0, 0
-        while i < len(a):
-            a_first, b_first = i, j
-            while i == a_first or a_end != b_end:
-                if a_end <= b_end:
-                    a_end += self.a.size[a[i]]
-                    i += 1
-                else:
-                    b_end += self.b.size[b[j]]
-                    j += 1
-            groups.append(f"{','.join(map(str, a[a_first:i]))}|{','.join(map(str, b[b_first:j]))}")
-            pairs.append(a[i - 1] << 32 | b[j - 1])
-        return len(a), len(b), ";".join(groups), np.array(pairs, np.int64).tobytes()
+            b, data = self.b_model.encode(some, num_threads=1), [(" " + s).encode() for s in some]
+            fit = [k for k, (x, y, d) in enumerate(zip(a, b, data, strict=True)) if self.a.spelled(x) == d == self.b.spelled(y)]
+            self.known.update((some[k], None) for k in {*range(len(some))}.difference(fit))
+            if fit:
+                parts = self.aligned([a[k] for k in fit], [b[k] for k in fit])
+                self.known.update(zip((some[k] for k in fit), parts, strict=True))
+
+    def aligned(self, a_lists: list[list[int]], b_lists: list[list[int]]) -> Iterator[Part]:
+        """The parts of stretches from the ids of both sides. Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
+        a_sizes, b_sizes = [*map(len, a_lists)], [*map(len, b_lists)]
+        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        b_place = np.searchsorted(b_end, a_end)
+        a_last = np.flatnonzero(b_end[b_place] == a_end)
+        b_last = b_place[a_last]
+        last_b = np.cumsum(b_sizes) - 1  # of each stretch
+        a_text, b_text = self.a.digits[0][a], self.b.digits[0][b]
+        a_text[a_last], b_text[b_last], b_text[last_b] = self.a.digits[1][a[a_last]], self.b.digits[1][b[b_last]], self.b.digits[2][b[last_b]]
+        both = np.empty(len(a) + len(b), "S8")
+        group = np.concatenate([[0], np.cumsum(np.bincount(a_last, minlength=len(a)))])[:-1]  # of each token of A
+        both[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[group]] = a_text
+        both[np.arange(len(b)) + (a_last + 1)[np.searchsorted(b_last, np.arange(len(b)))]] = b_text
+        groups = both.tobytes().replace(b"\0", b"").decode().split("\n")
+        pairs = (a[a_last] << 32 | b[b_last]).tobytes()
+        ends = [0, *(8 * (np.searchsorted(b_last, last_b) + 1)).tolist()]
+        return zip(a_sizes, b_sizes, groups, (pairs[i:j] for i, j in itertools.pairwise(ends)), strict=False)
 
     def align(self, texts: list[str | None]) -> Iterator[Part]:
         """What each of the texts gives: nothing if there is no text or if either tokenizer's bytes aren't those of a blank and the text."""
