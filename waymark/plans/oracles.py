@@ -148,6 +148,7 @@ def sql(final: str, *reads: str) -> str:
     return ("with recursive " + ",\n".join(f"{x} as ({PARTS[x][0]})" for x in order) + "\n" if order else "") + final
 
 
+TITLE = r"regexp_extract(stop_name, '^(\d+_)?', 0) || array_to_string(list_transform(string_split(regexp_replace(stop_name, '^\d+_', ''), ' '), lambda w: case when regexp_matches(w, '^[A-Z]{1,3}$') or regexp_matches(w, '\d') then w else upper(w[1]) || lower(w[2:]) end), ' ')"
 DAYS = "[sunday, monday, tuesday, wednesday, thursday, friday, saturday]"
 WEEK = "monday + tuesday + wednesday + thursday + friday"
 
@@ -161,7 +162,7 @@ ORACLE_SQL = {
     "alias_apply": sql("select name, tidied, place from aliased", "aliased"),
     "canonical_key": sql("select name, place, key from known", "known"),
     "title_case": sql(
-        r"select stop_id, regexp_extract(stop_name, '^(\d+_)?', 0) || array_to_string(list_transform(string_split(regexp_replace(stop_name, '^\d+_', ''), ' '), lambda w: case when regexp_matches(w, '^[A-Z]{1,3}$') or regexp_matches(w, '\d') then w else upper(w[1]) || lower(w[2:]) end), ' ') as stop_name from stops",
+        f"select stop_id, {TITLE} as stop_name from stops",
         "stops",
     ),
     "prefix_split": sql(r"select stop_id, cast(regexp_extract(stop_name, '^(\d+)_(.*)$', 1) as bigint) as number, regexp_extract(stop_name, '^(\d+)_(.*)$', 2) as base from stops", "stops"),
@@ -193,6 +194,15 @@ ORACLE_SQL = {
     "merge_report": sql("select canonical, name, cnt, first_ord, round(dist_m, 3) as dist_m, round(spread_m, 3) as spread_m, spread_m > 1000.0 as review from report", "report"),
     "merge_reviews": sql("select distinct canonical, round(spread_m, 3) as spread_m from report where spread_m > 1000.0", "report"),
     "normalise_places": sql("select * from named", "named"),
+    "geojson_round_trip": sql(
+        "select named.feature_ord as objectid, named.orgn, named.dstn, cast(n as bigint) as n_points, canonical_origin, canonical_destination, via_origin, via_destination, 'a \"quote\", {brace] and \\' || named.orgn as note from named join routes using (feature_ord)",
+        "named",
+        "routes",
+    ),
+    "clean_routes": sql(
+        "select min(feature_ord) as feature_ord, orgn, dstn, orgn = dstn as is_loop, cast(max(n) as bigint) as n_points, round(any_value(pts[1][1]), 6) as first_lon from routes where trim(orgn) <> '' and trim(dstn) <> '' group by orgn, dstn, pts", "routes"
+    ),
+    "clean_gtfs": sql(rf"select stop_id, {TITLE} as stop_name, stop_lon, round(stop_lat / 7, 6) as stop_lat, 'stop_id,stop_lat,stop_lon,stop_name' as columns from stops", "stops"),
     "drop_blank_labels": sql("select feature_ord, orgn as \"ORGN\", dstn as \"DSTN\" from routes where trim(orgn) <> '' and trim(dstn) <> ''", "routes"),
     "loop_flag": sql("select feature_ord, orgn = dstn as is_loop from routes", "routes"),
     "blank_profile": sql(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from waymark.functions import geo, labels
 from waymark.operators import cleaning, integrity, matching, ordered, places, similarity
 from waymark.plans import views
 from waymark.plans.views import rounded, table
-from waymark.sources import gtfs
+from waymark.shared import shared_folder
+from waymark.sources import geojson, gtfs
 from waymark.streaming import reports
 
 QUERIES = {}
@@ -203,6 +206,30 @@ def normalise_places(spark, d):
     return done.select("feature_ord", F.col("ORGN").alias("orgn"), F.col("DSTN").alias("dstn"), "canonical_origin", "canonical_destination", "via_origin", "via_destination")
 
 
+@query
+def geojson_round_trip(spark, d):
+    """The normalised routes written as a collection in parts and read again, many tasks each way."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.geojson"
+    routes, aliases, preferred = views.collection(spark, d), views.aliases(spark, d), views.preferred(spark, d)
+    geojson.write_routes(places.normalise_places(routes, aliases, preferred), path)
+    found = geojson.read_routes(spark, path, chunk=1 << 20)
+    own = {c: F.get_json_object("feature", f"$.properties.{c}") for c in (*geojson.DERIVED, "note")}
+    return found.select(F.col("OBJECTID").alias("objectid"), F.col("ORGN").alias("orgn"), F.col("DSTN").alias("dstn"), F.size("pts").cast("long").alias("n_points"), *[v.alias(c) for c, v in own.items()])
+
+
+@query
+def clean_routes(spark, d):
+    found = cleaning.clean_routes(views.routes(spark, d))
+    return found.select("feature_ord", F.col("ORGN").alias("orgn"), F.col("DSTN").alias("dstn"), "is_loop", F.size("pts").cast("long").alias("n_points"), F.get(F.get("pts", F.lit(0)), F.lit(0)).alias("first_lon"))
+
+
+@query
+def clean_gtfs(spark, d):
+    """Of the cleaned stops the rows, and which columns are left."""
+    stops = cleaning.clean_gtfs({"stops": views.stops(spark, d).withColumn("stop_lat", F.col("stop_lat") / 7)})["stops"]
+    return stops.withColumn("columns", F.lit(",".join(sorted(stops.columns))))
+
+
 @query
 def drop_blank_labels(spark, d):
     return cleaning.drop_blank_labels(views.routes(spark, d)).select("feature_ord", "ORGN", "DSTN")

@@ -56,6 +56,15 @@ def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes(spark, sf_dir).select("feature_ord", kind.alias("geom_type"), text.alias("coordinates"))
 
 
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routes with the raw text of their features, and of the collection's members: quotes, brackets and backslashes in strings, unknown members, nulls."""
+    note = F.concat(F.lit('a "quote", {brace] and \\'), F.col("ORGN"))
+    shape = F.when(F.size("pts") > 0, F.struct(F.lit("LineString").alias("type"), F.col("pts").alias("coordinates")))
+    own = F.struct(F.col("feature_ord").alias("OBJECTID"), "ORGN", "DSTN", note.alias("note"))
+    text = F.to_json(F.struct(F.lit("Feature").alias("type"), own.alias("properties"), shape.alias("geometry")), {"ignoreNullFields": "false"})
+    return routes(spark, sf_dir).withColumns({"feature": text, "members": F.lit('{"type":"FeatureCollection","bbox":[1,2,3],"features":null,"more":{"features":[1,{}]}}')})
+
+
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(alias, target) from the shorter part names."""
     name = F.upper("p_name")
