@@ -28,6 +28,8 @@ BLOCK, DENSE = 1 << 16, 1 << 12
 #: Characters that are encoded at a time, links that a task indexes at once, stretches that a worker knows, and the characters of one that it doesn't keep.
 PIECE, LINKS, KNOWN, LONG = 1 << 17, 4_000_000, 250_000, 100
 CUT = re.compile(r"(?<=\S)\x20(?!\Z)")
+#: A stretch behind which a text can be cut, and whose characters both sides take as they are.
+SOLID = re.compile(r"\A[^▁]*[^▁\s]\Z")
 DIGITS = "n_a n_b n_groups n_links".split()
 
 
@@ -77,31 +79,46 @@ class Aligner:
         self.b = Side([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)], ",;\n")
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, Part | None] = {}
+        self.old: dict[str, Part | None] = {}
 
     def stretches(self, text: str | None) -> list[str]:
         """The text cut at blanks, each gone from its stretch."""
         return (CUT.split(text) if self.cuts else [text]) if text else []
 
     def learn(self, stretches: Iterable[str]) -> None:
-        """Encodes and aligns the stretches that aren't known yet. Those whose bytes one side doesn't give back are known as None."""
+        """Encodes and aligns the stretches that aren't known yet. Those whose bytes one side doesn't give back are known as None.
+
+        Stretches are encoded as one text, whose cuts are known; those that end with a blank, behind which a text can't be cut, are texts of their own, and so are all of a text that doesn't come out right.
+        """
+        alone = []
         for some in batches_of(stretches, PIECE):
-            a = [e.ids for e in self.a_model.encode_batch([" " + s for s in some], add_special_tokens=False)]
-            b, data = self.b_model.encode(some, num_threads=1), [(" " + s).encode() for s in some]
-            fit = [k for k, (x, y, d) in enumerate(zip(a, b, data, strict=True)) if self.a.spelled(x) == d == self.b.spelled(y)]
-            self.known.update((some[k], None) for k in {*range(len(some))}.difference(fit))
-            if fit:
-                parts = self.aligned([a[k] for k in fit], [b[k] for k in fit])
-                self.known.update(zip((some[k] for k in fit), parts, strict=True))
-
-    def aligned(self, a_lists: list[list[int]], b_lists: list[list[int]]) -> Iterator[Part]:
-        """The parts of stretches from the ids of both sides. Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
-        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
-        a_sizes, b_sizes = [*map(len, a_lists)], [*map(len, b_lists)]
+            fit = [s for s in some if SOLID.search(s)]
+            alone += [s for s in some if not SOLID.search(s)]
+            if fit and not self.put(fit):
+                alone += fit
+        for s in alone:
+            if not self.put([s]):
+                self.known[s] = None
+
+    def put(self, some: list[str]) -> bool:
+        """Encodes and aligns stretches as one text, if both sides give its bytes back and have tokens that end with each stretch."""
+        text = " ".join(some)
+        a_ids, b_ids, data = self.a_model.encode(" " + text, add_special_tokens=False).ids, self.b_model.encode(text), (" " + text).encode()
+        if not self.a.spelled(a_ids) == data == self.b.spelled(b_ids):
+            return False
+        a, b, ends = np.array(a_ids, np.int64), np.array(b_ids, np.int64), np.cumsum([1 + len(s.encode()) for s in some])
         a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        last_a, last_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        if (a_end[last_a] != ends).any() or (b_end[last_b] != ends).any():
+            return False
+        self.known.update(zip(some, self.aligned(a, b, a_end, b_end, last_a, last_b), strict=True))
+        return True
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> Iterator[Part]:
+        """The parts of stretches from the ids of both sides, the bytes where these end, and the last ids of each stretch. Every token has a byte at least, so one of each side ends where a group does, and these two are linked."""
         b_place = np.searchsorted(b_end, a_end)
         a_last = np.flatnonzero(b_end[b_place] == a_end)
         b_last = b_place[a_last]
-        last_b = np.cumsum(b_sizes) - 1  # of each stretch
         a_text, b_text = self.a.digits[0][a], self.b.digits[0][b]
         a_text[a_last], b_text[b_last], b_text[last_b] = self.a.digits[1][a[a_last]], self.b.digits[1][b[b_last]], self.b.digits[2][b[last_b]]
         both = np.empty(len(a) + len(b), "S8")
@@ -111,15 +128,18 @@ class Aligner:
         groups = both.tobytes().replace(b"\0", b"").decode().split("\n")
         pairs = (a[a_last] << 32 | b[b_last]).tobytes()
         ends = [0, *(8 * (np.searchsorted(b_last, last_b) + 1)).tolist()]
-        return zip(a_sizes, b_sizes, groups, (pairs[i:j] for i, j in itertools.pairwise(ends)), strict=False)
+        sizes = (np.diff(x, prepend=-1).tolist() for x in (last_a, last_b))
+        return zip(*sizes, groups[:-1], (pairs[i:j] for i, j in itertools.pairwise(ends)), strict=True)
 
     def align(self, texts: list[str | None]) -> Iterator[Part]:
         """What each of the texts gives: nothing if there is no text or if either tokenizer's bytes aren't those of a blank and the text."""
         cut = [self.stretches(t) for t in texts]
         here = set(itertools.chain.from_iterable(cut))
-        if len(self.known) + len(here) > KNOWN:
-            self.known = {s: p for s, p in self.known.items() if s in here}
-        fresh = [s for s in here if s not in self.known]
+        if len(self.known) > KNOWN:
+            self.known, self.old = {}, self.known  # what isn't asked for again until the next time is forgotten
+        for s in here.difference(self.known).intersection(self.old):
+            self.known[s] = self.old[s]
+        fresh = here.difference(self.known)
         self.learn(fresh)
         for some in cut:
             parts = [*map(self.known.__getitem__, some)]
