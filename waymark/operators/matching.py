@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import haversine
+from waymark.functions.geo import EARTH_M, haversine
+from waymark.operators.skew import lookup
 from waymark.shared import checkpointed
 
-#: Metres of a degree of latitude, a little under the least.
-DEGREE_M = 110_000.0
-
-
 def hops_of(edges: DataFrame) -> DataFrame:
     """(o, d): the different edges (canonical_origin, canonical_destination) between known places."""
     known = edges.select(F.col("canonical_origin").alias("o"), F.col("canonical_destination").alias("d"))
@@ -91,25 +89,107 @@ def fare_consensus(reports: DataFrame) -> DataFrame:
     )
 
 
-def cell(x: Column, size: float) -> Column:
-    return F.floor(x / F.lit(size)).cast("long")
+def on_sphere(lon: Column, lat: Column) -> list[Column]:
+    """x, y and z of a place on the unit sphere: near places are near there at any latitude and over the date line."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
 
+def chord(metres: float) -> float:
+    """How far apart two places so many metres apart are in space, on the unit sphere."""
+    return 2 * math.sin(min(metres / (2 * EARTH_M), math.pi / 2))
 
-def nearby(requests: DataFrame, points: DataFrame, radius_m: float, most_latitude: float = 60.0) -> DataFrame:
-    """(request_id, point_id, dist_m) of the pairs within the radius; both sides have an id, lon and lat, the latitudes within most_latitude.
 
-    A grid of cells at least a radius wide: a point goes into its cell and those around it, a request into its own, and they meet in an equi-join.
+def nearby(requests: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
+    """(request_id, point_id, dist_m) of the pairs within the radius, anywhere on earth; both sides have an id, lon and lat. Places without either are near nothing.
+
+    A grid in space of cubes at least a radius wide: a point goes into its cube and those around it, a request into its own, and they meet in an equi-join.
     """
-    high = radius_m / DEGREE_M
-    wide = high / math.cos(math.radians(most_latitude))
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(offsets).alias("o"))
-    spread = spread.select("point_id", "plon", "plat", (cell(F.col("plon"), wide) + F.col("o.i")).alias("cx"), (cell(F.col("plat"), high) + F.col("o.j")).alias("cy"))
-    asked = requests.select("request_id", "lon", "lat", cell(F.col("lon"), wide).alias("cx"), cell(F.col("lat"), high).alias("cy"))
-    met = asked.join(spread, ["cx", "cy"]).withColumn("dist_m", haversine(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
+    wide = max(chord(radius_m) * (1 + 1e-9) + 1e-12, 1e-7)
+    cube = lambda c: F.floor(c / F.lit(wide)).cast("long")
+    around = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(o, "ijk", strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)])
+    placed = points.where("lon is not null and lat is not null").select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), *[cube(c).alias(n) for c, n in zip(on_sphere(F.col("lon"), F.col("lat")), "xyz", strict=True)], F.explode(around).alias("o"))
+    spread = placed.select("point_id", "plon", "plat", *[(F.col(n) + F.col(f"o.{d}")).alias(n) for n, d in zip("xyz", "ijk", strict=True)])
+    asked = requests.where("lon is not null and lat is not null").select("request_id", "lon", "lat", *[cube(c).alias(n) for c, n in zip(on_sphere(F.col("lon"), F.col("lat")), "xyz", strict=True)])
+    met = asked.join(spread, ["x", "y", "z"]).withColumn("dist_m", haversine(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
     return met.where(F.col("dist_m") <= radius_m).select("request_id", "point_id", "dist_m")
 
 
+#: Places of a cube that isn't split, and how often cubes are split at most: the last are twelve metres wide.
+LEAF, DEPTH = 64, 20
+SPACE = ("x", "y", "z")
+
+
+def cube(level: Column, depth: int) -> Column:
+    """The cube of a level in which the finest cube (fx, fy, fz) lies; that of level 0 holds the earth, and each is halved three ways."""
+    return F.struct(level.cast("int").alias("level"), *[F.floor(F.col(f"f{c}") / F.pow(F.lit(2.0), F.lit(depth) - level)).cast("long").alias(c) for c in SPACE])
+
+
+def cube_tree(places: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(cubes, leaves) of places with fx, fy, fz. cubes: of every cube with over `leaf` places, but for the finest, the cubes that it is split into, `below`, with their places n. leaves: places with `cube`, the one that
+    holds them and isn't split. Places are counted in the finest cubes first, so nothing is dealt by a large cube before it is small in rows."""
+    fine = [f"f{c}" for c in SPACE]
+    finest = checkpointed(places.groupBy(*fine).agg(F.count("*").alias("n")))
+    every = finest.select(*fine, "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("cube", cube(F.col("level"), depth))
+    counts = every.groupBy("cube").agg(F.sum("n").alias("n"), F.first("level").alias("level"), *[F.min(c).alias(c) for c in fine])
+    up = counts.where("level > 0").withColumn("parent", cube(F.col("level") - 1, depth))
+    cubes = checkpointed(up.groupBy("parent").agg(F.collect_list(F.struct("cube", "n")).alias("below"), F.sum("n").alias("n")).where(F.col("n") > leaf).select(F.col("parent").alias("cube"), "below"))
+    at = every.join(cubes.select("cube"), "cube", "left_semi").groupBy(*fine).agg(F.count("*").alias("level"))  # cubes above a split one are split
+    deep = finest.join(at, fine, "left").select(*fine, "n", F.coalesce("level", F.lit(0)).alias("level"))
+    found = places.join(deep.drop("n"), fine)
+    return cubes, found.withColumn("cube", cube(F.col("level"), depth)).drop("level", *fine)
+
+
+def reach(name: str, far: bool) -> Column:
+    """From x, y, z to the nearest or the farthest place of a cube, in space."""
+    at = F.col(name)
+    size = F.lit(2.0) / F.pow(F.lit(2.0), at["level"])
+    low = {c: at[c] * size - 1 for c in SPACE}
+    if far:
+        off = [F.greatest(F.abs(F.col(c) - low[c]), F.abs(F.col(c) - low[c] - size)) for c in SPACE]
+    else:
+        off = [F.greatest(low[c] - F.col(c), F.col(c) - low[c] - size, F.lit(0.0)) for c in SPACE]
+    return F.sqrt(sum(o * o for o in off))
+
+
+def nearest(requests: DataFrame, points: DataFrame, k: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """(request_id, nth, point_id, dist_m): the k points nearest to each request, anywhere on earth, of equal distances the first by id; all if there are fewer. Rows without a place are left out.
+
+    Points lie in a tree of cubes whose full ones are split. All requests go down it together, a level a job: of the cubes that a request looks at, those further than a radius within which others hold k places are
+    left, so it comes to a few leaves however dense the points are, here or nearby. Of points in one place k are taken, as no request needs more. Cubes that many requests look at are looked up, not dealt to one task.
+    """
+    known = points.where("lon is not null and lat is not null").withColumn("_n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("point_id"))).where(F.col("_n") <= k).drop("_n")
+    placed = known.select("point_id", "lon", "lat", *[v.alias(c) for c, v in zip(SPACE, on_sphere(F.col("lon"), F.col("lat")), strict=True)])
+    most = (1 << depth) - 1
+    placed = checkpointed(placed.withColumns({f"f{c}": F.greatest(F.least(F.floor((F.col(c) + 1) / 2 * (1 << depth)), F.lit(most)), F.lit(0)).cast("long") for c in SPACE}))
+    cubes, leaves = cube_tree(placed, leaf, depth)
+    held = checkpointed(leaves.groupBy("cube").agg(F.collect_list(F.struct("point_id", "lon", "lat")).alias("points")))
+    asked = requests.where("lon is not null and lat is not null").select("request_id", "lon", "lat", *[v.alias(c) for c, v in zip(SPACE, on_sphere(F.col("lon"), F.col("lat")), strict=True)], F.monotonically_increasing_id().alias("_r"))
+    asked = checkpointed(asked)
+    total = placed.count()
+    front = asked.select("_r", *SPACE, F.struct(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(c) for c in SPACE]).alias("at"), F.lit(total).cast("long").alias("n"))
+    for _ in range(depth):
+        front = looked_up(front, cubes, "below")
+        if not front.where("below is not null").limit(1).count():
+            break
+        whole = F.array(F.struct(F.col("at").alias("cube"), "n"))
+        front = front.select("_r", *SPACE, F.explode(F.coalesce("below", whole)).alias("e")).select("_r", *SPACE, F.col("e.cube").alias("at"), F.col("e.n").alias("n"))
+        front = front.withColumns({"_near": reach("at", False), "_far": reach("at", True)})
+        enough = F.sum("n").over(Window.partitionBy("_r").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)) >= k
+        front = front.withColumn("_enough", F.when(enough, F.col("_far"))).withColumn("_radius", F.min("_enough").over(Window.partitionBy("_r")))
+        front = front.where(F.col("_radius").isNull() | (F.col("_near") <= F.col("_radius") * (1 + 1e-9) + 1e-9)).select("_r", *SPACE, "at", "n")
+    met = looked_up(front.drop("below"), held, "points").where("points is not null").select("_r", F.explode("points").alias("p"))
+    far = asked.join(met, "_r").select("_r", "request_id", "p.point_id", haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat")).alias("dist_m"))
+    nth = F.row_number().over(Window.partitionBy("_r").orderBy("dist_m", "point_id"))
+    return far.withColumn("nth", nth).where(F.col("nth") <= k).select("request_id", "nth", "point_id", "dist_m")
+
+
+def looked_up(front: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """front, kept, with a column of table by cube, null where there is none."""
+    kept = checkpointed(front)
+    used = kept.groupBy(F.col("at").alias("cube")).agg(F.count("*").alias("used"))
+    return checkpointed(lookup(kept, checkpointed(table.join(used, "cube")), "at", "cube", "used"))
+
+
 def common_schema(**sources: DataFrame) -> DataFrame:
     """The routes of several sources under one schema: source, route_id, origin, destination, n_points."""
     out = None

@@ -100,6 +100,13 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "reports": ("select user_id % 50 as route_id, value as fare, event_type = 'click' as confirmed, ts, event_id as report_id from events where event_type in ('purchase', 'click')", ()),
     "pickups": ("select event_id as request_id, 18 + cast(event_id * 7 % 2000 as double) / cast(1000 as double) as lon, -35 + cast(user_id * 13 % 2000 as double) / cast(1000 as double) as lat from events where event_type = 'signup'", ()),
     "meeting": ("select s_suppkey as point_id, 18 + cast(s_suppkey * 37 % 2000 as double) / cast(1000 as double) as lon, -35 + cast(s_suppkey * 53 % 2000 as double) / cast(1000 as double) as lat from supplier", ()),
+    **{
+        f"polar_{t}": (
+            f"select * from (select {key}, case when lon * 180 - 3400 > 180 then lon * 180 - 3400 - 360 else lon * 180 - 3400 end as lon, lat + 122.9 as lat from {t}) where lat <= 90 and lon between -180 and 180",
+            (t,),
+        )
+        for t, key in (("pickups", "request_id"), ("meeting", "point_id"))
+    },
     "pairs": ("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from (select distinct p_name as s from part) a, (select distinct p_name as s from part) b where a.s < b.s and levenshtein(a.s, b.s) <= 2", ()),
     "spots": ("select p_name as name, median(18 + cast(p_partkey % 2000 as double) / cast(1000 as double)) as lon, median(-35 + cast(p_size % 50 as double) / cast(20 as double)) as lat from part group by p_name", ()),
     "od": ("select distinct canonical_origin as o, canonical_destination as d from named where canonical_origin is not null and canonical_destination is not null", ("named",)),
@@ -286,5 +293,13 @@ ORACLE_SQL = {
     "route_pair": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, '>') as places from (select *, row_number() over (partition by d order by t, way) as r from chain) where r = 1 and d = 'P000000040'", "chain"),
     "fare_consensus": sql("select route_id, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest, median(fare) as typical from reports group by route_id", "reports"),
     "fare_windows": sql("select route_id, date_trunc('hour', ts) as start, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest from reports group by all", "reports"),
+    "nearest_points": sql(
+        f"select request_id, cast(nth as int) as nth, point_id, round(m, 3) as dist_m from (select *, row_number() over (partition by request_id order by m, point_id) as nth from (select request_id, point_id, {hav('p.lon', 'p.lat', 'm.lon', 'm.lat')} as m from pickups p, meeting m)) where nth <= 3",
+        "pickups",
+        "meeting",
+    ),
+    "nearby_polar": sql(
+        f"select request_id, point_id, round({hav('p.lon', 'p.lat', 'm.lon', 'm.lat')}, 2) as dist_m from polar_pickups p, polar_meeting m where {hav('p.lon', 'p.lat', 'm.lon', 'm.lat')} <= 40000.0", "polar_pickups", "polar_meeting"
+    ),
     "nearby_pickups": sql(f"select request_id, point_id, round({hav('p.lon', 'p.lat', 'm.lon', 'm.lat')}, 3) as dist_m from pickups p join meeting m on {hav('p.lon', 'p.lat', 'm.lon', 'm.lat')} <= 5000.0", "pickups", "meeting"),
 }
