@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import checkpointed, few_samples, runs
@@ -255,8 +255,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return every.mapInArrow(pieces, f"conv_id {conv}, part long, place long, turn {turn}, role string, action string, n_inserted long, piece string")
 
 
-def render_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, n_kept, n_inserted, text): the repaired conversations of format_chats as texts. One of over BLOCK turns comes in parts, whose texts joined in order are its rendering."""
+#: Characters of a rendering that stand in one row.
+ROW = 32 << 20
+
+
+def render_chats(turns: DataFrame, row: int = ROW) -> DataFrame:
+    """(conv_id, part, n_turns, n_kept, n_inserted, text): the repaired conversations of format_chats as texts, one row a conversation.
+
+    One whose rendering has over `row` characters comes in parts of about as many, whose texts joined in order are its rendering, as a conversation can be a third of a table. Blocks of BLOCK turns are joined
+    first; their sizes, a row a block, tell which go together, and part is 0 for all others.
+    """
     made = format_chats(turns)
-    parts = made.groupBy("conv_id", "part").agg(F.count("*").alias("n_turns"), F.count_if(F.col("action") == "keep").alias("n_kept"), F.sum("n_inserted").alias("n_inserted"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("all"))
-    return parts.select("conv_id", "part", "n_turns", "n_kept", "n_inserted", F.array_join("all.piece", "").alias("text"))
+    blocks = made.groupBy("conv_id", F.col("part").alias("block")).agg(F.count("*").alias("n_turns"), F.count_if(F.col("action") == "keep").alias("n_kept"), F.sum("n_inserted").alias("n_inserted"), F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("all"))
+    texts = checkpointed(blocks.withColumn("text", F.array_join("all.piece", "")).drop("all"))
+    sizes = texts.select("conv_id", "block", F.char_length("text").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("conv_id").orderBy("block")) - F.col("n")
+    part = F.floor(upto / row).alias("part")
+    dealt = sizes.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), part)
+    both = texts.join(dealt, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+    whole = both.groupBy("conv_id", "part").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_kept").alias("n_kept"), F.sum("n_inserted").alias("n_inserted"), F.sort_array(F.collect_list(F.struct("block", "text"))).alias("all"))
+    return whole.select("conv_id", "part", "n_turns", "n_kept", "n_inserted", F.array_join("all.text", "").alias("text"))

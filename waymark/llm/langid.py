@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import held, map_texts, runs
+from waymark.llm.common import held, map_texts
 
-#: Labelled rows that the model is fitted on, rows that a language has in any case if there are so many, words of a training chain, and chains of a row.
-SAMPLE_ROWS, LANGUAGE_ROWS, CHAIN, SAMPLE_CHAINS = 1200, 50, 40, 4
+#: Labelled rows that the model is fitted on, rows that a language has in any case if there are so many, characters of a row, words of a training chain, and chains that an excerpt has.
+SAMPLE_ROWS, LANGUAGE_ROWS, SAMPLE_CHARS, CHAIN, SAMPLE_CHAINS = 1200, 50, 20_000, 40, 4
 #: With more languages than this, chains are run through word by word, as a matrix a step would cost too much.
 MATRIX_LANGUAGES = 16
 #: Numbers that the steps run through at once may take; a longer text is run through in stretches, which give the same marginals.
@@ -305,33 +305,30 @@ def excerpt(text: str, chains: int = SAMPLE_CHAINS) -> str:
     return "\n".join(low[at[k * CHAIN][0] : at[min((k + 1) * CHAIN, len(at)) - 1][1]] for k in ((2 * i + 1) * n // (2 * chains) for i in range(chains)))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chains: int = SAMPLE_CHAINS, least: int = LANGUAGE_ROWS) -> Model:
-    """A model fitted on a sample of the labelled rows that aren't held out: of each language those of the smallest hashes of key and text, and of each row `chains` runs of words from all over it.
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chains: int | None = None, least: int = LANGUAGE_ROWS) -> Model:
+    """A model fitted on a sample of the labelled rows that aren't held out: of each language those of the smallest hashes of key and text, whole.
 
     This is the documented bound of the sample, the same at every size of the table: `rows` in all, dealt evenly over the languages, or `least` of each
-    language if that is more. A first count by language sets a bound on the hashes under which about twice its share lies, so the tasks together send
-    no more than these to be put in order. Rows without a language, a text or a key are not learned from, nor counted; repeated ones count once.
+    language if that is more; a text of over SAMPLE_CHARS characters counts as several rows of so many. So the driver gets rows * SAMPLE_CHARS characters at most. A first count by language sets a bound on the hashes under which about twice its share lies, so the tasks together send
+    no more than these to be put in order. Rows without a language, a text or a key are not learned from, nor counted; repeated ones count once. chains: runs of CHAIN words that are taken of a row, from all over it; None takes all.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
     whole = F.col(text).cast("string")
-    hashed = usable.select(F.xxhash64(F.col(key), F.lit("sample"), whole).alias("h"), whole.alias("t"), F.col(lang).cast("string").alias("l"))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("t"), F.lit(1)) - 1) / SAMPLE_CHARS)), lambda i: F.substr("t", (i * SAMPLE_CHARS + 1).cast("int"), F.lit(SAMPLE_CHARS)))
+    dealt = usable.select(F.col(key).alias("k"), whole.alias("t"), F.col(lang).cast("string").alias("l")).select("k", F.explode(stretches).alias("t"), "l")
+    hashed = dealt.select(F.xxhash64("k", F.lit("sample"), "t").alias("h"), "t", "l")
     counts = {r.l: max(1, r.n) for r in hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     wanted = quotas(counts, rows, least)
     bounds = {x: (1 << 63) - 1 if counts[x] <= 3 * q + 100 else int((2 * q + 60) / counts[x] * (1 << 64)) - (1 << 63) for x, q in wanted.items()}
     bound = F.try_element_at(F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>"), F.col("l"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in runs(b, None):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([excerpt(t, chains) for t in part.column(1).to_pylist()], pa.string()), part.column(2)], ["h", "t", "l"])
-
-    drawn = hashed.where(F.col("h") <= bound).mapInArrow(cut, "h long, t string, l string").distinct()
+    drawn = hashed.where(F.col("h") <= bound).distinct()
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     most = max(wanted.values(), default=0)
     found = drawn.withColumn("nth", nth).where(F.col("nth") <= max(1, 2 * most)).orderBy("h", "t", "l").collect() if wanted else []
     # counts of distinct rows are approximate, so a small language's quota is all that it has
     sample = [r for r in found if r.nth <= (wanted[r.l] if counts[r.l] > 3 * wanted[r.l] + 100 or wanted[r.l] < counts[r.l] else most)]
-    return fit([(r.t, r.l) for r in sample])
+    return fit([(r.t if chains is None else excerpt(r.t, chains), r.l) for r in sample])
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
