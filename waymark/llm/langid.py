@@ -15,7 +15,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_M, haversine
+from waymark.functions.labels import canonical_key
 from waymark.operators.skew import lookup
 from waymark.shared import checkpointed
 
@@ -197,3 +199,38 @@ def common_schema(**sources: DataFrame) -> DataFrame:
         part = df.select(F.lit(name).alias("source"), F.col("route_id").cast("string").alias("route_id"), "origin", "destination", F.col("n_points").cast("long").alias("n_points"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def link_candidates(a: DataFrame, b: DataFrame, radius_m: float, edits: int) -> DataFrame:
+    """(a_id, b_id, edits, dist_m): the places of two sources, each (id, name, lon, lat), within the radius whose keys (labels.canonical_key) are at most so many edits apart. They meet by place; a place without a name or a location meets none."""
+    asked = a.select(F.col("id").alias("request_id"), "lon", "lat")
+    met = nearby(asked, b.select(F.col("id").alias("point_id"), "lon", "lat"), radius_m).select(F.col("request_id").alias("a_id"), F.col("point_id").alias("b_id"), "dist_m")
+    named = [df.select(F.col("id").alias(i), canonical_key(F.col("name")).alias(k)) for df, i, k in ((a, "a_id", "_x"), (b, "b_id", "_y"))]
+    both = met.join(named[0], "a_id").join(named[1], "b_id").where("_x != '' and _y != ''")
+    return both.withColumn("edits", F.levenshtein("_x", "_y", edits)).where("edits >= 0").select("a_id", "b_id", "edits", "dist_m")
+
+
+def assign(candidates: DataFrame) -> DataFrame:
+    """(a_id, b_id, edits, dist_m): candidates chosen one to one, by edits, then distance, then ids: what taking the best that is left, again and again, gives.
+
+    A round takes all pairs that are each other's best and drops what they rule out; the best of all is always one of them, so it ends. Rounds are jobs; most pairs go in the first few.
+    """
+    left, chosen, n = checkpointed(candidates.distinct()), [], 0
+    order = F.struct("edits", "dist_m", "a_id", "b_id")
+    while left.limit(1).count():
+        best = [left.groupBy(i).agg(F.min(order).alias("m")).select("m.*") for i in ("a_id", "b_id")]
+        taken = checkpointed(best[0].join(best[1].select("a_id", "b_id"), ["a_id", "b_id"]).select("a_id", "b_id", "edits", "dist_m"))
+        chosen, n = [*chosen, taken], n + 1
+        left = checkpointed(left.join(taken.select("a_id"), "a_id", "left_anti").join(taken.select("b_id"), "b_id", "left_anti").select(*left.columns))
+        if n % ROUNDS == 0:
+            chosen = [checkpointed(reduce(DataFrame.unionByName, chosen))]
+    return reduce(DataFrame.unionByName, chosen) if chosen else left.select("a_id", "b_id", "edits", "dist_m")
+
+
+def unified(a: DataFrame, b: DataFrame, links: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(source, id, name, lon, lat, place): the places of two sources under one schema, ids as text. place is one for the two of a link, that of the first source; others have a place of their own."""
+    first = a.select(F.lit(names[0]).alias("source"), F.col("id").cast("string").alias("id"), "name", "lon", "lat")
+    first = first.withColumn("place", F.concat_ws(":", "source", "id"))
+    tied = links.select(F.col("b_id").alias("id"), F.concat(F.lit(names[0] + ":"), F.col("a_id").cast("string")).alias("_tied"))
+    second = b.join(tied, "id", "left").select(F.lit(names[1]).alias("source"), F.col("id").cast("string").alias("id"), "name", "lon", "lat", F.coalesce("_tied", F.concat(F.lit(names[1] + ":"), F.col("id").cast("string"))).alias("place"))
+    return first.unionByName(second)

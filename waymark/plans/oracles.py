@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.plans.views import BOX, LABEL, LAT, LON, STOP_NAME, TIME
+from waymark.plans.views import BOX, LABEL, LAT, LON, OTHER_LON, OTHER_NAME, STOP_NAME, TIME
 
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
@@ -17,6 +17,10 @@ def tidied(s: str) -> str:
     return rf"trim(regexp_replace(trim({s}, ' ,&-('), '\(\s*\)', '', 'g'))"
 
 
+KEY = "regexp_replace(upper({}.name), '[^A-Z0-9]', '', 'g')"
+#: More than the rounds that linking takes on these tables; a round without a pair changes nothing.
+LINK_ROUNDS = 12
+
 #: Name: (SQL, the expressions it reads). `spans` of a label are as in functions.labels.
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "labels": (f"select p_partkey as label_id, {LABEL} as name from part", ()),
@@ -107,6 +111,23 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         )
         for t, key in (("pickups", "request_id"), ("meeting", "point_id"))
     },
+    "feed_a": ("select p_partkey as id, p_name as name, 18 + cast(p_partkey % 2000 as double) / cast(1000 as double) as lon, -35 + cast(p_size % 5 as double) / cast(20 as double) as lat from part", ()),
+    "feed_b": (f"select p_partkey + 1000000 as id, {OTHER_NAME} as name, {OTHER_LON} as lon, -35 + cast(p_size % 5 as double) / cast(20 as double) as lat from part where p_partkey % 11 <> 0", ()),
+    "met": (
+        f"select a_id, b_id, e as edits, round(m, 3) as dist_m from (select a.id as a_id, b.id as b_id, cast(levenshtein({KEY.format('a')}, {KEY.format('b')}) as int) as e, {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} as m from feed_a a join feed_b b on a.lat = b.lat and abs(a.lon - b.lon) < 0.02) where m <= 800 and e <= 2",
+        ("feed_a", "feed_b"),
+    ),
+    # every round takes the pairs that are each other's best among those that are left
+    "left0": ("select * from met", ("met",)),
+    **{
+        f"{name}{n}": (text.format(n=n, m=n - 1), reads)
+        for n in range(1, LINK_ROUNDS + 1)
+        for name, text, reads in (
+            ("took", "select a_id, b_id from (select *, row_number() over (partition by a_id order by edits, dist_m, b_id) as x, row_number() over (partition by b_id order by edits, dist_m, a_id) as y from left{m}) where x = 1 and y = 1", (f"left{n - 1}",)),
+            ("left", "select * from left{m} where a_id not in (select a_id from took{n}) and b_id not in (select b_id from took{n})", (f"left{n - 1}", f"took{n}")),
+        )
+    },
+    "links": (" union all ".join(f"select * from took{n}" for n in range(1, LINK_ROUNDS + 1)), tuple(f"took{n}" for n in range(1, LINK_ROUNDS + 1))),
     "pairs": ("select a.s as a, b.s as b, cast(levenshtein(a.s, b.s) as int) as distance from (select distinct p_name as s from part) a, (select distinct p_name as s from part) b where a.s < b.s and levenshtein(a.s, b.s) <= 2", ()),
     "spots": ("select p_name as name, median(18 + cast(p_partkey % 2000 as double) / cast(1000 as double)) as lon, median(-35 + cast(p_size % 50 as double) / cast(20 as double)) as lat from part group by p_name", ()),
     "od": ("select distinct canonical_origin as o, canonical_destination as d from named where canonical_origin is not null and canonical_destination is not null", ("named",)),
@@ -293,6 +314,14 @@ ORACLE_SQL = {
     "route_pair": sql("select d as destination, cast(t as int) as transfers, array_to_string(way, '>') as places from (select *, row_number() over (partition by d order by t, way) as r from chain) where r = 1 and d = 'P000000040'", "chain"),
     "fare_consensus": sql("select route_id, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest, median(fare) as typical from reports group by route_id", "reports"),
     "fare_windows": sql("select route_id, date_trunc('hour', ts) as start, count(*) as n_reports, count(*) filter (confirmed) as n_confirmed, arg_max(fare, struct_pack(a := ts, b := report_id)) as latest from reports group by all", "reports"),
+    "link_candidates": sql("select * from met", "met"),
+    "linked_places": sql(
+        "select 'stops' as source, cast(id as varchar) as id, name, lon, lat, 'stops:' || cast(id as varchar) as place from feed_a union all"
+        " select 'other', cast(id as varchar), name, lon, lat, coalesce('stops:' || cast(a_id as varchar), 'other:' || cast(id as varchar)) from feed_b left join links on b_id = id",
+        "feed_a",
+        "feed_b",
+        "links",
+    ),
     "nearest_points": sql(
         f"select request_id, cast(nth as int) as nth, point_id, round(m, 3) as dist_m from (select *, row_number() over (partition by request_id order by m, point_id) as nth from (select request_id, point_id, {hav('p.lon', 'p.lat', 'm.lon', 'm.lat')} as m from pickups p, meeting m)) where nth <= 3",
         "pickups",

@@ -452,3 +452,16 @@ def nearby_polar(spark, d):
     moved = lambda df: df.withColumns({"lat": F.col("lat") + F.lit(122.9), "lon": F.col("lon") * 180 - 3400})
     wrapped = lambda df: moved(df).withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))).where("lat <= 90 and lon between -180 and 180")
     return matching.nearby(wrapped(views.pickups(spark, d)), wrapped(views.meeting_points(spark, d)), 40_000.0).select("request_id", "point_id", F.round("dist_m", 2).alias("dist_m"))
+
+
+@query
+def link_candidates(spark, d):
+    return matching.link_candidates(*views.two_feeds(spark, d), 800.0, 2).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query
+def linked_places(spark, d):
+    """The places of two feeds under one schema, linked one to one."""
+    a, b = views.two_feeds(spark, d)
+    links = matching.assign(matching.link_candidates(a, b, 800.0, 2).withColumn("dist_m", F.round("dist_m", 3)))
+    return matching.unified(a, b, links, ("stops", "other"))

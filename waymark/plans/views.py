@@ -120,6 +120,19 @@ def shape_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.distinct()
 
 
+#: The places of another feed: of every part but some, its name with a letter lost or doubled, a little moved, so that several lie near a stop of one name.
+OTHER_NAME = "case when p_partkey % 3 = 0 then substr(p_name, 2) when p_partkey % 3 = 1 then lower(p_name) || 's' else upper(p_name) end"
+OTHER_LON = "18 + cast(p_partkey % 2000 as double) / cast(1000 as double) + cast(p_partkey % 7 - 3 as double) / cast(2500 as double)"
+
+
+def two_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two sources of places (id, name, lon, lat): the stops by their part's name, and the places of another feed."""
+    part = table(spark, sf_dir, "part")
+    lat = F.expr("-35 + cast(p_size % 5 as double) / cast(20 as double)").alias("lat")
+    one = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr("18 + cast(p_partkey % 2000 as double) / cast(1000 as double)").alias("lon"), lat)
+    return one, part.where("p_partkey % 11 != 0").select((F.col("p_partkey") + 1_000_000).alias("id"), F.expr(OTHER_NAME).alias("name"), F.expr(OTHER_LON).alias("lon"), lat)
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(service_id, label, the days' flags, start_date, end_date): a service a supplier."""
     k = F.col("s_suppkey")
