@@ -24,11 +24,11 @@ def query(f):
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
-    return places.names(places.endpoints(views.routes(spark, d)))
+    return places.names(places.endpoints(views.ends(spark, d)))
 
 
 def rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return views.routes(spark, d), views.aliases(spark, d), views.preferred(spark, d)
+    return views.ends(spark, d), views.aliases(spark, d), views.preferred(spark, d)
 
 
 @query
@@ -129,7 +129,7 @@ def time_format_check(spark, d):
 @query
 def haversine(spark, d):
     a, b = F.get("pts", F.lit(0)), F.try_element_at("pts", F.lit(-1))
-    return views.routes(spark, d).where("size(pts) >= 2").select("feature_ord", F.round(geo.haversine(a[0], a[1], b[0], b[1]), 3).alias("length_m"))
+    return views.ends(spark, d).where("size(pts) >= 2").select("feature_ord", F.round(geo.haversine(a[0], a[1], b[0], b[1]), 3).alias("length_m"))
 
 
 @query
@@ -157,7 +157,7 @@ def calendar_label_check(spark, d):
 
 @query
 def endpoint_unpivot(spark, d):
-    return places.endpoints(views.routes(spark, d))
+    return places.endpoints(views.ends(spark, d))
 
 
 @query
@@ -167,7 +167,7 @@ def name_counts(spark, d):
 
 @query
 def consensus_location(spark, d):
-    return places.consensus(places.endpoints(views.routes(spark, d))).select("name", rounded("lon", 6), rounded("lat", 6))
+    return places.consensus(places.endpoints(views.ends(spark, d))).select("name", rounded("lon", 6), rounded("lat", 6))
 
 
 @query
@@ -232,12 +232,12 @@ def clean_gtfs(spark, d):
 
 @query
 def drop_blank_labels(spark, d):
-    return cleaning.drop_blank_labels(views.routes(spark, d)).select("feature_ord", "ORGN", "DSTN")
+    return cleaning.drop_blank_labels(views.ends(spark, d)).select("feature_ord", "ORGN", "DSTN")
 
 
 @query
 def loop_flag(spark, d):
-    return views.routes(spark, d).select("feature_ord", cleaning.is_loop().alias("is_loop"))
+    return views.ends(spark, d).select("feature_ord", cleaning.is_loop().alias("is_loop"))
 
 
 @query
@@ -325,7 +325,7 @@ def od_multipath(spark, d):
 
 @query
 def name_own_spread(spark, d):
-    return places.own_spread(places.endpoints(views.routes(spark, d))).select("name", rounded("max_m"), rounded("median_m"))
+    return places.own_spread(places.endpoints(views.ends(spark, d))).select("name", rounded("max_m"), rounded("median_m"))
 
 
 @query

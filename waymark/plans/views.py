@@ -32,20 +32,34 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label_id"), F.expr(LABEL).alias("name"))
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature_ord, ORGN, DSTN, geom_type, coordinates, pts): an order is a route, its lines are points; one without lines has blank labels and no geometry.
-
-    One shuffle brings the lines of an order together; labels are made from the part of the first and the last line only.
-    """
+def with_labels(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:
+    """(feature_ord, ORGN, DSTN, pts) of paths (l_orderkey, a, b, pts): every order, with the labels of the parts a and b; one without lines has blank labels and no points."""
     part = labels(spark, sf_dir)
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(LON).alias("lon"), F.expr(LAT).alias("lat")).alias("p"))
-    paths = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("p")).alias("p"))
     ends = table(spark, sf_dir, "orders").select("o_orderkey").join(paths, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    pts = F.coalesce(F.transform("p", lambda x: F.array(x["lon"], x["lat"])), F.array().cast("array<array<double>>"))
-    ends = ends.select("o_orderkey", pts.alias("pts"), F.get("p", F.lit(0))["l_partkey"].alias("a"), F.try_element_at("p", F.lit(-1))["l_partkey"].alias("b"))
     first, last = part.toDF("_a", "_o"), part.toDF("_b", "_d")
     named = ends.join(first, F.col("a") == F.col("_a"), "left").join(last, F.col("b") == F.col("_b"), "left")
-    return named.select(F.col("o_orderkey").alias("feature_ord"), F.coalesce("_o", F.lit(" ")).alias("ORGN"), F.coalesce("_d", F.lit(" ")).alias("DSTN"), "pts")
+    pts = F.coalesce("pts", F.array().cast("array<array<double>>"))
+    return named.select(F.col("o_orderkey").alias("feature_ord"), F.coalesce("_o", F.lit(" ")).alias("ORGN"), F.coalesce("_d", F.lit(" ")).alias("DSTN"), pts.alias("pts"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(LON).alias("lon"), F.expr(LAT).alias("lat")).alias("p"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_ord, ORGN, DSTN, pts): an order is a route, its lines are points; one without lines has blank labels and no geometry.
+
+    One shuffle brings the lines of an order together; labels are made from the part of the first and the last line only.
+    """
+    paths = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return with_labels(spark, sf_dir, paths.select("l_orderkey", F.get("p", F.lit(0))["l_partkey"].alias("a"), F.try_element_at("p", F.lit(-1))["l_partkey"].alias("b"), F.transform("p", lambda x: F.array(x["lon"], x["lat"])).alias("pts")))
+
+
+def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """routes with the first and the last point only, for what needs no others: an order's lines are reduced before the shuffle and never gathered."""
+    found = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
+    point = lambda c: F.array(F.col(c)["lon"], F.col(c)["lat"])
+    return with_labels(spark, sf_dir, found.select("l_orderkey", F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b"), F.when(F.col("n") > 1, F.array(point("a"), point("b"))).otherwise(F.array(point("a"))).alias("pts")))
 
 
 def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
