@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,10 +120,18 @@ def arrow_type(t: T.DataType) -> pa.DataType:
 HELD: dict[tuple, object] = {}
 
 
+def give_back() -> None:
+    """Hands memory that isn't used any more back to the system, where the C library can."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+
 def held(key: tuple, make: Callable[[], object]):
     """What a Python worker keeps for the operator at work: a table, a model, memos. Another operator's is let go, as workers live on."""
     if key not in HELD:
         HELD.clear()
+        give_back()
         HELD[key] = make()
     return HELD[key]
 
