@@ -13,49 +13,49 @@ from waymark.operators import places
 from waymark.sources import geojson
 
 # The rules of the surveyed data. A label and the place it stands for; a place's key and the form in which it is shown.
-ALIASES = """
-EERSTERIVER|EERSTE RIVER
-EERSTERIVIER|EERSTE RIVER
-EERSTE RIVIER STASIE|EERSTE RIVER STATION
-GUGULETU|GUGULETHU
-HOUTBAY|HOUT BAY
-MELKBOS|MELKBOSSTRAND
-CASSA BLANCA (STRAND)|CASSABLANCA
-TYGERVALLEY CENTRE|TYGERVALLEY SHOPPING CENTRE
-SANDRIF|SANDRIFT
-SANDDRIFT|SANDRIFT
-PHILIPPI STATION TRANSPORT INTERCHANGE|PHILIPPI STATION
-NYANGA STATION PUBLIC TRANSPORT INTERCHANGE|NYANGA STATION
-NYANGA TERM|NYANGA TERMINUS
-RAILWAY STATION (SOMERSET WEST)|SOMERSET WEST STATION
-"""
-PREFERRED = """
-TABLEVIEW|TABLE VIEW
-SUMMERGREENS|SUMMER GREENS
-MELKBOSSTRAND|MELKBOSSTRAND
-BLOUBERGSTRAND|BLOUBERGSTRAND
-LOWERCROSSROADS|LOWER CROSS ROADS
-SAXONSEAATLANTIS|SAXONSEA ATLANTIS
-CAPETOWNSTATIONDECK|CAPE TOWN STATION DECK
-CROSSROADSJOBURGSTORES|CROSS ROADS (JO-BURG STORES)
-TOWNCENTREMITCHELLSPLAIN|TOWN CENTRE (MITCHELLS PLAIN)
-SANLAMCENTREPAROW|SANLAM CENTRE, PAROW
-METROINDUSTRYPAARDENEILAND|METRO INDUSTRY (PAARDEN EILAND)
-KRAMATWAYMACASSAR|KRAMAT WAY (MACASSAR)
-MITCHELLSPLAINCALYPSOSQUARE|MITCHELLS PLAIN (CALYPSO SQUARE)
-MITCHELLSPLAINTOWNCENTRE|MITCHELLS PLAIN (TOWN CENTRE)
-EINDHOVENDELFT|EINDHOVEN, DELFT
-LEIDENDELFT|LEIDEN, DELFT
-FABRIEKSAREAATLANTIS|FABRIEKS AREA, ATLANTIS
-LOURENSFORDSOMERSETWEST|LOURENSFORD, SOMERSET WEST
-"""
+ALIASES = [
+    ("EERSTERIVER", "EERSTE RIVER"),
+    ("EERSTERIVIER", "EERSTE RIVER"),
+    ("EERSTE RIVIER STASIE", "EERSTE RIVER STATION"),
+    ("GUGULETU", "GUGULETHU"),
+    ("HOUTBAY", "HOUT BAY"),
+    ("MELKBOS", "MELKBOSSTRAND"),
+    ("CASSA BLANCA (STRAND)", "CASSABLANCA"),
+    ("TYGERVALLEY CENTRE", "TYGERVALLEY SHOPPING CENTRE"),
+    ("SANDRIF", "SANDRIFT"),
+    ("SANDDRIFT", "SANDRIFT"),
+    ("PHILIPPI STATION TRANSPORT INTERCHANGE", "PHILIPPI STATION"),
+    ("NYANGA STATION PUBLIC TRANSPORT INTERCHANGE", "NYANGA STATION"),
+    ("NYANGA TERM", "NYANGA TERMINUS"),
+    ("RAILWAY STATION (SOMERSET WEST)", "SOMERSET WEST STATION"),
+]
+PREFERRED = [
+    ("TABLEVIEW", "TABLE VIEW"),
+    ("SUMMERGREENS", "SUMMER GREENS"),
+    ("MELKBOSSTRAND", "MELKBOSSTRAND"),
+    ("BLOUBERGSTRAND", "BLOUBERGSTRAND"),
+    ("LOWERCROSSROADS", "LOWER CROSS ROADS"),
+    ("SAXONSEAATLANTIS", "SAXONSEA ATLANTIS"),
+    ("CAPETOWNSTATIONDECK", "CAPE TOWN STATION DECK"),
+    ("CROSSROADSJOBURGSTORES", "CROSS ROADS (JO-BURG STORES)"),
+    ("TOWNCENTREMITCHELLSPLAIN", "TOWN CENTRE (MITCHELLS PLAIN)"),
+    ("SANLAMCENTREPAROW", "SANLAM CENTRE, PAROW"),
+    ("METROINDUSTRYPAARDENEILAND", "METRO INDUSTRY (PAARDEN EILAND)"),
+    ("KRAMATWAYMACASSAR", "KRAMAT WAY (MACASSAR)"),
+    ("MITCHELLSPLAINCALYPSOSQUARE", "MITCHELLS PLAIN (CALYPSO SQUARE)"),
+    ("MITCHELLSPLAINTOWNCENTRE", "MITCHELLS PLAIN (TOWN CENTRE)"),
+    ("EINDHOVENDELFT", "EINDHOVEN, DELFT"),
+    ("LEIDENDELFT", "LEIDEN, DELFT"),
+    ("FABRIEKSAREAATLANTIS", "FABRIEKS AREA, ATLANTIS"),
+    ("LOURENSFORDSOMERSETWEST", "LOURENSFORD, SOMERSET WEST"),
+]
 
 
-def rules(spark: SparkSession, own: str, columns: tuple[str, str], path: str | None = None) -> DataFrame:
-    """A rule table of two columns: from a CSV file with a header, or the given text."""
+def rules(spark: SparkSession, own: list[tuple[str, str]], columns: tuple[str, str], path: str | None = None) -> DataFrame:
+    """A rule table of two columns: from a CSV file with a header, or the given pairs."""
     if path is not None:
         return spark.read.option("header", True).csv(path).toDF(*columns)
-    return spark.createDataFrame([tuple(x.split("|")) for x in own.strip().split("\n")], ", ".join(f"{c} string" for c in columns))
+    return spark.createDataFrame(own, ", ".join(f"{c} string" for c in columns))
 
 
 def run(spark: SparkSession, source: str, target: str | None = None, aliases: str | None = None, preferred: str | None = None) -> dict[str, DataFrame]:
