@@ -86,10 +86,10 @@ def fragments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
 
 
 FRAGMENTS = "id long, th long, key long, content long, place long"
-SIDES = "key long, content long, place long, l binary, r binary, hl long, hr long"
-NEIGHBOURS = "part int, h long, n long, size int, lcp int, edge binary"
+SIDES = "key long, content long, place long, l binary, r binary, hl binary, hr binary"
+NEIGHBOURS = "part int, h binary, n long, size int, lcp int, edge binary"
 PROFILES = "part int, first binary, last binary, onward array<int>, back array<int>"
-BRANCHES = "h long, n long, depths array<int>"
+BRANCHES = "h binary, n long, depths array<int>"
 LOCI = "key long, content long, h1 long, h2 long, least int, most int"
 
 
@@ -116,7 +116,7 @@ def least_most(place: int) -> tuple[int, int]:
 
 def sides(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The left sides, backwards, and the right sides of the fragments wanted of texts (data, wanted), each after a byte that keeps near and far places apart."""
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh3_128_digest
     for b in batches:
         for part in runs(b, None):
             rows = []
@@ -125,7 +125,7 @@ def sides(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                     end, (lo, hi) = w["place"] >> 20, least_most(w["place"])
                     mark = b"\1" if lo > length // 2 else b"\0"
                     left, right = mark + data[end - hi : end][::-1], mark + data[end : end - lo + length]
-                    rows.append((w["key"], w["content"], w["place"], left, right, digest(left) - (1 << 63), digest(right) - (1 << 63)))
+                    rows.append((w["key"], w["content"], w["place"], left, right, digest(left), digest(right)))
             yield batch(rows, SIDES)
 
 
@@ -239,7 +239,7 @@ def branches(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[list[int]
 
 
 def tree(strings: DataFrame, parts: int | None = None) -> DataFrame:
-    """(h, n, depths) of distinct strings (h, n, s), n: how many fragments have it. Sorted over the cluster; the driver gets two strings and some lengths of each partition."""
+    """(h, n, depths) of distinct strings (h, n, s), h: a digest of 128 bits, n: how many fragments have it. Sorted over the cluster; the driver gets two strings and some lengths of each partition."""
     spread = strings.repartitionByRange(parts, "s") if parts else strings.repartitionByRange("s")
     ordered = spread.sortWithinPartitions("s").select(F.spark_partition_id().alias("part"), "h", "n", "s")
     with few_samples(strings.sparkSession):
