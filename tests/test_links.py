@@ -45,6 +45,16 @@ def test_planted_pairs(spark):
     assert len(both) == 12 and both["b", "11"] == both["a", "2"] == "a:2" and both["b", "15"] == "b:15" and both["a", "4"] == "a:4"
 
 
+def test_copies_meet_as_one(spark):
+    """Places that agree are told apart again where they are found near, and no table is broadcast by the size of its source, which says nothing of what cubes make of it."""
+    one = spark.range(3000).selectExpr("id", "'Main Rd' as name", "18.5D as lon", "-34D as lat")
+    other = spark.range(2000).selectExpr("id + 5000 as id", "if(id % 2 = 0, 'main road', 'Main Rd.') as name", "18.5001D as lon", "-34D as lat")
+    met = matching.link_candidates(one, other, 300.0, 1, digits=3)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.selectExpr("count(*)", "count(distinct a_id)", "count(distinct b_id)", "max(edits)", "count(distinct dist_m)").first() == (3_000_000, 3000, 1000, 0, 1)
+    assert matching.close_places(one, other, 300.0, 1).count() < 1000
+
+
 @pytest.mark.parametrize("name", ["link_candidates", "linked_places", "common_schema"])
 def test_queries(agree, name):
     agree(queries.QUERIES[name], oracles.ORACLE_SQL[name])

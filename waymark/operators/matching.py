@@ -101,19 +101,60 @@ def chord(metres: float) -> float:
     return 2 * math.sin(min(metres / (2 * EARTH_M), math.pi / 2))
 
 
-def nearby(requests: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    """(request_id, point_id, dist_m) of the pairs within the radius, anywhere on earth; both sides have an id, lon and lat. Places without either are near nothing.
+#: Rows that agree stand together in rows of so many ids at most; a task of a cube meets so many ids of either side, about.
+TOGETHER, BLOCK = 128, 4096
+CUBE = ["x", "y", "z"]
 
-    A grid in space of cubes at least a radius wide: a point goes into its cube and those around it, a request into its own, and they meet in an equi-join.
+
+def together(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by, ids): the keys of the rows that agree in the columns `by`, in order, TOGETHER a row at most. A sort over the cluster brings them together, so no task gets all of a group."""
+    placed = rows.select(*by, F.col(key).alias("_id")).repartitionByRange(*by, "_id").sortWithinPartitions(*by, "_id")
+    block = F.shiftright(F.monotonically_increasing_id(), TOGETHER.bit_length() - 1)
+    found = placed.withColumn("_block", block).groupBy(*by, "_block").agg(F.collect_list("_id").alias("_ids"), F.count("*").alias("_n"))
+    nulls = F.array_repeat(F.lit(None).cast(rows.schema[key].dataType), (F.col("_n") - F.size("_ids")).cast("int"))
+    return checkpointed(found.select(*by, F.concat(nulls, "_ids").alias("ids")))
+
+
+def meetings(asked: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
+    """asked with the points within the radius, and dist_m. asked has lon, lat and ids, points plon, plat and pids, both may have more; both are read several times.
+
+    A grid in space of cubes at least a radius wide: a point goes into its cube and those around it, a request into its own, and they meet in an equi-join. A cube with over BLOCK ids of a side is
+    cut into blocks on that side, each block of one side meets each of the other, and blocks are dealt to tasks on their own. Sizes of files say little of these tables, so none is broadcast.
     """
     wide = max(chord(radius_m) * (1 + 1e-9) + 1e-12, 1e-7)
     cube = lambda c: F.floor(c / F.lit(wide)).cast("long")
     around = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(o, "ijk", strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)])
-    placed = points.where("lon is not null and lat is not null").select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), *[cube(c).alias(n) for c, n in zip(on_sphere(F.col("lon"), F.col("lat")), "xyz", strict=True)], F.explode(around).alias("o"))
-    spread = placed.select("point_id", "plon", "plat", *[(F.col(n) + F.col(f"o.{d}")).alias(n) for n, d in zip("xyz", "ijk", strict=True)])
-    asked = requests.where("lon is not null and lat is not null").select("request_id", "lon", "lat", *[cube(c).alias(n) for c, n in zip(on_sphere(F.col("lon"), F.col("lat")), "xyz", strict=True)])
-    met = asked.join(spread, ["x", "y", "z"]).withColumn("dist_m", haversine(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
-    return met.where(F.col("dist_m") <= radius_m).select("request_id", "point_id", "dist_m")
+    at = lambda lon, lat: {n: cube(c) for c, n in zip(on_sphere(F.col(lon), F.col(lat)), CUBE, strict=True)}
+    placed = points.where("plon is not null and plat is not null").withColumns(at("plon", "plat")).withColumn("o", F.explode(around))
+    spread = placed.withColumns({n: F.col(n) + F.col(f"o.{d}") for n, d in zip(CUBE, "ijk", strict=True)}).drop("o")
+    asked = asked.where("lon is not null and lat is not null").withColumns(at("lon", "lat"))
+    many = [t.groupBy(*CUBE).agg(F.ceil(F.sum(F.size(c)) / BLOCK).cast("int").alias(n)) for t, c, n in ((asked, "ids", "_p"), (spread, "pids", "_q"))]
+    both = many[0].join(many[1].hint("merge"), CUBE).where("_p > 1 or _q > 1")
+    full = checkpointed(both.select(F.struct(*CUBE).alias("cube"), "_p", "_q", (F.col("_p").cast("long") * F.col("_q")).alias("used")))
+    keys, blocks = CUBE, full.agg(F.sum("used")).first()[0]
+    if blocks:
+        cut = lambda t: lookup(t.withColumn("_at", F.struct(*CUBE)), full, "_at", "cube", "used").drop("_at")
+        own = lambda n, *c: F.pmod(F.xxhash64(*c), F.coalesce(n, F.lit(1))).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, 1000))
+        keys = [*CUBE, "_i", "_j"]
+        asked = cut(asked).withColumn("_i", own(F.col("_p"), "lon", "lat", "ids")).withColumn("_j", each(F.col("_q"))).drop("_p", "_q").repartition(tasks, *keys)
+        spread = cut(spread).withColumn("_j", own(F.col("_q"), "plon", "plat", "pids")).withColumn("_i", each(F.col("_p"))).drop("_p", "_q").repartition(tasks, *keys)
+    met = asked.join(spread.hint("merge"), keys).withColumn("dist_m", haversine(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")))
+    return met.where(F.col("dist_m") <= radius_m).drop(*keys)
+
+
+def nearby(requests: DataFrame, points: DataFrame, radius_m: float, digits: int | None = None) -> DataFrame:
+    """(request_id, point_id, dist_m) of the pairs within the radius, anywhere on earth; both sides have an id, lon and lat. Places without either are near nothing. dist_m is rounded to so many digits, if any.
+
+    Rows in one place stand together and meet as one; only what is near is told apart again, in the task that finds it.
+    """
+    known = "lon is not null and lat is not null"
+    asked = together(requests.where(known), "request_id", "lon", "lat")
+    placed = together(points.where(known), "point_id", "lon", "lat").toDF("plon", "plat", "pids")
+    met = meetings(asked, placed, radius_m)
+    far = F.col("dist_m") if digits is None else F.round("dist_m", digits)
+    return met.select("ids", "pids", far.alias("dist_m")).select(F.explode("ids").alias("request_id"), "pids", "dist_m").select("request_id", F.explode("pids").alias("point_id"), "dist_m")
 
 
 #: Places of a cube that isn't split, and how often cubes are split at most: the last are twelve metres wide.
@@ -201,13 +242,20 @@ def common_schema(**sources: DataFrame) -> DataFrame:
     return out
 
 
-def link_candidates(a: DataFrame, b: DataFrame, radius_m: float, edits: int) -> DataFrame:
-    """(a_id, b_id, edits, dist_m): the places of two sources, each (id, name, lon, lat), within the radius whose keys (labels.canonical_key) are at most so many edits apart. They meet by place; a place without a name or a location meets none."""
-    asked = a.select(F.col("id").alias("request_id"), "lon", "lat")
-    met = nearby(asked, b.select(F.col("id").alias("point_id"), "lon", "lat"), radius_m).select(F.col("request_id").alias("a_id"), F.col("point_id").alias("b_id"), "dist_m")
-    named = [df.select(F.col("id").alias(i), canonical_key(F.col("name")).alias(k)) for df, i, k in ((a, "a_id", "_x"), (b, "b_id", "_y"))]
-    both = met.join(named[0], "a_id").join(named[1], "b_id").where("_x != '' and _y != ''")
-    return both.withColumn("edits", F.levenshtein("_x", "_y", edits)).where("edits >= 0").select("a_id", "b_id", "edits", "dist_m")
+def close_places(a: DataFrame, b: DataFrame, radius_m: float, edits: int) -> DataFrame:
+    """(ids, pids, edits, dist_m): link_candidates, of places whose key and location agree together, TOGETHER ids a row at most."""
+    keyed = lambda df: df.select("id", "lon", "lat", canonical_key(F.col("name")).alias("key")).where("key != '' and lon is not null and lat is not null")
+    one, other = (together(keyed(df), "id", "lon", "lat", "key") for df in (a, b))
+    met = meetings(one, other.toDF("plon", "plat", "pkey", "pids"), radius_m)
+    return met.withColumn("edits", F.levenshtein("key", "pkey", edits)).where("edits >= 0")
+
+
+def link_candidates(a: DataFrame, b: DataFrame, radius_m: float, edits: int, digits: int | None = None) -> DataFrame:
+    """(a_id, b_id, edits, dist_m): the places of two sources, each (id, name, lon, lat), within the radius whose keys (labels.canonical_key) are at most so many edits apart. They meet by place, those that agree in key and
+    location as one; a place without a name or a location meets none. dist_m is rounded to so many digits, if any."""
+    far = F.col("dist_m") if digits is None else F.round("dist_m", digits)
+    met = close_places(a, b, radius_m, edits).select("ids", "pids", "edits", far.alias("dist_m"))
+    return met.select(F.explode("ids").alias("a_id"), "pids", "edits", "dist_m").select("a_id", F.explode("pids").alias("b_id"), "edits", "dist_m")
 
 
 def assign(candidates: DataFrame) -> DataFrame:

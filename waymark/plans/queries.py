@@ -456,7 +456,7 @@ def nearby_polar(spark, d):
 
 @query
 def link_candidates(spark, d):
-    return matching.link_candidates(*views.two_feeds(spark, d), 800.0, 2).withColumn("dist_m", F.round("dist_m", 3))
+    return matching.link_candidates(*views.two_feeds(spark, d), 800.0, 2, digits=3)
 
 
 @query
