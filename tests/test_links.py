@@ -55,6 +55,30 @@ def test_copies_meet_as_one(spark):
     assert matching.close_places(one, other, 300.0, 1).count() < 1000
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_linked_is_the_assignment_of_candidates(spark, seed):
+    """Copies, ties in a row of places a step apart, both ways round a place, and ids that lie between each other."""
+    r = random.Random(seed)
+    names = ["Oak", "Oaks", "Oaky", "Elm"]
+    feeds = [[(i, r.choice(names), 18 + r.choice((r.randint(0, 3), 40 * r.randint(1, 3))) * 0.001, -34.0) for i in r.sample(range(1000), 260)] + [(5000, None, 18.0, -34.0), (None, "Oak", 18.0, -34.0)] for _ in "ab"]
+    a, b = (spark.createDataFrame(f, PLACES) for f in feeds)
+    want = greedy([tuple(x) for x in matching.link_candidates(a.where("id is not null"), b.where("id is not null"), 300.0, 1, digits=3).collect()])
+    got = [tuple(x) for x in matching.linked(a, b, 300.0, 1, digits=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    again = spark.createDataFrame([(1, "Oak", 18.0, -34.0), (1, "Elm", 18.001, -34.0), (2, "Oak", 18.0, -34.0)], PLACES)
+    assert {tuple(x)[:2] for x in matching.linked(again, again, 300.0, 0, digits=3).collect()} == {(1, 1), (2, 2)}
+
+
+def test_rounds_do_not_grow_with_copies(spark, monkeypatch):
+    """A place of 200 copies in either feed was linked a pair a round."""
+    calls = []
+    monkeypatch.setattr(matching, "checkpointed", lambda df, f=matching.checkpointed: calls.append(1) or f(df))
+    a = spark.range(200).selectExpr("id", "'Oak' as name", "18D as lon", "-34D as lat")
+    b = spark.range(150).selectExpr("id + 7 as id", "if(id % 2 = 0, 'Oaks', 'Oaky') as name", "18.0001D as lon", "-34D as lat")
+    assert {(x.a_id, x.b_id) for x in matching.linked(a, b, 300.0, 1).collect()} == {(i, i + 7) for i in range(150)}
+    assert len(calls) < 30
+
+
 @pytest.mark.parametrize("name", ["link_candidates", "linked_places", "common_schema"])
 def test_queries(agree, name):
     agree(queries.QUERIES[name], oracles.ORACLE_SQL[name])

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import EARTH_M, haversine
 from waymark.functions.labels import canonical_key
-from waymark.operators.skew import lookup
+from waymark.operators.skew import lookup, ranked
 from waymark.shared import checkpointed
 
 def hops_of(edges: DataFrame) -> DataFrame:
@@ -242,12 +245,20 @@ def common_schema(**sources: DataFrame) -> DataFrame:
     return out
 
 
+def keyed(places: DataFrame) -> DataFrame:
+    """(id, lon, lat, key) of places that have a key and a location."""
+    return places.select("id", "lon", "lat", canonical_key(F.col("name")).alias("key")).where("key != '' and lon is not null and lat is not null")
+
+
+def few_edits(one: DataFrame, other: DataFrame, radius_m: float, edits: int) -> DataFrame:
+    """meetings of two tables (lon, lat, key, ids), with edits, of the keys that are at most so many apart."""
+    met = meetings(one, other.withColumnsRenamed({"lon": "plon", "lat": "plat", "key": "pkey", "ids": "pids"}), radius_m)
+    return met.withColumn("edits", F.levenshtein("key", "pkey", edits)).where("edits >= 0")
+
+
 def close_places(a: DataFrame, b: DataFrame, radius_m: float, edits: int) -> DataFrame:
     """(ids, pids, edits, dist_m): link_candidates, of places whose key and location agree together, TOGETHER ids a row at most."""
-    keyed = lambda df: df.select("id", "lon", "lat", canonical_key(F.col("name")).alias("key")).where("key != '' and lon is not null and lat is not null")
-    one, other = (together(keyed(df), "id", "lon", "lat", "key") for df in (a, b))
-    met = meetings(one, other.toDF("plon", "plat", "pkey", "pids"), radius_m)
-    return met.withColumn("edits", F.levenshtein("key", "pkey", edits)).where("edits >= 0")
+    return few_edits(*(together(keyed(df), "id", "lon", "lat", "key") for df in (a, b)), radius_m, edits)
 
 
 def link_candidates(a: DataFrame, b: DataFrame, radius_m: float, edits: int, digits: int | None = None) -> DataFrame:
@@ -275,6 +286,89 @@ def assign(candidates: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, chosen) if chosen else left.select("a_id", "b_id", "edits", "dist_m")
 
 
+def ties(edges: DataFrame) -> DataFrame:
+    """edges (a, b, edits, dist_m) with _tie, one for all edges of equal edits and distance that hang together by their ends. Each round is a job; edges in a row of k take about k / 2."""
+    now = checkpointed(edges).withColumn("_tie", F.monotonically_increasing_id())
+    while True:
+        now = now.withColumn("_low", F.min("_tie").over(Window.partitionBy("a", "edits", "dist_m")))
+        now = checkpointed(now.withColumn("_low", F.min("_low").over(Window.partitionBy("b", "edits", "dist_m"))))
+        more = now.where("_low < _tie").limit(1).count()
+        now = now.drop("_tie").withColumnRenamed("_low", "_tie")
+        if not more:
+            return now
+
+
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tie, given with its pairs of classes and the ids of these: the ids of one side in order take the smallest id left that they may."""
+    for batch in batches:
+        kind = [batch.schema.field(n).type.value_type.field("id").type for n in ("own", "theirs")]
+        found: list[tuple] = []
+        for row in batch.to_pylist():
+            near, waiting = defaultdict(list), defaultdict(list)
+            for e in row["pairs"]:
+                near[e["a"]].append(e["b"])
+            for e in sorted(row["theirs"], key=lambda e: e["id"], reverse=True):
+                waiting[e["place"]].append(e["id"])
+            for e in sorted(row["own"], key=lambda e: e["id"]):
+                free = [b for b in near[e["place"]] if waiting[b]]
+                if free:
+                    found.append((e["id"], waiting[min(free, key=lambda b: waiting[b][-1])].pop(), row["edits"], row["dist_m"]))
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*kind, pa.int32(), pa.float64()), strict=True)], ["a_id", "b_id", "edits", "dist_m"])
+
+
+#: Ids of a tie over which their ranks are counted over the cluster, not in a task.
+MANY = 100_000
+
+
+def linked(a: DataFrame, b: DataFrame, radius_m: float, edits: int, digits: int | None = None) -> DataFrame:
+    """assign(link_candidates(...)), without the candidates one by one: places that agree in key and location are a class, and only classes meet. Places without an id are left out.
+
+    Between two classes all pairs are as good but for their ids. A round takes all ties whose pairs of classes are the best of both, and which so stand in nobody's way: the best of all is always one. In a tie where every class
+    may go with every other, the ids of both sides are paired by their ranks, which of over MANY ids are counted over the cluster; in others the ids go in turn, in a task that holds the ids of the tie. Rounds are jobs, and don't
+    grow with the copies of a place.
+    """
+    sides = [checkpointed(together(keyed(df.where("id is not null")), "id", "lon", "lat", "key").withColumn("place", F.min(F.get("ids", F.lit(0))).over(Window.partitionBy("lon", "lat", "key")))) for df in (a, b)]
+    left = [checkpointed(s.select("place", F.explode("ids").alias("id")).distinct()) for s in sides]
+    if any(m.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() for m in left):  # an id with several names or locations
+        return assign(link_candidates(a.where("id is not null"), b.where("id is not null"), radius_m, edits, digits))
+    met = few_edits(*(checkpointed(s.groupBy("lon", "lat", "key").agg(F.array(F.min("place")).alias("ids"), F.sum(F.size("ids")).alias(n))) for s, n in zip(sides, ("na", "nb"), strict=True)), radius_m, edits)
+    far = F.col("dist_m") if digits is None else F.round("dist_m", digits)
+    edges = ties(met.select(F.get("ids", F.lit(0)).alias("a"), F.get("pids", F.lit(0)).alias("b"), "edits", far.alias("dist_m"), (F.col("na") + F.col("nb")).alias("_n")))
+    large = edges.groupBy("_tie").agg((F.sum("_n") > MANY).alias("_large"))
+    edges, chosen, order = checkpointed(edges.drop("_n").join(large.hint("merge"), "_tie")), [], F.struct("edits", "dist_m")
+    out = f"a_id {a.schema['id'].dataType.simpleString()}, b_id {b.schema['id'].dataType.simpleString()}, edits int, dist_m double"
+    while True:
+        best = edges.withColumns({f"_{c}": F.min(order).over(Window.partitionBy(c)) for c in "ab"})
+        sizes = best.groupBy("_tie").agg(F.bool_and((order == F.col("_a")) & (order == F.col("_b"))).alias("_ready"), F.count("*").alias("_n"), *[F.size(F.collect_set(c)).cast("long").alias(f"_n{c}") for c in "ab"])
+        now = checkpointed(edges.join(sizes.where("_ready").select("_tie", (F.col("_n") == F.col("_na") * F.col("_nb")).alias("_all")).hint("merge"), "_tie"))
+        kinds = {(r["_all"], r["_large"]) for r in now.select("_all", "_large").distinct().collect()}
+        if not kinds:
+            break
+        taken = []
+        for kind in kinds:
+            these = now.where((F.col("_all") == kind[0]) & (F.col("_large") == kind[1]))
+            ids = [these.select("_tie", "edits", "dist_m", F.col(c).alias("place")).distinct().join(m.hint("merge"), "place") for c, m in zip("ab", left, strict=True)]
+            if kind[0]:
+                nth = F.row_number().over(Window.partitionBy("_tie").orderBy("id"))
+                one, other = (ranked(i, "_tie", "id") if kind[1] else i.withColumn("_rank", nth) for i in ids)
+                pairs = one.withColumnRenamed("id", "a_id").join(other.select("_tie", "_rank", F.col("id").alias("b_id")).hint("merge"), ["_tie", "_rank"])
+                taken.append(pairs.select("a_id", "b_id", "edits", "dist_m"))
+            else:
+                own, theirs = (i.groupBy("_tie").agg(F.collect_list(F.struct("place", "id")).alias(n)) for i, n in zip(ids, ("own", "theirs"), strict=True))
+                some = these.groupBy("_tie").agg(F.collect_list(F.struct("a", "b")).alias("pairs"), F.first("edits").alias("edits"), F.first("dist_m").alias("dist_m"))
+                taken.append(some.join(own.hint("merge"), "_tie").join(theirs.hint("merge"), "_tie").drop("_tie").mapInArrow(in_turn, out))
+        taken = checkpointed(reduce(DataFrame.unionByName, taken))
+        left = [checkpointed(m.join(taken.select(F.col(c).alias("id")).hint("merge"), "id", "left_anti")) for m, c in zip(left, ("a_id", "b_id"), strict=True)]
+        edges = edges.join(now.select("_tie").hint("merge"), "_tie", "left_anti")
+        for c, m in zip("ab", left, strict=True):
+            edges = edges.join(m.select(F.col("place").alias(c)).hint("merge"), c, "left_semi")
+        edges, chosen = checkpointed(edges), [*chosen, taken]
+        if len(chosen) > ROUNDS:
+            chosen = [checkpointed(reduce(DataFrame.unionByName, chosen))]
+    return reduce(DataFrame.unionByName, chosen) if chosen else a.sparkSession.createDataFrame([], out)
+
+
 def unified(a: DataFrame, b: DataFrame, links: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """(source, id, name, lon, lat, place): the places of two sources under one schema, ids as text. place is one for the two of a link, that of the first source; others have a place of their own."""
     first = a.select(F.lit(names[0]).alias("source"), F.col("id").cast("string").alias("id"), "name", "lon", "lat")

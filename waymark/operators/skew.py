@@ -53,3 +53,12 @@ def medians(df: DataFrame, group: str, *columns: str) -> DataFrame:
     picked = middle.withColumn("_last", last).where("_last > _low and _last - _n <= _high")
     found = picked.groupBy("_group", "_which").agg((F.min("_value") * 0.5 + F.max("_value") * 0.5).alias("_median"))
     return found.groupBy(F.col("_group").alias(group)).agg(*[F.max(F.when(F.col("_which") == i, F.col("_median"))).alias(c) for i, c in enumerate(columns)])
+
+
+def ranked(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """rows with _rank, from 0 on by key inside each group, of rows without nulls in either. A sort over the cluster whose stretches are counted, so a group may be of any size."""
+    placed = rows.repartitionByRange(group, key).sortWithinPartitions(group, key).withColumns({"_stretch": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = checkpointed(placed)
+    sizes = placed.groupBy(group, "_stretch").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_stretch")) - F.col("_n"))
+    return placed.join(sizes.hint("merge"), [group, "_stretch"]).withColumn("_rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_stretch", "_at", "_n", "_first", "_before")

@@ -463,5 +463,5 @@ def link_candidates(spark, d):
 def linked_places(spark, d):
     """The places of two feeds under one schema, linked one to one."""
     a, b = views.two_feeds(spark, d)
-    links = matching.assign(matching.link_candidates(a, b, 800.0, 2).withColumn("dist_m", F.round("dist_m", 3)))
+    links = matching.linked(a, b, 800.0, 2, digits=3)
     return matching.unified(a, b, links, ("stops", "other"))
