@@ -33,6 +33,19 @@ def table(spark, places, name):
     return spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(10_000, None, 1.0), (10_001, 1.0, None)], f"{name} long, lon double, lat double")
 
 
+def test_nearby_of_copies_and_full_cubes(spark, monkeypatch):
+    """Rows of one place meet as one, and a full cube is dealt to many tasks; ids repeat and are null as they are given."""
+    monkeypatch.setattr(matching, "BLOCK", 8)
+    a, b = around(18.5, -34, 40, 0.02) * 3 + [(18.5, -34.0)] * 300, around(18.5, -34, 30, 0.02) * 2 + [(18.5, -34.0)] * 200
+    asked = table(spark, a, "request_id").unionAll(spark.createDataFrame([(0, 18.5, -34.0), (None, 18.5, -34.0)], "request_id long, lon double, lat double"))
+    got = sorted((-1 if r.request_id is None else r.request_id, r.point_id, r.dist_m) for r in matching.nearby(asked, table(spark, b, "point_id"), 1500.0, digits=2).collect())
+    want = sorted((i, j, round(metres(p, q), 2)) for i, p in [*enumerate(a), (0, (18.5, -34.0)), (-1, (18.5, -34.0))] for j, q in enumerate(b) if metres(p, q) <= 1500.0)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 0.011 for g, w in zip(got, want, strict=True))
+    met = matching.meetings(matching.together(asked, "request_id", "lon", "lat"), matching.together(table(spark, b, "point_id"), "point_id", "lon", "lat").toDF("plon", "plat", "pids"), 1500.0)
+    rows = met.selectExpr("spark_partition_id() as task").groupBy("task").count().collect()
+    assert len(rows) > 10 and sum(r[1] for r in rows) < len(want) / 20
+
+
 @pytest.mark.parametrize(("lon", "lat"), [(0, 0), (18.5, -34), (179.95, 10), (-179.9, 60), (30, 85), (100, 89.9), (0, -90)])
 def test_nearby(spark, lon, lat):
     a, b = around(lon, lat, 60), around(lon, lat, 80)

@@ -437,7 +437,7 @@ def fare_windows(spark, d):
 
 @query
 def nearby_pickups(spark, d):
-    return matching.nearby(views.pickups(spark, d), views.meeting_points(spark, d), 5000.0).withColumn("dist_m", F.round("dist_m", 3))
+    return matching.nearby(views.pickups(spark, d), views.meeting_points(spark, d), 5000.0, digits=3)
 
 
 @query
@@ -451,7 +451,7 @@ def nearby_polar(spark, d):
     """Pairs within 40 km about a pole and over the date line."""
     moved = lambda df: df.withColumns({"lat": F.col("lat") + F.lit(122.9), "lon": F.col("lon") * 180 - 3400})
     wrapped = lambda df: moved(df).withColumn("lon", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))).where("lat <= 90 and lon between -180 and 180")
-    return matching.nearby(wrapped(views.pickups(spark, d)), wrapped(views.meeting_points(spark, d)), 40_000.0).select("request_id", "point_id", F.round("dist_m", 2).alias("dist_m"))
+    return matching.nearby(wrapped(views.pickups(spark, d)), wrapped(views.meeting_points(spark, d)), 40_000.0, digits=2)
 
 
 @query
