@@ -78,6 +78,19 @@ def test_nearest(spark, leaf, k):
         assert sorted(j for _, j, _ in rows)[:1] and len({j for _, j, _ in rows}) == len(rows)
 
 
+def test_nearest_looks_up_a_place_once(spark, monkeypatch):
+    """What is kept of a level is for the places of requests, not for each request, and without the cubes below."""
+    kept = []
+    monkeypatch.setattr(matching, "checkpointed", lambda df, f=matching.checkpointed: kept.append(f(df)) or kept[-1])
+    points = around(18.5, -34, 40, 0.05)
+    asked = around(18.5, -34, 3, 0.05) * 300
+    got = matching.nearest(table(spark, asked, "request_id"), table(spark, points, "point_id"), 2, 4).collect()
+    assert sorted((r.request_id, r.nth) for r in got) == [(i, n) for i in range(900) for n in (1, 2)]
+    assert all(points[r.point_id] in sorted(points, key=lambda q: metres(asked[r.request_id], q))[:2] for r in got)
+    levels = [df for df in kept if "_r" in df.columns]
+    assert len(levels) > 3 and max(df.count() for df in levels) < 200 and not any("below" in df.columns for df in levels)
+
+
 def test_nearest_of_odd_tables(spark):
     none = table(spark, [], "point_id")
     assert matching.nearest(table(spark, [(1.0, 1.0)], "request_id"), none, 3).collect() == []

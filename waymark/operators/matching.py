@@ -179,9 +179,9 @@ def cube_tree(places: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, Data
     counts = every.groupBy("cube").agg(F.sum("n").alias("n"), F.first("level").alias("level"), *[F.min(c).alias(c) for c in fine])
     up = counts.where("level > 0").withColumn("parent", cube(F.col("level") - 1, depth))
     cubes = checkpointed(up.groupBy("parent").agg(F.collect_list(F.struct("cube", "n")).alias("below"), F.sum("n").alias("n")).where(F.col("n") > leaf).select(F.col("parent").alias("cube"), "below"))
-    at = every.join(cubes.select("cube"), "cube", "left_semi").groupBy(*fine).agg(F.count("*").alias("level"))  # cubes above a split one are split
-    deep = finest.join(at, fine, "left").select(*fine, "n", F.coalesce("level", F.lit(0)).alias("level"))
-    found = places.join(deep.drop("n"), fine)
+    at = every.join(cubes.select("cube").hint("merge"), "cube", "left_semi").groupBy(*fine).agg(F.count("*").alias("level"))  # cubes above a split one are split
+    deep = finest.join(at.hint("merge"), fine, "left").select(*fine, "n", F.coalesce("level", F.lit(0)).alias("level"))
+    found = places.join(deep.drop("n").hint("merge"), fine)
     return cubes, found.withColumn("cube", cube(F.col("level"), depth)).drop("level", *fine)
 
 
@@ -200,7 +200,7 @@ def reach(name: str, far: bool) -> Column:
 def nearest(requests: DataFrame, points: DataFrame, k: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(request_id, nth, point_id, dist_m): the k points nearest to each request, anywhere on earth, of equal distances the first by id; all if there are fewer. Rows without a place are left out.
 
-    Points lie in a tree of cubes whose full ones are split. All requests go down it together, a level a job: of the cubes that a request looks at, those further than a radius within which others hold k places are
+    Requests in one place are looked up as one. Points lie in a tree of cubes whose full ones are split. All places of requests go down it together, a level a job: of the cubes that a request looks at, those further than a radius within which others hold k places are
     left, so it comes to a few leaves however dense the points are, here or nearby. Of points in one place k are taken, as no request needs more. Cubes that many requests look at are looked up, not dealt to one task.
     """
     known = points.where("lon is not null and lat is not null").withColumn("_n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("point_id"))).where(F.col("_n") <= k).drop("_n")
@@ -209,31 +209,35 @@ def nearest(requests: DataFrame, points: DataFrame, k: int, leaf: int = LEAF, de
     placed = checkpointed(placed.withColumns({f"f{c}": F.greatest(F.least(F.floor((F.col(c) + 1) / 2 * (1 << depth)), F.lit(most)), F.lit(0)).cast("long") for c in SPACE}))
     cubes, leaves = cube_tree(placed, leaf, depth)
     held = checkpointed(leaves.groupBy("cube").agg(F.collect_list(F.struct("point_id", "lon", "lat")).alias("points")))
-    asked = requests.where("lon is not null and lat is not null").select("request_id", "lon", "lat", *[v.alias(c) for c, v in zip(SPACE, on_sphere(F.col("lon"), F.col("lat")), strict=True)], F.monotonically_increasing_id().alias("_r"))
+    rows = together(requests.where("lon is not null and lat is not null"), "request_id", "lon", "lat")
+    asked = rows.select("lon", "lat").distinct().select("lon", "lat", *[v.alias(c) for c, v in zip(SPACE, on_sphere(F.col("lon"), F.col("lat")), strict=True)], F.monotonically_increasing_id().alias("_r"))
     asked = checkpointed(asked)
     total = placed.count()
-    front = asked.select("_r", *SPACE, F.struct(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(c) for c in SPACE]).alias("at"), F.lit(total).cast("long").alias("n"))
+    front = checkpointed(asked.select("_r", *SPACE, F.struct(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(c) for c in SPACE]).alias("at"), F.lit(total).cast("long").alias("n")))
     for _ in range(depth):
         front = looked_up(front, cubes, "below")
-        if not front.where("below is not null").limit(1).count():
-            break
         whole = F.array(F.struct(F.col("at").alias("cube"), "n"))
-        front = front.select("_r", *SPACE, F.explode(F.coalesce("below", whole)).alias("e")).select("_r", *SPACE, F.col("e.cube").alias("at"), F.col("e.n").alias("n"))
+        front = front.select("_r", *SPACE, F.col("below").isNotNull().alias("_open"), F.explode(F.coalesce("below", whole)).alias("e")).select("_r", *SPACE, "_open", F.col("e.cube").alias("at"), F.col("e.n").alias("n"))
         front = front.withColumns({"_near": reach("at", False), "_far": reach("at", True)})
         enough = F.sum("n").over(Window.partitionBy("_r").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)) >= k
         front = front.withColumn("_enough", F.when(enough, F.col("_far"))).withColumn("_radius", F.min("_enough").over(Window.partitionBy("_r")))
-        front = front.where(F.col("_radius").isNull() | (F.col("_near") <= F.col("_radius") * (1 + 1e-9) + 1e-9)).select("_r", *SPACE, "at", "n")
-    met = looked_up(front.drop("below"), held, "points").where("points is not null").select("_r", F.explode("points").alias("p"))
-    far = asked.join(met, "_r").select("_r", "request_id", "p.point_id", haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat")).alias("dist_m"))
+        front = checkpointed(front.where(F.col("_radius").isNull() | (F.col("_near") <= F.col("_radius") * (1 + 1e-9) + 1e-9)).select("_r", *SPACE, "_open", "at", "n"))
+        more = front.where("_open").limit(1).count()
+        front = front.drop("_open")
+        if not more:
+            break
+    met = looked_up(front.select("_r", "at"), held, "points").where("points is not null").select("_r", F.explode("points").alias("p"))
+    far = asked.select("_r", "lon", "lat").join(met.hint("merge"), "_r").select("_r", "lon", "lat", "p.point_id", haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat")).alias("dist_m"))
     nth = F.row_number().over(Window.partitionBy("_r").orderBy("dist_m", "point_id"))
-    return far.withColumn("nth", nth).where(F.col("nth") <= k).select("request_id", "nth", "point_id", "dist_m")
+    best = far.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("lon", "lat").agg(F.collect_list(F.struct("nth", "point_id", "dist_m")).alias("best"))
+    found = rows.join(best.hint("merge"), ["lon", "lat"]).select(F.explode("ids").alias("request_id"), "best").select("request_id", F.explode("best").alias("p"))
+    return found.select("request_id", "p.nth", "p.point_id", "p.dist_m")
 
 
 def looked_up(front: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """front, kept, with a column of table by cube, null where there is none."""
-    kept = checkpointed(front)
-    used = kept.groupBy(F.col("at").alias("cube")).agg(F.count("*").alias("used"))
-    return checkpointed(lookup(kept, checkpointed(table.join(used, "cube")), "at", "cube", "used"))
+    """front, a checkpointed table, with a column of table by cube, null where there is none."""
+    used = front.groupBy(F.col("at").alias("cube")).agg(F.count("*").alias("used"))
+    return lookup(front, checkpointed(table.join(used.hint("merge"), "cube")), "at", "cube", "used")
 
 
 def common_schema(**sources: DataFrame) -> DataFrame:
