@@ -116,6 +116,18 @@ def test_many_parts_are_one_document(spark, tmp_path):
         assert [r.OBJECTID for r in again.orderBy("feature_ord").collect()] == [*range(500)]
 
 
+def test_texts_are_made_once_and_chunks_share_tasks(spark, tmp_path, monkeypatch):
+    """A sort works out its rows twice, so no Python stands below it; and small chunks don't make a task each."""
+    plans = []
+    monkeypatch.setattr(geojson, "feature_text", lambda *a, f=geojson.feature_text: plans.append(a[0]) or f(*a))
+    rows = [(i, '{"features":null}', f'{{"properties":{{"OBJECTID":{i},"a":"\\\\\\" é"}}}}', "O", None, None, "v") for i in range(3000)]
+    geojson.write_routes(spark.createDataFrame(rows, "feature_ord long, members string, feature string, canonical_origin string, canonical_destination string, via_origin string, via_destination string"), str(tmp_path / "out"))
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]._jdf.queryExecution().toString() and "feature_ord" in plans[0].columns
+    again = geojson.read_routes(spark, str(tmp_path / "out"), chunk=500)
+    assert again.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert [(r.OBJECTID, json.loads(r.feature)["properties"]["a"]) for r in again.orderBy("feature_ord").collect()] == [(i, '\\" é') for i in range(3000)]
+
+
 @pytest.mark.parametrize("name", ["geojson_round_trip", "clean_routes", "clean_gtfs", "title_case"])
 def test_queries(agree, name):
     agree(queries.QUERIES[name], oracles.ORACLE_SQL[name])

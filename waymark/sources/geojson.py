@@ -24,13 +24,13 @@ from waymark.functions.geo import points
 
 DERIVED = ("canonical_origin", "canonical_destination", "via_origin", "via_destination")
 decode = json.JSONDecoder().raw_decode
+encode = json.JSONEncoder(ensure_ascii=False).encode
+PASSED = {signs: re.compile(rf"[\s{signs}]*").match for signs in ("", ":", ",")}
 
 
 def after(text: str, at: int, signs: str = "") -> int:
     """The first place from `at` on that is neither white space nor one of the signs."""
-    while at < len(text) and (text[at].isspace() or text[at] in signs):
-        at += 1
-    return at
+    return PASSED[signs](text, at).end()
 
 
 def members(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
@@ -45,7 +45,7 @@ def members(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
 
 
 def put_together(parts: list[tuple[str, str]]) -> str:
-    return "{" + ",".join(f"{json.dumps(name, ensure_ascii=False)}:{raw}" for name, raw in parts) + "}"
+    return "{" + ",".join(f"{encode(name)}:{raw}" for name, raw in parts) + "}"
 
 
 #: Bytes of a chunk, and bytes read at a time where a feature goes on behind its chunk.
@@ -101,8 +101,11 @@ class Signs:
             data = b" " + data[1:]
         some = np.frombuffer(data, np.uint8)
         quotes = np.flatnonzero(some == 34)
-        behind = quotes[(quotes > 0) & (some[quotes - 1] == 92)]
-        plain = [q for q in behind.tolist() if self.backslashes(data, q) % 2]
+        slashes = np.flatnonzero(some == 92)
+        runs = np.maximum.accumulate(np.where(np.diff(slashes, prepend=-2) > 1, slashes, 0))
+        plain = slashes[(slashes - runs) % 2 == 0] + 1  # behind an odd number of backslashes, if a quote is there
+        plain = plain[plain < len(some)]
+        plain = plain[some[plain] == 34]
         mark = np.zeros(len(some), np.uint8)
         mark[quotes] = 1
         mark[plain] = 0
@@ -226,8 +229,9 @@ def read_routes(spark: SparkSession, path: str, origin: str = "ORGN", destinatio
     many = -(-doc.size // chunk)
     first, skipped = head_of(doc, chunk)
     known: list[Start] = []
+    tasks = min(many, max(spark.sparkContext.defaultParallelism, -(-doc.size // CHUNK)))  # small chunks are several a task
     if first >= 0:
-        ends = spark.range(0, many, 1, many).select(F.col("id").cast("int").alias("n")).mapInArrow(summaries(path, files, chunk), SUMMARY)
+        ends = spark.range(0, many, 1, tasks).select(F.col("id").cast("int").alias("n")).mapInArrow(summaries(path, files, chunk), SUMMARY)
         known = starts(doc, first, skipped, {(r.n, r.way): r for r in ends.collect()}, chunk)
     stop = next((e for e in (cut(doc, s, first, chunk)[1] for s in reversed(known)) if e >= 0), -1)
     text = (doc.read(0, first) + b"null" + doc.read(stop + 1, doc.size) if stop >= 0 else doc.read(0, doc.size)).decode("utf-8-sig").strip()
@@ -242,7 +246,7 @@ def read_routes(spark: SparkSession, path: str, origin: str = "ORGN", destinatio
                     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(raw, pa.string())], ["feature_ord", "feature"])
 
     places = spark.createDataFrame(known, "n int, way int, depth long, commas long")
-    rows = (places.repartition(len(known)) if len(known) > 1 else places).mapInArrow(features, "feature_ord long, feature string").withColumn("members", F.lit(rest))
+    rows = (places.repartition(min(tasks, len(known))) if len(known) > 1 else places).mapInArrow(features, "feature_ord long, feature string").withColumn("members", F.lit(rest))
     own = lambda name: F.get_json_object("feature", f"$.properties.{name}")
     kind, coordinates = F.get_json_object("feature", "$.geometry.type"), F.get_json_object("feature", "$.geometry.coordinates")
     return rows.select("feature_ord", own(key).cast("long").alias("OBJECTID"), own(origin).alias("ORGN"), own(destination).alias("DSTN"), kind.alias("geom_type"), points(kind, coordinates).alias("pts"), "members", "feature")
@@ -252,23 +256,23 @@ def with_fields(feature: str, fields: dict[str, str | None]) -> str:
     """A feature's raw text with these properties: those that it has are replaced where they stand, others are put last; nulls are written."""
     parts = [(name, feature[b:e]) for name, b, e in members(feature)]
     own = next((raw for name, raw in parts if name == "properties" and raw != "null"), "{}")
-    values = {name: own[b:e] for name, b, e in members(own)} | {name: json.dumps(v, ensure_ascii=False) for name, v in fields.items()}
+    values = {name: own[b:e] for name, b, e in members(own)} | {name: encode(v) for name, v in fields.items()}
     made = put_together([*values.items()])
     if all(name != "properties" for name, _ in parts):
         parts.append(("properties", made))
     return put_together([(name, made if name == "properties" else raw) for name, raw in parts])
 
 
-def feature_text(routes: DataFrame) -> DataFrame:
-    """(feature_ord, members, text): each feature as JSON, with the derived fields."""
+def feature_text(routes: DataFrame, last: int | None) -> DataFrame:
+    """text: each feature as JSON, with the derived fields, and a comma but for the last, in the order of the rows. A row of an edge of the document passes as it is."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-            text = [with_fields(feature, dict(zip(DERIVED, fields, strict=True))) for feature, *fields in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string())], ["feature_ord", "members", "text"])
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            text = [feature if edge else with_fields(feature, dict(zip(DERIVED, fields, strict=True))) + ("," if at < last else "") for at, edge, feature, *fields in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
 
-    return routes.select("feature_ord", "members", "feature", *DERIVED).mapInArrow(written, "feature_ord long, members string, text string")
+    return routes.select("feature_ord", "edge", "feature", *DERIVED).mapInArrow(written, "text string")
 
 
 def write_routes(routes: DataFrame, path: str, source: str | None = None) -> None:
@@ -279,13 +283,15 @@ def write_routes(routes: DataFrame, path: str, source: str | None = None) -> Non
     """
     if source is not None and path.rstrip("/") == source.rstrip("/"):
         raise ValueError("the routes are read from this path; write to another one")
-    spark, found = routes.sparkSession, feature_text(routes)
+    spark = routes.sparkSession
     seen = routes.agg(F.max("feature_ord"), F.min("members")).first()
     rest = seen[1] or '{"type":"FeatureCollection","features":null}'
     begin, end = next((b, e) for name, b, e in members(rest) if name == "features")
-    body = found.select("feature_ord", F.concat("text", F.when(F.col("feature_ord") < F.lit(seen[0]), ",").otherwise("")).alias("text"))
-    edges = spark.createDataFrame([(-1, rest[:begin] + "["), (1 << 62, "]" + rest[end:])], "feature_ord long, text string")
-    body.unionByName(edges).repartitionByRange("feature_ord").sortWithinPartitions("feature_ord").select("text").write.text(path)
+    edges = spark.createDataFrame([(-1, rest[:begin] + "["), (1 << 62, "]" + rest[end:])], "feature_ord long, feature string")
+    body = routes.select("feature_ord", F.lit(False).alias("edge"), "feature", *DERIVED)
+    every = body.unionByName(edges.withColumn("edge", F.lit(True)), allowMissingColumns=True)
+    # a sort over the cluster works out its rows twice, so the texts are made behind it
+    feature_text(every.repartitionByRange("feature_ord").sortWithinPartitions("feature_ord"), seen[0]).write.text(path)
 
 
 def join_parts(folder: str, path: str) -> None:
